@@ -68,7 +68,9 @@ def lower_median(x) -> Column:
 
 
 def clamp(x, low, high) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), _c(x)))
+    """Null stays null: greatest and least pass nulls over."""
+    x = _c(x)
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
 def finite(x, fallback: float = 0.0) -> Column:

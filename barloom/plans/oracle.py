@@ -397,7 +397,7 @@ SELECT symbol, strftime(w, '%Y-%m-%d %H:%M:%S') AS ts, open, high, low, close, v
         "signal_carry": of("carry"),
         "signal_all": f"{_SIGNALS} SELECT g AS genome_id, count(*) FILTER (v > 0) AS long_bars, count(*) FILTER (v < 0) AS short_bars, {_r('sum(round(v, 8))', 5)} AS total FROM signals GROUP BY g",
         "position_sizing": f"{_BASE} SELECT symbol, t, {_r('CASE WHEN v IS NULL OR v <= 1e-6 THEN 0 ELSE greatest(0, least(2, 0.12 / v)) END')} AS size FROM (SELECT symbol, t, {_SD('ret', 20)} * sqrt(252.0) AS v FROM rets)",
-        "backtest_bars": f"{_BT} SELECT g AS genome_id, CAST(t AS INTEGER) AS t, {_r('ret')} AS ret, {_r('carried')} AS position, {_r('equity')} AS equity FROM final",
+        "backtest_bars": f"{_BT} SELECT g AS genome_id, CAST(t AS INTEGER) AS t, {_r('ret', 7)} AS ret, {_r('carried', 7)} AS position, {_r('equity', 7)} AS equity FROM final",
         "backtest_trades": f"{_BT} SELECT g AS genome_id, CAST(entry_t AS INTEGER) AS entry_t, CAST(exit_t AS INTEGER) AS exit_t, CAST(direction AS INTEGER) AS direction, {_r('return_pct')} AS return_pct, CAST(bars AS INTEGER) AS bars, exit_reason FROM trades",
         "backtest_turnover": f"{_BT} SELECT g AS genome_id, {_r('max(moved)', 6)} AS turnover FROM final GROUP BY g",
         "unknown_symbols": "SELECT 'g05' AS genome_id, '??' AS symbol",

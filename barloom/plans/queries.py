@@ -284,7 +284,7 @@ def _trades(spark, d) -> DataFrame:
 
 @query
 def backtest_bars(spark, d):
-    return rounded(_bt(spark, d), 8)
+    return rounded(_bt(spark, d), 7)
 
 
 @query
