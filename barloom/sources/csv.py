@@ -70,8 +70,13 @@ def find_header(header: list[str], keys: tuple[str, ...]) -> int | None:
 def cells_of(line: Column) -> Column:
     """split_line as a Column: separators outside quotes, quotes removed."""
     parts = F.split(line, '[,;\\t](?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
-    quote = F.lit("\u0000")
-    plain = lambda c: F.trim(F.replace(F.replace(F.replace(c, F.lit('""'), quote), F.lit('"'), F.lit("")), quote, F.lit('"')))
+    quote = F.lit('"')
+
+    def plain(cell: Column) -> Column:
+        c = F.trim(cell)
+        whole = F.replace(F.substring(c, 2, F.length(c) - 2), F.lit('""'), quote)
+        return F.trim(F.when(c.rlike('(?s)^".*"$'), whole).otherwise(F.replace(c, quote, F.lit(""))))
+
     return F.transform(parts, plain)
 
 
