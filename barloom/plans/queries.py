@@ -42,8 +42,24 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(r(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def kept(name: str, spark: SparkSession, d: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A persisted intermediate that several steps of a query read: bars, packed series and
+    backtests, all of the size of the calendar. Dropped by clearCache, it is computed again."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key].persist()
+
+
 def bars(spark: SparkSession, d: str) -> DataFrame:
-    return bars_source.bars_daily(spark, d)
+    return kept("bars", spark, d, lambda: bars_source.bars_daily(spark, d))
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return kept("packed", spark, d, lambda: B.packed_with_market(bars(spark, d)))
 
 
 def with_returns(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +67,7 @@ def with_returns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def market(spark: SparkSession, d: str) -> DataFrame:
-    return bars_source.equal_weight_index(bars(spark, d)).withColumn("ret", F.round("ret", 12))
+    return kept("market", spark, d, lambda: bars_source.equal_weight_index(bars(spark, d)).withColumn("ret", F.round("ret", 12)))
 
 
 def bench(spark: SparkSession, d: str) -> DataFrame:
@@ -243,7 +259,7 @@ def _signals(spark, d, families: tuple[str, ...]) -> DataFrame:
                 yield pd.DataFrame({"genome_id": x.genome_id, "t": range(len(v)), "signal": v})
 
     some = fixed(spark).where(F.col("family").isin(*families))
-    return B._dealt(some, B.packed_with_market(bars(spark, d))).mapInPandas(work, "genome_id string, t int, signal double")
+    return B._dealt(some, _packed(spark, d)).mapInPandas(work, "genome_id string, t int, signal double")
 
 
 @query
@@ -275,11 +291,11 @@ def position_sizing(spark, d):
 
 
 def _bt(spark, d) -> DataFrame:
-    return B.backtest_bars(fixed(spark), B.packed_with_market(bars(spark, d)), FEE)
+    return kept("bt", spark, d, lambda: B.backtest_bars(fixed(spark), _packed(spark, d), FEE))
 
 
 def _trades(spark, d) -> DataFrame:
-    return B.backtest_trades(fixed(spark), B.packed_with_market(bars(spark, d)), FEE)
+    return kept("trades", spark, d, lambda: B.backtest_trades(fixed(spark), _packed(spark, d), FEE))
 
 
 @query
@@ -294,7 +310,7 @@ def backtest_trades(spark, d):
 
 @query
 def backtest_turnover(spark, d):
-    return rounded(B.turnover(fixed(spark), B.packed_with_market(bars(spark, d)), FEE))
+    return rounded(B.turnover(fixed(spark), _packed(spark, d), FEE))
 
 
 @query
