@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from ..schema import FAMILIES, RISK
 from ..sources.genomes import FIXED
+from ..sources.synthetic import INSTRUMENTS
 
 _X = """
 x AS MATERIALIZED (SELECT {symbol} AS symbol, {date} AS date, CAST(sum(CAST({price} AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS x, count(*) AS volume
@@ -330,6 +331,38 @@ def _coerce() -> str:
 FROM (SELECT key, low::DOUBLE AS low, high::DOUBLE AS high, step::DOUBLE AS step, digits FROM (VALUES {values}) AS v(key, low, high, step, digits)), range(9) AS x(k)"""
 
 
+def _names() -> str:
+    """Names and plain text of the fixed genomes, put together in SQL from their numbers."""
+    rows = []
+    for g, f, s, side, p, r in FIXED:
+        keys = [*p.values(), 0, 0][:5]
+        rows.append(f"('{g}', '{f}', '{FAMILIES[f][0].replace(' ', '')}', '{s}', '{side}', {', '.join(f'{float(v)}::DOUBLE' for v in (*keys, *r))})")
+    whole = lambda v: f"CAST(CAST(floor({v}) AS BIGINT) AS VARCHAR)"
+    fix = lambda v, d: f"printf('%.{d}f', {v})"
+    short = lambda v: f"CASE WHEN {v} = floor({v}) THEN {whole(v)} ELSE {fix(v, 2)} END"
+    text = f"""CASE family
+  WHEN 'trend' THEN 'Long while the ' || {whole('p1')} || '-bar mean is over ' || {fix('p4 * 100', 1)} || '% above the ' || {whole('p2')} || '-bar mean and the ' || {whole('p3')} || '-bar change is positive; short on the mirror image; flat inside the band.'
+  WHEN 'breakout' THEN 'Long above the ' || {whole('p1')} || '-bar high, short below the ' || {whole('p1')} || '-bar low; out through the ' || {whole('p2')} || '-bar channel; no entries while ' || {whole('p3')} || '-bar volatility ranks above ' || {fix('p4 * 100', 0)} || '%.'
+  WHEN 'meanReversion' THEN 'Against moves of ' || {fix('p2', 2)} || ' deviations from the ' || {whole('p1')} || '-bar mean with the ' || {whole('p4')} || '-bar RSI beyond ' || {fix('p5', 0)} || ' or ' || {fix('100 - p5', 0)} || '; out inside ' || {fix('p3', 2)} || '.'
+  WHEN 'carry' THEN 'With the ' || {whole('p1')} || '-bar information ratio over the market, smoothed over ' || {whole('p2')} || ' bars, beyond ' || {fix('p3', 2)} || '; out below ' || {fix('p3 * p4', 2)} || '.'
+  ELSE 'By the rank of ' || {whole('p1')} || '-bar volatility in ' || {whole('p2')} || ' bars: ' || CASE WHEN p5 = 1 THEN 'short' ELSE 'long' END || ' below ' || {fix('p3 * 100', 0)} || '%, ' || CASE WHEN p5 = 1 THEN 'long' ELSE 'short' END || ' above ' || {fix('p4 * 100', 0)} || '%.' END"""
+    risk = f"""CASE side WHEN 'long' THEN ' Long only.' WHEN 'short' THEN ' Short only.' ELSE ' Long and short.' END || ' Sized to ' || {fix('vt * 100', 0)} || '% a year, at most ' || {fix('lev', 2)} || 'x.'
+  || CASE WHEN sa > 0 THEN ' Stop at ' || {fix('sa', 1)} || ' ATR.' ELSE '' END || CASE WHEN ta > 0 THEN ' Target at ' || {fix('ta', 1)} || ' ATR.' ELSE '' END
+  || CASE WHEN mh > 0 THEN ' Out after ' || {whole('mh')} || ' bars.' ELSE '' END || CASE WHEN cd > 0 THEN ' Wait ' || {whole('cd')} || ' bars.' ELSE '' END"""
+    return f"""SELECT g AS genome_id, label || '.' || symbol || '.' || {short('p1')} || '-' || {short('p2')} AS name, {text} || {risk} AS text
+FROM (VALUES {', '.join(rows)}) AS v(g, family, label, symbol, side, p1, p2, p3, p4, p5, vt, lev, sa, ta, mh, cd)"""
+
+
+def _display() -> str:
+    v, ms = "(floor(close * 12345.678::DOUBLE - 1000000) + 0.25)", "(floor(close * 777) + 0.25)"
+    minutes = f"floor({ms} / 1000 / 60)"
+    whole = lambda x: f"CAST(CAST({x} AS BIGINT) AS VARCHAR)"
+    return f"""{_BASE} SELECT symbol, t, format('{{:,}}', CAST(floor(close * 1000 + 0.5) AS BIGINT)) AS integer,
+  CASE WHEN abs({v}) >= 1e9 THEN printf('%.1fB', {v} / 1e9) WHEN abs({v}) >= 1e6 THEN printf('%.1fM', {v} / 1e6) WHEN abs({v}) >= 1e3 THEN printf('%.1fk', {v} / 1e3) ELSE printf('%.0f', {v}) END AS compact,
+  strftime(date, '%d/%m/%y') AS short_date, strftime(date, '%b %Y') AS month,
+  CASE WHEN {ms} < 1000 THEN {whole(f'floor({ms} + 0.5)')} || 'ms' WHEN {ms} / 1000 < 60 THEN printf('%.1fs', {ms} / 1000) ELSE {whole(minutes)} || 'm ' || {whole(f'floor({ms} / 1000 - {minutes} * 60 + 0.5)')} || 's' END AS duration FROM bars"""
+
+
 def oracle_sql() -> dict[str, str]:
     hi40, lo40 = _full(f"max(high) OVER {_over(40)}", 40), _full(f"min(low) OVER {_over(40)}", 40)
     pct_value, pct_from = _rank("volume", 60, "rets")
@@ -452,6 +485,9 @@ SELECT CAST(cluster AS INTEGER) AS cluster, base || CASE WHEN count(*) OVER (PAR
         "moments_of_returns": f"""{_BASE} SELECT symbol, {_r('avg(ret)', 10)} AS mean, {_r('var_samp(ret)', 10)} AS variance, {_r('stddev_samp(ret)', 10)} AS stdev, {_r('skewness(ret)', 6)} AS skew,
   {_r('(kurtosis_pop(ret) + 3) * pow((count(*) - 1.0) / count(*), 2) - 3', 6)} AS kurtosis, {_r('quantile_cont(ret, 0.95)', 10)} AS p95, {_r('median(ret)', 10)} AS median, {_r('list_sort(list(ret))[CAST(floor(count(*) / 2) AS BIGINT) + 1]', 10)} AS upper_median,
   {_r('list_reverse_sort(list(ret))[CAST(floor(count(*) / 2) AS BIGINT) + 1]', 10)} AS lower_median, {_r('corr(ret, volume)', 6)} AS corr FROM rets GROUP BY symbol""",
+        "genome_names": _names(),
+        "display_text": _display(),
+        "instrument_catalog": "SELECT * FROM (VALUES " + ", ".join(f"('{i.symbol}', '{i.label}', '{i.asset_class}')" for i in INSTRUMENTS) + ") AS v(symbol, label, asset_class)",
         "flagship": f"""{_BASE}, sig AS (SELECT symbol, t, ret, CASE WHEN f / s - 1 > 0.002 AND way > 0 THEN 1.0 WHEN f / s - 1 < -0.002 AND way < 0 THEN -1.0 ELSE 0.0 END AS v FROM
   (SELECT symbol, t, ret, {_MA('close', 20)} AS f, {_MA('close', 60)} AS s, close / lag(close, 20) OVER (PARTITION BY symbol ORDER BY t) - 1 AS way FROM rets)),
 held AS (SELECT symbol, t, ret * pos AS ret, pos FROM (SELECT *, coalesce(lag(v) OVER (PARTITION BY symbol ORDER BY t), 0) AS pos FROM sig)),

@@ -668,8 +668,8 @@ def moments_of_returns(spark, d):
 def display_text(spark, d):
     v = F.col("close") * 12_345.678 - 1_000_000
     return bars(spark, d).select(
-        "symbol", "t", formats.integer(F.col("close") * 1000).alias("integer"), formats.compact(F.floor(v)).alias("compact"), formats.short_date(F.col("date")).alias("short_date"),
-        formats.month_label(F.col("date")).alias("month"), formats.duration(F.floor(F.col("close") * 777).cast("double")).alias("duration"),
+        "symbol", "t", formats.integer(F.col("close") * 1000).alias("integer"), formats.compact(F.floor(v) + 0.25).alias("compact"), formats.short_date(F.col("date")).alias("short_date"),
+        formats.month_label(F.col("date")).alias("month"), formats.duration(F.floor(F.col("close") * 777) + 0.25).alias("duration"),
     )
 
 
