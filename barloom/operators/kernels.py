@@ -131,13 +131,6 @@ def regime_observations(index: DataFrame) -> DataFrame:
     return index.select("t", "date", (short * 100).alias("drift"), (size * 100).alias("size"), (F.avg("ret").over(w(126)) * 100).alias("trend"), ratio.alias("ratio"))
 
 
-def running(ret, by=("genome_id",)) -> tuple[Column, Column]:
-    """(equity, drawdown) from a base of 1."""
-    upto = Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    equity = F.product(1 + _c(ret)).over(upto)
-    return equity, equity
-
-
 # --- recursive averages ----------------------------------------------------------
 
 
