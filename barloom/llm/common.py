@@ -62,38 +62,36 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
     Alternating large-star and small-star steps; every step is a min-aggregation and
     a join on the node, so a hub is split by partial aggregation and skew joins.
-    Each round is written to the shared folder. Nodes without an edge are absent.
+    Each round is written to the shared folder; rounds end when all components are stars.
+    Nodes without an edge are absent.
     """
-    now = table(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
-        "edges",
-    )
-    state = lambda t: t.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    seen = state(now)
+    low_high = (F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = table(edges.where("a <> b").select(*low_high).distinct(), "edges")
     for _ in range(max_rounds):
+        if _only_stars(now):
+            break
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        small = (
-            small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .union(low.select("a", F.col("m").alias("b")))
-            .distinct()
-        )
-        now = table(small, "edges")
-        mark = state(now)
-        if mark == seen:
-            break
-        seen = mark
+        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = table(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.groupBy("a").agg(F.min("b").alias("comp")).withColumnRenamed("a", "id").union(
+    return now.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(
         now.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct()
     )
 
 
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every a has one b, and no b is an a: all edges lead to the smallest id of their component."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("top")).union(
+        edges.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("top"))
+    )
+    node = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("top").alias("top"))
+    return node.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("top") > 0))).limit(1).count() == 0
+
+
 class Forest:
     """Union-find over row numbers of one block; keeps the links that joined two trees."""
 

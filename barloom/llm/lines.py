@@ -219,12 +219,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = np.argsort(key)
     key, line = key[order], line[order]
     del order
-    same = np.flatnonzero(key[1:] == key[:-1])
-    same = same[line[same] != line[same + 1]]  # neighbours form a chain, enough to connect all
-    # equal lines may stand between different ones: the chain holds, since equal means the same node
-    for lo in range(0, len(same), 1 << 16):
-        part = same[lo : lo + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(line[part]), pa.array(line[part + 1])], ["a", "b"])
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    hub = line[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
+    met = np.flatnonzero(line != hub)
+    for lo in range(0, len(met), 1 << 16):
+        part = met[lo : lo + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(line[part]), pa.array(hub[part])], ["a", "b"])
 
 
 def _texts_of(min_chars: int, bits):
