@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Rows of an Arrow batch. Documents may be long, so batches stay short.
 BATCH_ROWS = 256
 #: Members of a group that one task compares with each other at most.
@@ -25,7 +27,8 @@ _own_dir: list[str] = []
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches by rows; whole documents travel in them."""
+    """Bound Arrow batches by rows, since whole documents travel in them; workers get the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

@@ -13,7 +13,6 @@ terminator. Spans of all occurrences of a document are merged.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -363,6 +362,3 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
             last, k = pos, k + 1
     return b"\n".join([*out, text[last:]])
 
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
