@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Sources whose counts reach the driver at most, and places of a frame at most.
 MOST_SOURCES, MOST_PLACES = 1000, 20_000
+#: Buckets of a source at least, however few its rows.
+LEAST_BUCKETS = 64
 
 
 def frame(spark, weights: list[int]) -> list[list[int]]:
@@ -87,16 +89,17 @@ def phases(blocks: dict, weights: dict) -> list[tuple[int, dict, dict, int]]:
 def number_rows(docs: DataFrame, order: list[str], counts: dict, bucket_rows: int) -> DataFrame:
     """Adds _n: the row's number within its source, from 0, without one task for a source.
 
-    Rows are dealt to hash buckets of each source, of about bucket_rows rows each; a
-    bucket's rows follow those of all earlier buckets, whose counts are a small table.
+    Rows are dealt to hash buckets of each source, LEAST_BUCKETS and one more for every
+    bucket_rows rows; a bucket's rows follow those of all earlier buckets, whose counts are
+    a small table.
     """
     spark = docs.sparkSession
-    cut = spark.createDataFrame([(s, 1 + n // bucket_rows) for s, n in counts.items()], "_c string, _buckets long")
+    cut = spark.createDataFrame([(s, LEAST_BUCKETS + n // bucket_rows) for s, n in counts.items()], "_c string, _buckets long")
     dealt = docs.join(F.broadcast(cut), docs["source"].eqNullSafe(cut["_c"]))  # a row for each source
     dealt = dealt.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(41), *order), F.col("_buckets"))).drop("_c", "_buckets")
     sizes = dealt.groupBy("source", "_bucket").agg(F.count("*").alias("_rows"))
     before = F.sum("_rows").over(Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    # rows / bucket_rows + sources rows at most
+    # rows / bucket_rows + LEAST_BUCKETS * sources rows at most
     starts = sizes.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("_before"))
     within = F.row_number().over(Window.partitionBy("source", "_bucket").orderBy(*order)) - 1
     numbered = dealt.withColumn("_within", within)
