@@ -57,6 +57,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def thinned(count: int, wanted: int) -> int:
+    """Hashes below this, as non-negative longs, pass about four times `wanted` of `count` rows, or all.
+
+    A filter by it leaves few rows to sort for a bounded sample, from however many tasks.
+    """
+    share = min(1.0, (4 * wanted + 100) / max(1, count))
+    return (1 << 63) - 1 if share >= 1 else int(share * (1 << 63))
+
+
 # --- connected components ---------------------------------------------------
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, thinned
 from .ngrams import SLOTS, batches_of, has_letter, present
 
 #: Training texts and landmarks of each language at most, and languages at most.
@@ -80,11 +80,15 @@ def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.where("lang is not null and text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    names = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    by = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id")
-    chosen = (
-        rows.where(F.col("lang").isin(names)).select("doc_id", "lang").withColumn("k", F.row_number().over(by)).where(F.col("k") <= per_language)
-    )  # at most LANGUAGES * per_language rows
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    names = {r["lang"]: thinned(r["count"], per_language) for r in counts}
+    # few rows of each language reach the sort, see thinned()
+    hashed = rows.select("doc_id", "lang", F.xxhash64(F.lit(9), "doc_id").bitwiseAND(F.lit((1 << 63) - 1)).alias("h"))
+    below = F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), F.col("lang")) if names else F.lit(0)
+    by = Window.partitionBy("lang").orderBy("h", "doc_id")
+    chosen = hashed.where(F.col("lang").isin(list(names))).where(F.col("h") <= below)
+    chosen = chosen.withColumn("k", F.row_number().over(by)).where(F.col("k") <= per_language).select("doc_id", "lang", "k")
+    # at most LANGUAGES * per_language rows
     pulled = (
         rows.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).orderBy("k", "lang", "doc_id", "text").limit(LANGUAGES * per_language).select("lang", "text").toPandas()
     )
