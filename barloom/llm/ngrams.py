@@ -10,6 +10,9 @@ import numpy as np
 #: Slots of 1-, 2- and 3-byte n-grams: the first two exact, the last hashed.
 SLOTS = (1 << 8) + (1 << 16) + (1 << 16)
 _AT = (0, 1 << 8, (1 << 8) + (1 << 16))
+#: Word n-grams of one word said n times; their slots follow the others.
+REPEATS = (2, 3, 4, 6, 9)
+ALL_SLOTS = SLOTS + len(REPEATS)
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -33,6 +36,17 @@ def present(text: bytes, fold: bool, seen: np.ndarray) -> np.ndarray:
     return out
 
 
+def repeats(text: bytes) -> np.ndarray:
+    """The slots of the n-grams of REPEATS that the text holds: a word n times in a row."""
+    words = text.split()
+    same = bytes(map(bytes.__eq__, words, words[1:]))
+    return np.array([SLOTS + k for k, n in enumerate(REPEATS) if b"\1" * (n - 1) in same], np.int64)
+
+
+def present_with_repeats(text: bytes, seen: np.ndarray) -> np.ndarray:
+    return np.concatenate([present(text, False, seen), repeats(text)])
+
+
 def batches_of(slots: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Presence rows end to end, and where each one starts."""
     rows = list(slots)

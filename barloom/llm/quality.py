@@ -1,6 +1,6 @@
 """Quality classifier: Naive Bayes support vectors.
 
-Indicators of byte n-grams are scaled by the log ratio of their smoothed class counts,
+Indicators of byte n-grams, and of words said n times in a row, are scaled by the log ratio of their smoothed class counts,
 counted over all labelled training rows on the executors. A linear hinge-loss model on
 the scaled indicators is fitted by dual coordinate descent on a bounded sample of those
 rows, and a logistic curve fitted to margins of rows left out of it turns margins into
@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
-from .ngrams import SLOTS, present
+from .common import prepare, thinned
+from .ngrams import ALL_SLOTS, SLOTS, present_with_repeats
 
 #: Labelled rows that the linear model is fitted on at most.
 SAMPLE_ROWS = 6000
@@ -40,11 +40,11 @@ class Model:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = np.zeros(SLOTS, bool)
-    counts = np.zeros((2, SLOTS), np.int64)
+    counts = np.zeros((2, ALL_SLOTS), np.int64)
     rows = np.zeros(2, np.int64)
     for batch in batches:
         for text, label in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("quality").to_pylist()):
-            counts[label][present(text or b"", False, seen)] += 1
+            counts[label][present_with_repeats(text or b"", seen)] += 1
             rows[label] += 1
     if rows.any():
         slot = np.flatnonzero(counts.any(axis=0))
@@ -60,7 +60,7 @@ def descend(rows: list[np.ndarray], y: np.ndarray, cost: np.ndarray, rounds: int
     rows: (slots, values) of the training rows; cost: the penalty of each row.
     """
     rng = np.random.default_rng(seed)
-    w, bias = np.zeros(SLOTS), 0.0
+    w, bias = np.zeros(ALL_SLOTS), 0.0
     alpha = np.zeros(len(rows))
     square = np.array([float(v @ v) + 1.0 for _, v in rows])
     half = 0.5 / cost
@@ -110,21 +110,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, cost
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     small = known.count() <= BROADCAST_LABELS
     rows = texts.join(F.broadcast(known) if small else known, "doc_id")
-    # Each task sends at most one row a slot, and the sum has SLOTS rows.
+    # Each task sends at most one row a slot, and the sum has ALL_SLOTS rows.
     counts = rows.select("text", "quality").mapInArrow(_count, "slot long, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
     total = counts[counts["slot"] == -1]
     n0, n1 = (int(total[c].iloc[0]) if len(total) else 0 for c in ("n0", "n1"))
     prior = (n1 + 1) / (n0 + n1 + 2)
     if not n0 or not n1:
-        return Model(np.zeros(SLOTS), 0.0, 0.0, float(np.log(prior / (1 - prior))), prior)
-    p, q = np.ones(SLOTS), np.ones(SLOTS)
+        return Model(np.zeros(ALL_SLOTS), 0.0, 0.0, float(np.log(prior / (1 - prior))), prior)
+    p, q = np.ones(ALL_SLOTS), np.ones(ALL_SLOTS)
     counts = counts[counts["slot"] >= 0]
     at = counts["slot"].to_numpy(np.int64)
     q[at] += counts["n0"].to_numpy(np.float64)
     p[at] += counts["n1"].to_numpy(np.float64)
     ratio = np.log((p / (n1 + 2)) / (q / (n0 + 2)))
+    half = sample_rows // 2
+    h = F.xxhash64(F.lit(3), "doc_id").bitwiseAND(F.lit((1 << 63) - 1))
     chosen = [
-        known.where(F.col("quality") == label).orderBy(F.xxhash64(F.lit(3), "doc_id")).limit(sample_rows // 2) for label in (0, 1)
+        known.where((F.col("quality") == label) & (h <= thinned(n, half))).orderBy(h, "doc_id").limit(half) for label, n in ((0, n0), (1, n1))
     ]
     sample = texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").orderBy("doc_id", "quality", "text").limit(2 * sample_rows)
     pulled = sample.mapInArrow(_slots_only, "doc_id long, quality int, slots binary").toPandas()
@@ -148,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, cost
 def _slots_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = np.zeros(SLOTS, bool)
     for batch in batches:
-        rows = [present(t or b"", False, seen).astype(np.int32).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        rows = [present_with_repeats(t or b"", seen).astype(np.int32).tobytes() for t in batch.column("text").cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(rows, pa.binary())], ["doc_id", "quality", "slots"])
 
 
@@ -167,7 +169,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         seen = np.zeros(SLOTS, bool)
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            z = np.array([m.margin(present(t or b"", False, seen)) for t in texts])
+            z = np.array([m.margin(present_with_repeats(t or b"", seen)) for t in texts])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(m.slope * z + m.shift, -40, 40))))], ["doc_id", "score"]
             )
