@@ -1,7 +1,7 @@
 """k-means, silhouette and t-SNE of a survivor set, and summaries of its clusters.
 
-The sets are capped (140 rows), so the iterative fits run as one seeded task; summaries
-and the silhouette are DataFrame operations.
+The sets are capped (140 rows), so the iterative fits run as one seeded task; summaries are
+DataFrame operations, and the silhouette of any number of rows goes by pairs of blocks.
 """
 
 from __future__ import annotations
@@ -167,10 +167,51 @@ def nearest_centroid(rows: DataFrame, centroids: DataFrame) -> DataFrame:
     return pairs.groupBy("genome_id").agg(F.min(F.struct(d.alias("distance"), F.col("cluster").alias("cluster"))).alias("m")).select("genome_id", "m.cluster", "m.distance")
 
 
-def silhouette(rows: DataFrame) -> DataFrame:
-    """One row: silhouette of (genome_id, z, cluster); singletons count 0. For capped sets."""
-    a, b = rows.alias("a"), rows.select(F.col("genome_id").alias("other"), F.col("z").alias("w"), F.col("cluster").alias("c")).alias("b")
-    d = a.join(b, F.col("genome_id") != F.col("other")).groupBy("genome_id", "cluster", "c").agg(F.avg(_distance("z", "w")).alias("d"))
+def _sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """genome_id, cluster, c, total, n: of each left row, the sum of distances to the right rows of each cluster, and their number, without itself."""
+    if not len(left) or not len(right):
+        return pd.DataFrame({"genome_id": [], "cluster": [], "c": [], "total": [], "n": []})
+    x, y = np.stack(left["z"].to_numpy()), np.stack(right["z"].to_numpy())
+    kinds, kind = np.unique(right["cluster"].to_numpy(), return_inverse=True)
+    member = (kind[:, None] == np.arange(len(kinds))[None, :]).astype(np.float64)
+    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    at = {g: k for k, g in enumerate(right["genome_id"])}
+    own = np.array([at.get(g, -1) for g in left["genome_id"]])
+    out, step = [], 512
+    for lo in range(0, len(x), step):
+        part = x[lo : lo + step]
+        d2 = xx[lo : lo + step, None] + yy[None, :] - 2 * part @ y.T
+        i, j = np.nonzero(d2 < 1e-6 * (xx[lo : lo + step, None] + yy[None, :]))  # near copies lose digits
+        for k in range(0, len(i), 1 << 14):
+            a, b = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+            d2[a, b] = ((part[a] - y[b]) ** 2).sum(axis=1)
+        n = np.repeat(member.sum(axis=0)[None, :], len(part), axis=0)
+        self_at = own[lo : lo + step]
+        here = np.flatnonzero(self_at >= 0)
+        d2[here, self_at[here]] = 0
+        n[here, kind[self_at[here]]] -= 1
+        out.append((np.sqrt(d2) @ member, n))
+    total, n = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+    m = len(kinds)
+    return pd.DataFrame({
+        "genome_id": np.repeat(left["genome_id"].to_numpy(), m), "cluster": np.repeat(left["cluster"].to_numpy(), m), "c": np.tile(kinds, len(x)),
+        "total": total.ravel(), "n": n.ravel().astype(np.int64),
+    })
+
+
+def silhouette(rows: DataFrame, block: int = 4096) -> DataFrame:
+    """One row: silhouette of (genome_id, z, cluster), genome_id unique; singletons count 0.
+
+    Exact, over all pairs: rows are dealt into blocks of about `block` by a hash, each pair of blocks is
+    a task of bounded memory that returns sums of distances by cluster. The work grows with the square of the rows."""
+    kind = dict(rows.dtypes)["cluster"]
+    blocks = max(1, math.ceil(rows.count() / block))
+    dealt = rows.select("genome_id", "z", "cluster", F.pmod(F.xxhash64("genome_id"), F.lit(blocks)).alias("own"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
+    left = dealt.withColumnRenamed("own", "i").withColumn("j", every)
+    right = dealt.withColumnRenamed("own", "j").withColumn("i", every)
+    sums = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(_sums, f"genome_id string, cluster {kind}, c {kind}, total double, n long")
+    d = sums.groupBy("genome_id", "cluster", "c").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("d"))
     near = d.groupBy("genome_id").agg(
         F.max(F.when(F.col("c") == F.col("cluster"), F.col("d"))).alias("own"), F.min(F.when(F.col("c") != F.col("cluster"), F.col("d"))).alias("next")
     )

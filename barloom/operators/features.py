@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
@@ -54,9 +54,7 @@ def combined(features: DataFrame, signature: DataFrame) -> DataFrame:
 
 def standardised(rows: DataFrame) -> DataFrame:
     """genome_id, z: every column over its mean and spread, spread 0 counting 1, in -6..6."""
-    long = rows.select("genome_id", F.posexplode("features").alias("k", "x"))
-    by = Window.partitionBy("k")
-    sd = F.coalesce(F.stddev_samp("x").over(by), F.lit(0.0))
-    z = S.clamp((F.col("x") - F.avg("x").over(by)) / F.when(sd > 0, sd).otherwise(1.0), -6.0, 6.0)
-    cells = F.array_sort(F.collect_list(F.struct("k", F.col("z"))))
-    return long.withColumn("z", z).groupBy("genome_id").agg(F.transform(cells, lambda c: c["z"]).alias("z"))
+    by_column = rows.select(F.posexplode("features").alias("k", "x")).groupBy("k").agg(F.avg("x").alias("mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("sd"))
+    stats = by_column.agg(F.array_sort(F.collect_list(F.struct("k", "mean", "sd"))).alias("_stats"))  # one row
+    z = F.zip_with("features", "_stats", lambda x, s: S.clamp((x - s["mean"]) / F.when(s["sd"] > 0, s["sd"]).otherwise(1.0), -6.0, 6.0))
+    return rows.crossJoin(F.broadcast(stats)).select("genome_id", z.alias("z"))

@@ -140,7 +140,8 @@ def evaluate(bars: DataFrame, genomes: DataFrame, config: Search, path: DataFram
         outs.select("genome_id", "sharpe", "cagr", "max_drawdown", "vol", "avg_hold", "bench_corr").join(robust, "genome_id", "left").fillna(0.0, ["robustness"])
         .join(ins.select("genome_id", F.col("sharpe").alias("is_sharpe")), "genome_id").join(genomes.select("genome_id", "family", "symbol"), "genome_id")
     )
-    z = features.standardised(features.combined(features.metric_features(ins, outs), features.behaviour(bt, end, n)))
+    # one row a genome, read twice
+    z = features.standardised(features.combined(features.metric_features(ins, outs), features.behaviour(bt, end, n)).persist())
     out = {"bt": bt, "trades": trades, "metrics": both, "folds": folded, "robustness": robust, "ranked": ranked, "z": z}
     if path is not None:
         out["regimes"] = M.masked(bt, path, config.warmup)

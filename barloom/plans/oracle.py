@@ -284,6 +284,7 @@ monthly AS MATERIALIZED (SELECT g AS genome_id, strftime(date, '%Y-%m') AS month
 _EQ = _BT + """,
 eqs AS (SELECT g AS genome_id, t, product(1 + ret) OVER (PARTITION BY g ORDER BY t ROWS UNBOUNDED PRECEDING) AS eq FROM final WHERE t >= 260)"""
 _VEC = "WITH v AS (SELECT lpad(CAST(vec_id AS VARCHAR), 4, '0') AS genome_id, CAST(embedding[1:8] AS DOUBLE[]) AS z, label AS cluster FROM embeddings WHERE vec_id < 120)"
+_VEC_ALL = "WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS genome_id, CAST(embedding AS DOUBLE[]) AS z, label AS cluster FROM embeddings)"
 _DIST = "sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))"
 
 _CSV = """WITH raw AS (
@@ -474,12 +475,16 @@ SELECT CAST(state AS INTEGER) AS state, label || CASE WHEN row_number() OVER (PA
         "metric_features": _BT + _metric_ctes(_IS_OOS) + " SELECT o.genome_id, " + ", ".join(f"{_r(x, 6)} AS f{k}" for k, x in enumerate(feats)) + f" FROM metrics {outs} JOIN metrics {ins} ON o.genome_id = i.genome_id AND o.slice = 'oos' AND i.slice = 'is'",
         "behaviour_signature": _BT + f", part AS (SELECT g, least(11, (t - {_END}) // (({_N} - {_END}) // 12)) AS k, product(1 + ret) - 1 AS r FROM final WHERE t >= {_END} GROUP BY 1, 2) SELECT g AS genome_id, " + ", ".join(f"{_r(f'least(2, greatest(-1, coalesce(max(r) FILTER (k = {k}), 0)))', 6)} AS b{k}" for k in range(12)) + " FROM part GROUP BY g",
         "feature_standardise": f"{_VEC} SELECT genome_id, CAST(k - 1 AS INTEGER) AS k, {_r('least(6, greatest(-6, (z[k] - avg(z[k]) OVER w) / CASE WHEN stddev_samp(z[k]) OVER w > 0 THEN stddev_samp(z[k]) OVER w ELSE 1 END))')} AS z FROM v, range(1, 9) AS q(k) WINDOW w AS (PARTITION BY k)",
+        "feature_standardise_all": f"{_VEC_ALL} SELECT genome_id, CAST(k - 1 AS INTEGER) AS k, {_r('least(6, greatest(-6, (z[k] - avg(z[k]) OVER w) / CASE WHEN stddev_samp(z[k]) OVER w > 0 THEN stddev_samp(z[k]) OVER w ELSE 1 END))')} AS z FROM v, range(1, 65) AS q(k) WINDOW w AS (PARTITION BY k)",
         "nearest_centroid": f"{_VEC}, c AS (SELECT cluster, list(x ORDER BY k) AS c FROM (SELECT cluster, k, avg(z[k]) AS x FROM v, range(1, 9) AS q(k) GROUP BY 1, 2) GROUP BY 1), d AS (SELECT genome_id, c.cluster, {_DIST.format(a='z', b='c')} AS distance FROM v, c) SELECT genome_id, cluster, {_r('distance', 6)} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY genome_id ORDER BY distance, cluster) AS k FROM d) WHERE k = 1",
+        "nearest_centroid_all": f"{_VEC_ALL}, c AS (SELECT cluster, list(x ORDER BY k) AS c FROM (SELECT cluster, k, avg(z[k]) AS x FROM v, range(1, 65) AS q(k) GROUP BY 1, 2) GROUP BY 1), d AS (SELECT genome_id, c.cluster, {_DIST.format(a='z', b='c')} AS distance FROM v, c) SELECT genome_id, cluster, {_r('distance', 6)} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY genome_id ORDER BY distance, cluster) AS k FROM d) WHERE k = 1",
         "silhouette": f"{_VEC}, d AS (SELECT a.genome_id, a.cluster, b.cluster AS c, avg({_DIST.format(a='a.z', b='b.z')}) AS d FROM v a JOIN v b ON a.genome_id <> b.genome_id GROUP BY 1, 2, 3), s AS (SELECT genome_id, max(d) FILTER (c = cluster) AS own, min(d) FILTER (c <> cluster) AS nxt FROM d GROUP BY genome_id) SELECT {_r('avg(CASE WHEN own IS NOT NULL AND nxt IS NOT NULL THEN (nxt - own) / greatest(own, nxt) ELSE 0 END)', 6)} AS silhouette FROM s",
+        "silhouette_all": f"{_VEC_ALL}, d AS (SELECT a.genome_id, a.cluster, b.cluster AS c, avg({_DIST.format(a='a.z', b='b.z')}) AS d FROM v a JOIN v b ON a.genome_id <> b.genome_id GROUP BY 1, 2, 3), s AS (SELECT genome_id, max(d) FILTER (c = cluster) AS own, min(d) FILTER (c <> cluster) AS nxt FROM d GROUP BY genome_id) SELECT {_r('avg(CASE WHEN own IS NOT NULL AND nxt IS NOT NULL THEN (nxt - own) / greatest(own, nxt) ELSE 0 END)', 6)} AS silhouette FROM s",
         "cluster_summary": f"{clustered} SELECT CAST(cluster AS INTEGER) AS cluster, size, {', '.join(f'{_r(c, 6)} AS {c}' for c in ('sharpe', 'cagr', 'max_drawdown', 'vol'))}, medoid_id FROM info JOIN medoid USING (cluster)",
         "cluster_labels": f"""{clustered}, named AS (SELECT *, CASE WHEN n / size > 0.7 THEN {label_of} ELSE {label_of} || '-led mix' END || ' · ' || CASE WHEN hold > 40 THEN 'slow' WHEN hold > 12 THEN 'swing' ELSE 'fast' END || ' · ' || CASE WHEN depth > 0.3 THEN 'high risk' WHEN depth > 0.15 THEN 'moderate' ELSE 'contained' END AS base FROM info JOIN lead USING (cluster))
 SELECT CAST(cluster AS INTEGER) AS cluster, base || CASE WHEN count(*) OVER (PARTITION BY base) > 1 THEN ' · ' || CASE WHEN corr > 0.45 THEN 'market-linked' WHEN corr < 0.2 THEN 'market-neutral' ELSE 'partly linked' END || ' · ' || CASE WHEN sharpe > 0.15 THEN 'positive edge' WHEN sharpe < -0.15 THEN 'negative edge' ELSE 'flat' END ELSE '' END AS label FROM named""",
         "cluster_blobs": f"{_VEC} SELECT cluster, {_r('avg(z[1] * 100)', 6)} AS x, {_r('avg(z[2] * 100)', 6)} AS y, {_r('least(240, greatest(34, 1.5 * sqrt(var_pop(z[1] * 100) + var_pop(z[2] * 100))))', 6)} AS radius FROM v GROUP BY cluster",
+        "cluster_blobs_all": f"{_VEC_ALL} SELECT cluster, {_r('avg(z[1] * 100)', 6)} AS x, {_r('avg(z[2] * 100)', 6)} AS y, {_r('least(240, greatest(34, 1.5 * sqrt(var_pop(z[1] * 100) + var_pop(z[2] * 100))))', 6)} AS radius FROM v GROUP BY cluster",
         "instrument_stats": f"{_BASE} SELECT symbol, {_r('arg_max(close, t)')} AS last_close, {_r('arg_max(close, t) / arg_min(close, t) - 1')} AS total_return, {_r('stddev_samp(ret) * sqrt(252.0)')} AS vol, {_r('min(dd)')} AS max_drawdown FROM (SELECT *, close / max(close) OVER (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM rets) GROUP BY symbol",
         "extents": f"{_BASE} SELECT symbol, {_r('CASE WHEN min(close) = max(close) THEN min(close) - 1 ELSE min(close) END', 6)} AS low, {_r('CASE WHEN min(close) = max(close) THEN max(close) + 1 ELSE max(close) END', 6)} AS high FROM bars GROUP BY symbol",
         "moments_of_returns": f"""{_BASE} SELECT symbol, {_r('avg(ret)', 10)} AS mean, {_r('var_samp(ret)', 10)} AS variance, {_r('stddev_samp(ret)', 10)} AS stdev, {_r('skewness(ret)', 6)} AS skew,

@@ -586,39 +586,79 @@ def behaviour_signature(spark, d):
     return rounded(features.behaviour(_bt(spark, d), end, n))
 
 
+def _survivors(spark, d) -> DataFrame:
+    """genome_id, z: the standardised features of the survivors of a search, capped by the search itself."""
+
+    def make() -> DataFrame:
+        run = search.search(bars(spark, d), CONFIG)
+        genomes = search.survivors_frame(spark, run).drop("fitness")
+        return search.evaluate(bars(spark, d), genomes, CONFIG)["z"]
+
+    return kept("survivors", spark, d, make)
+
+
+def _all_vectors(spark, d) -> DataFrame:
+    """All embeddings with all their components."""
+    rows = spark.read.parquet(f"{d}/embeddings.parquet")
+    return rows.select(F.col("vec_id").cast("string").alias("genome_id"), F.col("embedding").cast("array<double>").alias("features"), F.col("label").alias("cluster"))
+
+
 def _vectors(spark, d) -> DataFrame:
-    """The first 120 embeddings as a capped set of rows to cluster."""
+    """The first 120 embeddings and 8 of their components, as the twins of the queries without `_all` read them."""
     rows = spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id < 120")
     return rows.select(F.lpad(F.col("vec_id").cast("string"), 4, "0").alias("genome_id"), F.slice("embedding", 1, 8).cast("array<double>").alias("features"), F.col("label").alias("cluster"))
 
 
+def _standardised(vectors: DataFrame) -> DataFrame:
+    z = features.standardised(vectors)
+    return z.select("genome_id", F.posexplode("z").alias("k", "z")).select("genome_id", "k", r("z").alias("z"))
+
+
 @query
 def feature_standardise(spark, d):
-    z = features.standardised(_vectors(spark, d))
-    return z.select("genome_id", F.posexplode("z").alias("k", "z")).select("genome_id", "k", r("z").alias("z"))
+    return _standardised(_vectors(spark, d))
 
 
 @query
-def nearest_centroid(spark, d):
-    v = _vectors(spark, d).withColumnRenamed("features", "z")
+def feature_standardise_all(spark, d):
+    return _standardised(_all_vectors(spark, d))
+
+
+def _nearest(vectors: DataFrame) -> DataFrame:
+    v = vectors.withColumnRenamed("features", "z")
     long = v.select("cluster", F.posexplode("z").alias("k", "x")).groupBy("cluster", "k").agg(F.avg("x").alias("x"))
     c = long.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda e: e["x"]).alias("c"))
     return rounded(clustering.nearest_centroid(v.select("genome_id", "z"), c))
 
 
+@query
+def nearest_centroid(spark, d):
+    return _nearest(_vectors(spark, d))
+
+
+@query
+def nearest_centroid_all(spark, d):
+    return _nearest(_all_vectors(spark, d))
+
+
 @query
 def silhouette(spark, d):
     return rounded(clustering.silhouette(_vectors(spark, d).withColumnRenamed("features", "z")))
 
 
+@query
+def silhouette_all(spark, d):
+    return rounded(clustering.silhouette(_all_vectors(spark, d).withColumnRenamed("features", "z")))
+
+
 @query
 def kmeans_labels(spark, d):
-    return clustering.kmeans_labels(features.standardised(_vectors(spark, d)), None, CONFIG.seed)
+    return clustering.kmeans_labels(_survivors(spark, d), CONFIG.cluster_count, CONFIG.seed)
 
 
 @query
 def tsne_embedding(spark, d):
-    return clustering.embedding(features.standardised(_vectors(spark, d)), CONFIG.seed, 120)
+    return clustering.embedding(_survivors(spark, d), CONFIG.seed, 120)
 
 
 def _clustered(spark, d) -> DataFrame:
@@ -638,10 +678,19 @@ def cluster_labels(spark, d):
     return clustering.summary(_clustered(spark, d)).select("cluster", "label")
 
 
+def _blobs(vectors: DataFrame) -> DataFrame:
+    v = vectors.select("cluster", (F.element_at("features", 1) * 100).alias("x"), (F.element_at("features", 2) * 100).alias("y"))
+    return rounded(clustering.blobs(v))
+
+
 @query
 def cluster_blobs(spark, d):
-    v = _vectors(spark, d).select("cluster", (F.element_at("features", 1) * 100).alias("x"), (F.element_at("features", 2) * 100).alias("y"))
-    return rounded(clustering.blobs(v))
+    return _blobs(_vectors(spark, d))
+
+
+@query
+def cluster_blobs_all(spark, d):
+    return _blobs(_all_vectors(spark, d))
 
 
 @query
