@@ -110,8 +110,16 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, np.uint32), offsets
 
 
-def postings(rolling: Rolling, start: np.ndarray, size: np.ndarray, edits: int) -> list[np.ndarray]:
-    """Keys of all lines: own segments, and substrings that may be segments of shorter lines."""
+def allowed(size: np.ndarray, edits: int, min_chars: int) -> np.ndarray:
+    """Edits between a line and longer ones: `edits` from min_chars characters on, in proportion below."""
+    return np.minimum(edits, size * edits // max(1, min_chars))
+
+
+def postings(
+    rolling: Rolling, start: np.ndarray, size: np.ndarray, edits: int, owners: tuple[int, int] | None = None
+) -> list[np.ndarray]:
+    """Keys of all lines: own segments, and substrings that may be segments of shorter lines.
+    Only lengths in [low, high) of `owners` own segments, if it is given."""
     out = []
     parts = edits + 1
     for less in range(edits + 1):
@@ -127,6 +135,8 @@ def postings(rolling: Rolling, start: np.ndarray, size: np.ndarray, edits: int)
                 if not low <= shift <= high:
                     continue
                 ok = (at + shift >= 0) & (at + shift + width <= size) & (other > 0)
+                if owners:
+                    ok &= (other >= owners[0]) & (other < owners[1])
                 begin = start + np.where(ok, at + shift, 0)
                 key = rolling.of(begin, begin + np.where(ok, width, 0))
                 key = mix(key ^ (other.astype(np.uint64) * np.uint64(2 * parts) + np.uint64(2 * k + 1)) * _GOLD)
@@ -134,12 +144,32 @@ def postings(rolling: Rolling, start: np.ndarray, size: np.ndarray, edits: int)
     return out
 
 
+def _all_postings(rolling: Rolling, start: np.ndarray, size: np.ndarray, edits: int, min_chars: int, short: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, keys) by the edits of the lengths that own segments; lengths that allow none need no posting."""
+    if not short:
+        for key in postings(rolling, start, size, edits):
+            yield np.arange(len(size)), key
+        return
+    for e in range(1, edits + 1):
+        low = -(-e * max(1, min_chars) // edits)
+        high = 1 << 62 if e == edits else -(-(e + 1) * max(1, min_chars) // edits)
+        rows = np.flatnonzero((size >= low) & (size < high + e))
+        if len(rows):
+            for key in postings(rolling, start[rows], size[rows], e, (low, high)):
+                yield rows, key
+
+
 def _line_ids(rolling: Rolling, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (mix(rolling.of(start, end)) >> np.uint64(1)).astype(np.int64)
 
 
-def _cut(texts: list[str | None], min_chars: int) -> Iterator[tuple[int, Rolling, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first text, rolling hash, start, end, text, line number) of the lines that count, slice by slice."""
+#: White space by code point; none lies beyond.
+_BLANK = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
+
+
+def _cut(texts: list[str | None], min_chars: int, short: bool = False) -> Iterator[tuple[int, Rolling, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, rolling hash, start, end, text, line number) of the lines that count, slice by slice:
+    those of min_chars characters or more, and if `short` all shorter ones that are not blank."""
     filled = [t or "" for t in texts]
     sizes = np.zeros(len(filled) + 1, np.int64)
     np.cumsum([len(t) for t in filled], out=sizes[1:])
@@ -148,14 +178,18 @@ def _cut(texts: list[str | None], min_chars: int) -> Iterator[tuple[int, Rolling
         start, end, of = split_lines(points, offsets)
         number = np.arange(len(of)) - np.searchsorted(of, of)
         keep = end - start >= min_chars
+        if short:
+            inked = np.zeros(len(points) + 1, np.int32)
+            np.cumsum(~_BLANK[np.minimum(points, len(_BLANK) - 1)], out=inked[1:])
+            keep |= inked[end] > inked[start]
         yield lo, Rolling(points), start[keep], end[keep], of[keep], number[keep]
 
 
-def _occurrences(min_chars: int):
+def _occurrences(min_chars: int, short: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
-            for lo, rolling, start, end, of, number in _cut(batch.column("text").to_pylist(), min_chars):
+            for lo, rolling, start, end, of, number in _cut(batch.column("text").to_pylist(), min_chars, short):
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(of + lo)), pa.array(number), pa.array(_line_ids(rolling, start, end))],
                     ["doc_id", "line_no", "line"],
@@ -164,7 +198,7 @@ def _occurrences(min_chars: int):
     return run
 
 
-def _post(min_chars: int, edits: int, seen_rows: int = 1 << 16):
+def _post(min_chars: int, edits: int, short: bool, seen_rows: int = 1 << 16):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         lines: list[np.ndarray] = []
@@ -189,14 +223,14 @@ def _post(min_chars: int, edits: int, seen_rows: int = 1 << 16):
             )
 
         for batch in batches:
-            for _, rolling, start, end, _, _ in _cut(batch.column("text").to_pylist(), min_chars):
+            for _, rolling, start, end, _, _ in _cut(batch.column("text").to_pylist(), min_chars, short):
                 line = _line_ids(rolling, start, end)
                 _, one = np.unique(line, return_index=True)
                 start, size, line = start[one], (end - start)[one], line[one]
-                for key in postings(rolling, start, size, edits):
+                for rows, key in _all_postings(rolling, start, size, edits, min_chars, short):
                     live = key != 0
                     keys.append(key[live])
-                    lines.append(line[live])
+                    lines.append(line[rows[live]])
                     held += int(live.sum())
             if held >= seen_rows * 16:
                 yield flush()
@@ -228,13 +262,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(line[part]), pa.array(hub[part])], ["a", "b"])
 
 
-def _texts_of(min_chars: int, bits):
+def _texts_of(min_chars: int, short: bool, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bits.value
         n_bits = np.uint64(len(words) * 64)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for lo, rolling, start, end, of, number in _cut(texts, min_chars):
+            for lo, rolling, start, end, of, number in _cut(texts, min_chars, short):
                 line = _line_ids(rolling, start, end)
                 spot = (mix(line.view(np.uint64)) % n_bits).astype(np.int64)
                 hit = ((words[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
@@ -248,7 +282,7 @@ def _texts_of(min_chars: int, bits):
     return run
 
 
-def _confirm(edits: int):
+def _confirm(edits: int, min_chars: int, short: bool):
     def work(rows: pa.Table) -> pa.Table | None:
         n = rows.num_rows
         if n < 2:
@@ -258,14 +292,16 @@ def _confirm(edits: int):
         size = np.array([len(t) for t in texts])
         order = np.argsort(size, kind="stable")
         sorted_size = size[order]
+        most = allowed(size, edits, min_chars) if short else np.full(n, edits)
         cross = rows.column("_i")[0].as_py() != rows.column("_j")[0].as_py()
         forest = Forest(n)
         for at in range(n - 1):
             x = int(order[at])
-            for y in order[at + 1 : np.searchsorted(sorted_size, sorted_size[at] + edits, side="right")].tolist():
+            few = int(most[x])  # x is the shorter one
+            for y in order[at + 1 : np.searchsorted(sorted_size, sorted_size[at] + few, side="right")].tolist():
                 if (cross and own[x] == own[y]) or forest.find(x) == forest.find(y):
                     continue
-                if within(texts[x], texts[y], edits):
+                if within(texts[x], texts[y], few):
                     forest.join(x, y)
         a, b = np.array(forest.links, np.int64).reshape(-1, 2).T
         return pa.table({"a": ids[a], "b": ids[b]})
@@ -273,14 +309,14 @@ def _confirm(edits: int):
     return work
 
 
-def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 40, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 40, block: int = BLOCK, short: bool = False) -> tuple[DataFrame, DataFrame]:
     """(occurrences, classes): doc_id, line_no, line of every line that counts, and line, class of
     the lines that are within `edits` of another one, over chains of such links."""
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = rows.select("text")
-    posted = texts.mapInArrow(_post(min_chars, edits), "key long, a long, b long")
+    posted = texts.mapInArrow(_post(min_chars, edits, short), "key long, a long, b long")
     links = table(
         posted.where("key <> 0 or a <> b")
         # links found on the way have no key: deal them out by their line
@@ -294,15 +330,15 @@ def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 40, block: in
     loose = table(components(links), "loose-lines")
     bits = spark.sparkContext.broadcast(bloom_of_numbers(loose, "id"))
     content = (
-        texts.mapInArrow(_texts_of(min_chars, bits), "line long, content string")
+        texts.mapInArrow(_texts_of(min_chars, short, bits), "line long, content string")
         .groupBy("line")
         .agg(F.min("content").alias("content"))
     )
     size = loose.groupBy("comp").agg(F.count("*").alias("size"))
     members = content.join(loose.join(size, "comp").withColumnRenamed("id", "line"), "line")
-    near = each_task(spread(members, "comp", "line", "size", block), _confirm(edits), "a long, b long", ["line", "content", "_own"])
+    near = each_task(spread(members, "comp", "line", "size", block), _confirm(edits, min_chars, short), "a long, b long", ["line", "content", "_own"])
     classes = components(near).select(F.col("id").alias("line"), F.col("comp").alias("class"))
-    return rows.mapInArrow(_occurrences(min_chars), "doc_id long, line_no long, line long"), classes
+    return rows.mapInArrow(_occurrences(min_chars, short), "doc_id long, line_no long, line long"), classes
 
 
 def _meet_or_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,16 +376,18 @@ def bloom_of_numbers(ids: DataFrame, column: str, max_bits: int = 1 << 26) -> np
     return out.view(np.uint64)
 
 
-def repeated_lines(docs: DataFrame, edits: int = 2, min_chars: int = 40, block: int = BLOCK) -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = 2, min_chars: int = 40, block: int = BLOCK, short: bool = False) -> DataFrame:
     """doc_id, line_no, class, first_doc, first_line of every line that is not the first of its class.
 
     A class holds equal lines and lines linked by edit distance of at most `edits`, over
     chains. Its first line has the smallest (doc_id, line_no). Lines, between line feeds,
-    of under `min_chars` characters are left alone. Null text has no lines. A null doc_id
+    of under `min_chars` characters are left alone, or, if `short`, compared with edits in
+    proportion to the length of the shorter one (none is left of very short lines, of which
+    exact copies count) unless they are blank. Null text has no lines. A null doc_id
     comes after all others; repeated rows with one doc_id repeat each other's lines but
     are one document, so a line there is repeated only if another line_no or document has it.
     """
-    seen, classes = line_classes(docs, edits, min_chars, block)
+    seen, classes = line_classes(docs, edits, min_chars, block, short)
     seen = table(seen, "lines")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col("line_no").alias("no"))
     by_line = seen.groupBy("line").agg(F.min(order).alias("first"), F.max(order).alias("last"))
@@ -368,14 +406,14 @@ def repeated_lines(docs: DataFrame, edits: int = 2, min_chars: int = 40, block:
     )
 
 
-def without_repeats(docs: DataFrame, edits: int = 2, min_chars: int = 40) -> DataFrame:
+def without_repeats(docs: DataFrame, edits: int = 2, min_chars: int = 40, short: bool = False) -> DataFrame:
     """docs without the lines that repeated_lines finds; all columns stay, n_chars is counted anew if there.
 
     A document that loses lines and has nothing but white space left goes. Rows without a
     doc_id or a text stay as they are.
     """
     named = docs.where("doc_id is not null")
-    drops = repeated_lines(named, edits, min_chars).groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_set("line_no").alias("_drop"))
+    drops = repeated_lines(named, edits, min_chars, short=short).groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_set("line_no").alias("_drop"))
     joined = named.join(drops, F.col("doc_id").cast("long") == F.col("_drop_id"), "left")
     rest = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_drop", i.cast("long")))
     text = F.when(F.col("_drop").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
