@@ -658,7 +658,7 @@ def kmeans_labels(spark, d):
 
 @query
 def tsne_embedding(spark, d):
-    return clustering.embedding(_survivors(spark, d), CONFIG.seed, 120)
+    return clustering.embedding(_survivors(spark, d), CONFIG.seed)
 
 
 def _clustered(spark, d) -> DataFrame:

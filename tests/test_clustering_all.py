@@ -42,3 +42,11 @@ def test_fits_read_the_survivors(spark):
     z = queries._survivors(spark, SF).toPandas()
     assert sorted(labels["genome_id"]) == sorted(z["genome_id"]) and 2 < len(labels) <= 140
     assert {len(v) for v in z["z"]} == {28}
+
+
+def test_embedding_runs_all_rounds(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(C, "embedding", lambda rows, seed, rounds=480: seen.append(rounds))
+    monkeypatch.setattr(queries, "_survivors", lambda spark, d: None)
+    queries.queries()["tsne_embedding"](spark, SF)
+    assert seen == [480]
