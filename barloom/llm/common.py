@@ -7,6 +7,8 @@ arithmetic on numpy arrays.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -33,24 +35,57 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where it is unset (tests)."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a local master gets a folder of
+    its own, removed at exit; a cluster, whose machines share none, is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="barloom-"))
+        path = tempfile.mkdtemp(prefix="barloom-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _own_dir.append("file://" + path)
     return _own_dir[0]
 
 
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/barloom-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as Parquet to the shared folder and read it again.
 
     A lost executor then costs a re-read, not a recomputation of everything before.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/barloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, name)[0]
+
+
+class Tables:
+    """The tables of one run in the shared folder; those that its result doesn't read go when the run ends, however it ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for df in list(self.paths):
+            self.drop(df)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """A table that goes with the run."""
+        out, path = _written(df, name)
+        self.paths[out] = path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(df))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -69,16 +104,16 @@ def thinned(count: int, wanted: int) -> int:
 # --- connected components ---------------------------------------------------
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, tables: Tables, max_rounds: int = 40) -> DataFrame:
     """(a, b) edges of bigint ids -> (id, comp): comp is the smallest id reachable.
 
     Alternating large-star and small-star steps; every step is a min-aggregation and
     a join on the node, so a hub is split by partial aggregation and skew joins.
-    Each round is written to the shared folder; rounds end when all components are stars.
-    Nodes without an edge are absent.
+    Each round is written to the shared folder and replaces the one before; rounds end when all
+    components are stars. Nodes without an edge are absent.
     """
     low_high = (F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = table(edges.where("a <> b").select(*low_high).distinct(), "edges")
+    now = tables.write(edges.where("a <> b").select(*low_high).distinct(), "edges")
     for _ in range(max_rounds):
         if _only_stars(now):
             break
@@ -87,7 +122,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = table(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        old, now = now, tables.write(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        tables.drop(old)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(
@@ -149,6 +185,86 @@ def spread(df: DataFrame, group: str, member: str, size: str, block: int = BLOCK
     )
 
 
+class Trees:
+    """The trees that links have joined rows into, as a flat label of each row; keeps the links that joined two."""
+
+    def __init__(self, roots: np.ndarray):
+        _, self.of = np.unique(roots, return_inverse=True)
+        self.count = int(self.of.max()) + 1 if len(self.of) else 0
+        self.links: list[tuple[int, int]] = []
+
+    def join(self, x: int, y: int) -> None:
+        p, q = self.of[x], self.of[y]
+        if p != q:
+            self.of[self.of == q] = p
+            self.count -= 1
+            self.links.append((x, y))
+
+
+class Members:
+    """The rows of one task of group_links: nodes, the trees they are in, and which pairs are this task's."""
+
+    def __init__(self, rows: pa.Table):
+        self.node = rows.column("node").to_numpy()
+        self.trees = Trees(rows.column("_root").to_numpy())
+        self.cross = rows.column("_j")[0].as_py() >= 0
+        self.visits = rows.column("_visits").to_numpy(zero_copy_only=False)
+        self.loose = rows.column("_loose").to_numpy(zero_copy_only=False)
+
+    def __len__(self) -> int:
+        return len(self.node)
+
+    def pairs(self, x: int, y: np.ndarray) -> np.ndarray:
+        """Whether x and each of the rows y are in different trees and, between blocks, a visitor and a resident;
+        two loose members meet twice there, and only the visit of the smaller node counts."""
+        open_ = self.trees.of[y] != self.trees.of[x]
+        if not self.cross:
+            return open_
+        visitor, resident = (x, y) if self.visits[x] else (y, x)
+        return open_ & (self.visits[y] != self.visits[x]) & (~self.loose[resident] | (self.node[visitor] < self.node[resident]))
+
+    def done(self) -> pa.Table | None:
+        if not self.trees.links:
+            return None
+        a, b = np.array(self.trees.links, np.int64).T
+        return pa.table({"a": self.node[a], "b": self.node[b]})
+
+
+def group_links(members: DataFrame, work: Callable[[pa.Table], pa.Table | None], payload: list[str], tables: Tables, block: int = BLOCK) -> DataFrame:
+    """(a, b): links that span the components of what `work` would link among all pairs of a group's members.
+
+    members: a written table of (group, node, payload...), bigint group and node. A group of up to `block`
+    members is one task. A larger one is dealt to blocks by a hash of the node, and after
+    the work inside blocks only pairs that lie in two of the components found so far remain. So members
+    outside a group's largest component, its loose ones, visit every block: the group's n members are
+    copied once for every `block` of its m loose ones, and these once for every block,
+    n * m / block rows of both, and none if the blocks' links connect the group. A task holds about two blocks.
+    """
+    size = members.groupBy("group").agg(F.count("*").alias("size"))
+    big = tables.write(size.where(F.col("size") > block), "big")
+    blocks = F.ceil(F.coalesce("size", F.lit(1)) / F.lit(block)).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(11), F.col("node")), blocks).cast("int")
+    sized = members.join(big, "group", "left").select("group", "node", *payload, own.alias("_i"), blocks.alias("_blocks"))
+    none = (F.col("node").alias("_root"), F.lit(False).alias("_visits"), F.lit(False).alias("_loose"))
+    columns = ["node", "_root", "_visits", "_loose", *payload]
+    inside = each_task(sized.select("*", F.col("group").alias("_g"), F.lit(-1).alias("_j"), *none), work, "a long, b long", columns)
+    inside = tables.write(inside, "links")
+    if big.isEmpty():
+        return inside
+    rooted = components(inside, tables).withColumnRenamed("id", "node").withColumnRenamed("comp", "root")
+    placed = sized.where("_blocks > 1").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = placed.groupBy("group", "root").agg(F.count("*").alias("n"))
+    most = parts.groupBy("group").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("loose"))
+    open_ = tables.write(most.where("loose > 0"), "open")
+    placed = placed.join(open_, "group").withColumn("_loose", F.col("root") != F.col("main"))
+    guests = F.ceil(F.col("loose") / F.lit(block)).cast("int")
+    seat = F.pmod(F.xxhash64(F.lit(13), F.col("node")), guests).cast("int")
+    residents = placed.withColumn("_j", F.explode(F.sequence(F.lit(0), guests - 1))).withColumn("_visits", F.lit(False))
+    visitors = placed.where("_loose").withColumn("_j", seat).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("_visits", F.lit(True))
+    both = residents.unionByName(visitors).withColumn("_g", F.col("group")).withColumn("_root", F.col("root"))
+    return inside.union(tables.write(each_task(both, work, "a long, b long", columns), "links"))
+
+
 def each_task(
     df: DataFrame, work: Callable[[pa.Table], pa.Table | None], schema: str, names: list[str]
 ) -> DataFrame:
@@ -237,6 +353,14 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
     return _powers[key][:n]
 
 
+def _places(n: int) -> np.ndarray:
+    """A random-looking number for each place in a word."""
+    if "places" not in _powers or len(_powers["places"]) < n:
+        size = 1 << max(12, int(n).bit_length())
+        _powers["places"] = mix(np.arange(1, size + 1, dtype=np.uint64) * BASE)
+    return _powers["places"]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64)."""
     h = h ^ (h >> np.uint64(30))
@@ -247,7 +371,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any slices of one unit array (bytes or code points), each in constant time."""
+    """Hashes of any slices of one unit array, each in constant time: a polynomial modulo 2 ** 64, for
+    candidates only. Some unlike slices of over 1,000 units have equal hashes."""
 
     def __init__(self, units: np.ndarray):
         n = len(units)
@@ -265,6 +390,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: A random-looking number for each byte, the same for A-Z and a-z.
+_LETTERS = mix(_LOWER.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
 
 
 def utf8(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -293,8 +420,22 @@ def space_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     first[cut] = inside[cut]
     last[cut - 1] = inside[cut - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    hashes = Rolling(_LOWER[data]).of(starts, ends) if n else np.zeros(0, np.uint64)
-    return hashes, np.searchsorted(starts, offsets)
+    return _hashes_of(data, starts, ends), np.searchsorted(starts, offsets)
+
+
+def _hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of words in order, apart: the sum over their bytes of a number of the byte xor one of its place in
+    the word. No polynomial, so no two words collide by their pattern."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size = ends - starts
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] = 1
+    inside[ends] -= 1
+    letters = _LETTERS[data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]]
+    letters ^= _places(int(size.max()))[place]
+    return mix(np.add.reduceat(letters, np.cumsum(size) - size) ^ (size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
 def slices(offsets: np.ndarray, limit: int = 1 << 22) -> Iterator[tuple[int, int]]:

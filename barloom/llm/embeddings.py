@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, Forest, components, each_task, mix, prepare, spread, table
+from .common import BLOCK, Forest, Tables, components, each_task, mix, prepare, spread, table
 
 _PLANES: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -120,7 +120,7 @@ def _compare(cosine: float, width: int, tables: int, step: float):
 
 
 def near_vectors(
-    vectors: DataFrame, cosine: float = 0.9, width: int = 8, tables: int = 40, step: float = 1.6, block: int = BLOCK
+    vectors: DataFrame, cosine: float = 0.9, width: int = 8, hashes: int = 40, step: float = 1.6, block: int = BLOCK
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row of vectors (vec_id, embedding, ...).
 
@@ -131,31 +131,36 @@ def near_vectors(
     rows are copies, linked with each other. Other columns are not read. Empty table: no rows.
     """
     prepare(vectors.sparkSession)
+    with Tables(vectors.sparkSession) as tables:
+        return table(_near_vectors(vectors, cosine, width, hashes, step, block, tables), "near-vectors")
+
+
+def _near_vectors(vectors: DataFrame, cosine: float, width: int, hashes: int, step: float, block: int, tables: Tables) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     sound = (
         F.col("vec_id").isNotNull()
         & F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
         & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
     )
-    groups = table(rows.where(sound).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
-    hot = table(
-        groups.select("embedding").mapInArrow(_hash(width, tables, step, False), "bucket long")
+    groups = tables.write(rows.where(sound).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
+    hot = tables.write(
+        groups.select("embedding").mapInArrow(_hash(width, hashes, step, False), "bucket long")
         .groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > block),
         "hot",
     )
     posted = groups.mapInArrow(
-        _hash(width, tables, step, True), "bucket long, rep long, copies long, embedding array<double>, table_no int"
+        _hash(width, hashes, step, True), "bucket long, rep long, copies long, embedding array<double>, table_no int"
     )
     sized = posted.join(hot, "bucket", "left").withColumn("size", F.coalesce("size", F.lit(1)))
-    found = table(
+    found = tables.write(
         each_task(
-            spread(sized, "bucket", "rep", "size", block), _compare(cosine, width, tables, step), "a long, b long, n long",
+            spread(sized, "bucket", "rep", "size", block), _compare(cosine, width, hashes, step), "a long, b long, n long",
             ["rep", "copies", "embedding", "table_no", "_own"],
         ),
         "near",
     )
     linked = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    settled = components(found.where("b is not null").select("a", "b")).withColumnRenamed("id", "rep")
+    settled = components(found.where("b is not null").select("a", "b"), tables).withColumnRenamed("id", "rep")
     of_group = (
         groups.join(linked, "rep", "left").join(settled, "rep", "left")
         .select("embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("comp", "rep").alias("top"))

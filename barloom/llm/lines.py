@@ -7,22 +7,28 @@ to `edits` shorter than its own, under the substrings that could be a segment of
 of that length; positions follow the multi-match-aware bounds. All of these are slices
 of one rolling hash, so a posting costs a few machine operations.
 
-Pre-aggregation: each map task links the lines of equal posting it holds and sends one
-of them on, so a posting shared by a third of all lines is at most one row a task.
-Lines that meet under a posting form loose groups; within them a banded bit-parallel
-edit distance confirms links in blocks of bounded size.
+Pre-aggregation: each map task links the lines of equal posting it holds to one of them and
+sends that on, so a posting shared by a third of all lines is at most one row a task. This
+tells which lines meet another one at all. Only their texts are read again and posted in
+full; the lines of each posting are verified against each other, in blocks of bounded size, by a
+banded bit-parallel edit distance, and only verified links are closed into classes.
+
+Lines are told apart by 128 bits of BLAKE2b; postings, by a rolling hash of 64 bits, only propose.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from .common import BLOCK, Forest, Rolling, components, each_task, mix, partitions, prepare, slices, spread, table
+from .common import BLOCK, Members, Rolling, Tables, components, group_links, mix, partitions, prepare, slices, table
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -159,16 +165,23 @@ def _all_postings(rolling: Rolling, start: np.ndarray, size: np.ndarray, edits:
                 yield rows, key
 
 
-def _line_ids(rolling: Rolling, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return (mix(rolling.of(start, end)) >> np.uint64(1)).astype(np.int64)
+def _line_ids(texts: list[str], of: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """(two bigints for each line, its content); lines by text and number of the line in it, in order."""
+    cut, at, out, found = [], -1, bytearray(), []
+    for i, k in zip(of.tolist(), number.tolist()):
+        if i != at:
+            cut, at = texts[i].split("\n"), i
+        found.append(cut[k])
+        out += blake2b(cut[k].encode(), digest_size=16).digest()
+    return np.frombuffer(bytes(out), np.int64).reshape(-1, 2), found
 
 
 #: White space by code point; none lies beyond.
 _BLANK = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
 
 
-def _cut(texts: list[str | None], min_chars: int, short: bool = False) -> Iterator[tuple[int, Rolling, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first text, rolling hash, start, end, text, line number) of the lines that count, slice by slice:
+def _cut(texts: list[str | None], min_chars: int, short: bool = False) -> Iterator[tuple[int, Rolling, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]]:
+    """(first text, code points, start, end, text, line number, id, content) of the lines that count, slice by slice:
     those of min_chars characters or more, and if `short` all shorter ones that are not blank."""
     filled = [t or "" for t in texts]
     sizes = np.zeros(len(filled) + 1, np.int64)
@@ -182,23 +195,25 @@ def _cut(texts: list[str | None], min_chars: int, short: bool = False) -> Iterat
             inked = np.zeros(len(points) + 1, np.int32)
             np.cumsum(~_BLANK[np.minimum(points, len(_BLANK) - 1)], out=inked[1:])
             keep |= inked[end] > inked[start]
-        yield lo, Rolling(points), start[keep], end[keep], of[keep], number[keep]
+        ids, content = _line_ids(filled[lo:hi], of[keep], number[keep])
+        yield lo, points, start[keep], end[keep], of[keep], number[keep], ids, content
 
 
 def _occurrences(min_chars: int, short: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
-            for lo, rolling, start, end, of, number in _cut(batch.column("text").to_pylist(), min_chars, short):
+            rows = [batch.column(k) for k in range(batch.num_columns) if batch.schema.names[k] != "text"]
+            names = [x for x in batch.schema.names if x != "text"]
+            for lo, _, _, _, of, number, ids, _ in _cut(batch.column("text").to_pylist(), min_chars, short):
+                at = pa.array(of + lo)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(of + lo)), pa.array(number), pa.array(_line_ids(rolling, start, end))],
-                    ["doc_id", "line_no", "line"],
+                    [*(r.take(at) for r in rows), pa.array(number), pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy())], [*names, "line_no", "line", "check"]
                 )
 
     return run
 
 
-def _post(min_chars: int, edits: int, short: bool, seen_rows: int = 1 << 16):
+def _post(min_chars: int, edits: int, short: bool, held_rows: int = 1 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         lines: list[np.ndarray] = []
@@ -212,27 +227,25 @@ def _post(min_chars: int, edits: int, short: bool, seen_rows: int = 1 << 16):
             first[1:] = key[1:] != key[:-1]
             hub = line[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
             local = ~first & (line != hub)
-            # a posting to send on has its own key; a link found here has key 0
+            # a posting to send on has its own key; a line that met another here has key 0
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([key[first], np.zeros(local.sum(), np.int64)])),
-                    pa.array(np.concatenate([hub[first], line[local]])),
-                    pa.array(np.concatenate([hub[first], hub[local]])),
+                    pa.array(np.concatenate([key[first], np.zeros(2 * local.sum(), np.int64)])),
+                    pa.array(np.concatenate([hub[first], line[local], hub[local]])),
                 ],
-                ["key", "a", "b"],
+                ["key", "line"],
             )
 
         for batch in batches:
-            for _, rolling, start, end, _, _ in _cut(batch.column("text").to_pylist(), min_chars, short):
-                line = _line_ids(rolling, start, end)
-                _, one = np.unique(line, return_index=True)
-                start, size, line = start[one], (end - start)[one], line[one]
-                for rows, key in _all_postings(rolling, start, size, edits, min_chars, short):
+            for _, points, start, end, _, _, ids, _ in _cut(batch.column("text").to_pylist(), min_chars, short):
+                line, one = np.unique(ids[:, 0], return_index=True)
+                start, size = start[one], (end - start)[one]
+                for rows, key in _all_postings(Rolling(points), start, size, edits, min_chars, short):
                     live = key != 0
                     keys.append(key[live])
                     lines.append(line[rows[live]])
                     held += int(live.sum())
-            if held >= seen_rows * 16:
+            if held >= held_rows:
                 yield flush()
                 keys.clear()
                 lines.clear()
@@ -243,23 +256,37 @@ def _post(min_chars: int, edits: int, short: bool, seen_rows: int = 1 << 16):
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between lines of equal posting in a partition dealt by posting."""
-    held = [(b.column("key").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
-    if not held:
-        return
-    key, line = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-    held.clear()
-    order = np.argsort(key)
-    key, line = key[order], line[order]
-    del order
-    first = np.ones(len(key), bool)
-    first[1:] = key[1:] != key[:-1]
-    hub = line[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-    met = np.flatnonzero(line != hub)
-    for lo in range(0, len(met), 1 << 16):
-        part = met[lo : lo + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(line[part]), pa.array(hub[part])], ["a", "b"])
+def _meet(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The lines that share a posting with another one, in a partition sorted by posting; those of key 0 are known to."""
+    last_key = last_line = None
+    held: list[pa.RecordBatch] = []
+
+    def found() -> np.ndarray:
+        nonlocal last_key, last_line
+        key, line = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("key", "line"))
+        held.clear()
+        known = line[key == 0]
+        key, line = key[key != 0], line[key != 0]
+        if not len(key):
+            return np.unique(known)
+        first = np.ones(len(key), bool)
+        first[1:] = key[1:] != key[:-1]
+        first[0] = key[0] != last_key
+        at = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
+        hub = np.where(at >= 0, line[np.maximum(at, 0)], line[0] if last_line is None else last_line)
+        met = line != hub
+        last_key, last_line = key[-1], hub[-1]
+        return np.unique(np.concatenate([known, line[met], hub[met]]))
+
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.RecordBatch.from_arrays([pa.array(found())], ["line"])
+            n = 0
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array(found())], ["line"])
 
 
 def _texts_of(min_chars: int, short: bool, bits):
@@ -267,91 +294,96 @@ def _texts_of(min_chars: int, short: bool, bits):
         words = bits.value
         n_bits = np.uint64(len(words) * 64)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, rolling, start, end, of, number in _cut(texts, min_chars, short):
-                line = _line_ids(rolling, start, end)
+            for _, _, _, _, _, _, ids, content in _cut(batch.column("text").to_pylist(), min_chars, short):
+                line = ids[:, 0]
                 spot = (mix(line.view(np.uint64)) % n_bits).astype(np.int64)
                 hit = ((words[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
                 if not hit.any():
                     continue
-                _, one = np.unique(line[hit], return_index=True)
+                _, one = np.unique(ids[hit], axis=0, return_index=True)
                 rows = np.flatnonzero(hit)[one]
-                found = [texts[lo + of[r]].split("\n")[number[r]] for r in rows.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(line[rows]), pa.array(found, pa.string())], ["line", "content"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(line[rows]), pa.array(ids[rows, 1]), pa.array([content[r] for r in rows.tolist()], pa.string())], ["line", "check", "content"]
+                )
 
     return run
 
 
+def _keys_of(min_chars: int, edits: int, short: bool):
+    """Every posting of some lines (node, content)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, node = batch.column("content").to_pylist(), batch.column("node").to_numpy()
+            points, offsets = code_points(texts)
+            for rows, key in _all_postings(Rolling(points), offsets[:-1], np.diff(offsets), edits, min_chars, short):
+                live = key != 0
+                if live.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(key[live]), pa.array(node[rows[live]])], ["group", "node"])
+
+    return run
+
+
+def _letters(texts: list[str]) -> np.ndarray:
+    """How often each text has the characters of each of 32 kinds; one edit changes two of the counts by one at most."""
+    points, offsets = code_points(texts)
+    of = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    kind = (points * np.uint32(0x9E3779B1)) >> np.uint32(27)
+    return np.bincount(of * 32 + kind, minlength=32 * len(texts)).reshape(-1, 32)
+
+
 def _confirm(edits: int, min_chars: int, short: bool):
     def work(rows: pa.Table) -> pa.Table | None:
-        n = rows.num_rows
-        if n < 2:
+        """Links of the task's lines that are within the edits allowed to the shorter one."""
+        members = Members(rows)
+        if members.trees.count == 1:
             return None
-        ids, own = rows.column("line").to_numpy(), rows.column("_own").to_numpy()
         texts = rows.column("content").to_pylist()
         size = np.array([len(t) for t in texts])
+        letters = _letters(texts)
         order = np.argsort(size, kind="stable")
-        sorted_size = size[order]
-        most = allowed(size, edits, min_chars) if short else np.full(n, edits)
-        cross = rows.column("_i")[0].as_py() != rows.column("_j")[0].as_py()
-        forest = Forest(n)
-        for at in range(n - 1):
+        ranked = size[order]
+        most = allowed(size, edits, min_chars) if short else np.full(len(texts), edits)
+        for at in range(len(texts)):
+            if members.trees.count == 1:
+                break
             x = int(order[at])
-            few = int(most[x])  # x is the shorter one
-            for y in order[at + 1 : np.searchsorted(sorted_size, sorted_size[at] + few, side="right")].tolist():
-                if (cross and own[x] == own[y]) or forest.find(x) == forest.find(y):
-                    continue
-                if within(texts[x], texts[y], few):
-                    forest.join(x, y)
-        a, b = np.array(forest.links, np.int64).reshape(-1, 2).T
-        return pa.table({"a": ids[a], "b": ids[b]})
+            # lines within the edits of x; the shorter one of a pair says how many these are, so each pair is seen from it
+            others = order[at + 1 : np.searchsorted(ranked, ranked[at] + most[x], side="right")]
+            others = others[members.pairs(x, others)]
+            near = np.abs(letters[others] - letters[x]).sum(axis=1) <= 2 * most[x]
+            for y in others[near].tolist():
+                if members.trees.of[x] != members.trees.of[y] and within(texts[x], texts[y], int(most[x])):
+                    members.trees.join(x, y)
+        return members.done()
 
     return work
 
 
-def line_classes(docs: DataFrame, edits: int = 2, min_chars: int = 40, block: int = BLOCK, short: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, classes): doc_id, line_no, line of every line that counts, and line, class of
-    the lines that are within `edits` of another one, over chains of such links."""
+def line_classes(docs: DataFrame, tables: Tables, edits: int = 2, min_chars: int = 40, block: int = BLOCK, short: bool = False) -> DataFrame:
+    """line, check, class: the lines that are within `edits` of another one, over chains of such links."""
     spark = docs.sparkSession
-    prepare(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = rows.select("text")
-    posted = texts.mapInArrow(_post(min_chars, edits, short), "key long, a long, b long")
-    links = table(
-        posted.where("key <> 0 or a <> b")
-        # links found on the way have no key: deal them out by their line
-        .select(F.when(F.col("key") == 0, F.col("a")).otherwise(F.col("key")).alias("deal"), "key", "a", "b")
-        .repartition(partitions(spark), "deal")
-        .mapInArrow(_meet_or_pass, "a long, b long")
-        .where("a <> b")
-        .distinct(),
-        "met",
-    )
-    loose = table(components(links), "loose-lines")
-    bits = spark.sparkContext.broadcast(bloom_of_numbers(loose, "id"))
+    texts = docs.select("text")
+    posted = texts.mapInArrow(_post(min_chars, edits, short), "key long, line long")
+    # lines that have met on the way have no key: deal them out by their own number
+    dealt = posted.repartition(partitions(spark), F.when(F.col("key") == 0, F.col("line")).otherwise(F.col("key"))).sortWithinPartitions("key")
+    meeting = tables.write(dealt.mapInArrow(_meet, "line long").distinct(), "meeting")
+    bits = spark.sparkContext.broadcast(bloom_of_numbers(meeting, "line"))
     content = (
-        texts.mapInArrow(_texts_of(min_chars, short, bits), "line long, content string")
-        .groupBy("line")
+        texts.mapInArrow(_texts_of(min_chars, short, bits), "line long, check long, content string")
+        .join(meeting, "line", "left_semi")
+        .groupBy("line", "check")
         .agg(F.min("content").alias("content"))
     )
-    size = loose.groupBy("comp").agg(F.count("*").alias("size"))
-    members = content.join(loose.join(size, "comp").withColumnRenamed("id", "line"), "line")
-    near = each_task(spread(members, "comp", "line", "size", block), _confirm(edits, min_chars, short), "a long, b long", ["line", "content", "_own"])
-    classes = components(near).select(F.col("id").alias("line"), F.col("comp").alias("class"))
-    return rows.mapInArrow(_occurrences(min_chars, short), "doc_id long, line_no long, line long"), classes
-
-
-def _meet_or_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def keyed() -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            link = batch.column("key").to_numpy() == 0
-            if link.any():
-                passed.append(batch.filter(pa.array(link)).select(["a", "b"]))
-            yield batch.filter(pa.array(~link))
-
-    passed: list[pa.RecordBatch] = []
-    yield from _meet(keyed())
-    yield from passed
+    # numbers of their own: lines that agree in 64 bits only stay apart
+    nodes = tables.write(content.withColumn("node", F.monotonically_increasing_id()), "meeting-lines")
+    keys = tables.write(nodes.select("node", "content").mapInArrow(_keys_of(min_chars, edits, short), "group long, node long").distinct(), "keys")
+    shared = keys.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
+    members = keys.join(shared, "group").join(nodes.select("node", "content"), "node").select("group", "node", "content")
+    members = tables.write(members, "members")
+    near = group_links(members, _confirm(edits, min_chars, short), ["content"], tables, block)
+    settled = components(near, tables).withColumnRenamed("id", "node")
+    return tables.write(nodes.join(settled, "node").select("line", "check", F.col("comp").alias("class")), "classes")
 
 
 def bloom_of_numbers(ids: DataFrame, column: str, max_bits: int = 1 << 26) -> np.ndarray:
@@ -376,6 +408,29 @@ def bloom_of_numbers(ids: DataFrame, column: str, max_bits: int = 1 << 26) -> np
     return out.view(np.uint64)
 
 
+def _repeats(docs: DataFrame, edits: int, min_chars: int, block: int, short: bool, tables: Tables) -> DataFrame:
+    """doc_id, row, line_no, class, first_doc, first_line; row: a hash of the text, so that rows of one doc_id are told apart."""
+    prepare(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+    classes = line_classes(rows, tables, edits, min_chars, block, short)
+    seen = tables.write(rows.mapInArrow(_occurrences(min_chars, short), "doc_id long, row long, line_no long, line long, check long"), "lines")
+    line = ["line", "check"]
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col("row").alias("row"), F.col("line_no").alias("no"))
+    by_line = seen.groupBy(*line).agg(F.min(order).alias("first"), F.max(order).alias("last"))
+    # classes of one line are done; only lines in a class of several need the class's first
+    near = by_line.join(classes, line)
+    first = near.groupBy("class").agg(F.min("first").alias("top"))
+    known = near.join(first, "class").select(*line, "class", "top").union(
+        by_line.join(classes, line, "left_anti").where("first < last").select(*line, F.lit(None).cast("long").alias("class"), F.col("first").alias("top"))
+    )
+    return (
+        seen.join(known, line)
+        .where(~(F.col("doc_id").eqNullSafe(F.col("top.doc")) & (F.col("row") == F.col("top.row")) & (F.col("line_no") == F.col("top.no"))))
+        .select("doc_id", "row", "line_no", F.coalesce("class", "line").alias("class"), F.col("top.doc").alias("first_doc"), F.col("top.no").alias("first_line"))
+        .distinct()
+    )
+
+
 def repeated_lines(docs: DataFrame, edits: int = 2, min_chars: int = 40, block: int = BLOCK, short: bool = False) -> DataFrame:
     """doc_id, line_no, class, first_doc, first_line of every line that is not the first of its class.
 
@@ -383,42 +438,48 @@ def repeated_lines(docs: DataFrame, edits: int = 2, min_chars: int = 40, block:
     chains. Its first line has the smallest (doc_id, line_no). Lines, between line feeds,
     of under `min_chars` characters are left alone, or, if `short`, compared with edits in
     proportion to the length of the shorter one (none is left of very short lines, of which
-    exact copies count) unless they are blank. Null text has no lines. A null doc_id
-    comes after all others; repeated rows with one doc_id repeat each other's lines but
-    are one document, so a line there is repeated only if another line_no or document has it.
+    exact copies count) unless they are blank. class is a number that a class's lines share. Null text
+    has no lines. A null doc_id comes after all others. Rows equal in doc_id and text are one document, so a
+    line there is repeated only if another line_no or document has it; rows of one doc_id
+    with unlike texts are documents of their own, in order of a hash of the text.
     """
-    seen, classes = line_classes(docs, edits, min_chars, block, short)
-    seen = table(seen, "lines")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col("line_no").alias("no"))
-    by_line = seen.groupBy("line").agg(F.min(order).alias("first"), F.max(order).alias("last"))
-    by_line = by_line.join(classes, "line", "left").withColumn("class", F.coalesce("class", "line"))
-    # classes of one line are done; only lines in a class of several need the class's first
-    near = by_line.join(classes.select("line"), "line", "left_semi")
-    first = near.groupBy("class").agg(F.min("first").alias("top"))
-    known = near.join(first, "class").select("line", "class", "top").union(
-        by_line.join(classes.select("line"), "line", "left_anti").where("first < last").select("line", "class", F.col("first").alias("top"))
-    )
-    return (
-        seen.join(known, "line")
-        .where(~(F.col("doc_id").eqNullSafe(F.col("top.doc")) & (F.col("line_no") == F.col("top.no"))))
-        .select("doc_id", "line_no", "class", F.col("top.doc").alias("first_doc"), F.col("top.no").alias("first_line"))
-        .distinct()
-    )
+    with Tables(docs.sparkSession) as tables:
+        found = _repeats(docs, edits, min_chars, block, short, tables)
+        return table(found.select("doc_id", "line_no", "class", "first_doc", "first_line").distinct(), "repeated-lines")
+
+
+@F.pandas_udf(StringType())
+def _rest(text: pd.Series, gone: pd.Series) -> pd.Series:
+    """The texts without the lines of these numbers."""
+
+    def one(t: str | None, lines) -> str | None:
+        if t is None:
+            return None
+        out = set(lines.tolist())
+        return "\n".join(x for k, x in enumerate(t.split("\n")) if k not in out)
+
+    return pd.Series([one(t, g) for t, g in zip(text, gone)], dtype=object)
 
 
 def without_repeats(docs: DataFrame, edits: int = 2, min_chars: int = 40, short: bool = False) -> DataFrame:
     """docs without the lines that repeated_lines finds; all columns stay, n_chars is counted anew if there.
 
     A document that loses lines and has nothing but white space left goes. Rows without a
-    doc_id or a text stay as they are.
+    doc_id or a text stay as they are; of rows that share a doc_id each loses its own lines.
     """
     named = docs.where("doc_id is not null")
-    drops = repeated_lines(named, edits, min_chars, short=short).groupBy(F.col("doc_id").alias("_drop_id")).agg(F.collect_set("line_no").alias("_drop"))
-    joined = named.join(drops, F.col("doc_id").cast("long") == F.col("_drop_id"), "left")
-    rest = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_drop", i.cast("long")))
-    text = F.when(F.col("_drop").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
-    new = joined.withColumn("text", text).where("_drop is null or text is null or text rlike '[^\\\\s]'")
+    with Tables(docs.sparkSession) as tables:
+        found = _repeats(named, edits, min_chars, BLOCK, short, tables)
+        drops = table(found.groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone")), "drops")
+    # the rows travel as one column, so that none of theirs can be taken for the join's
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")
+    rows = named.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), whole)
+    joined = rows.join(drops, ["doc_id", "row"], "left")
+    old = F.col("whole").getField("text")
+    new = joined.withColumn("rest", _rest(F.when(F.col("gone").isNotNull(), old), F.col("gone"))).where("rest is null or rest rlike '[^\\\\s]'")
     kinds = dict(docs.dtypes)
+    fresh = {"text": F.coalesce("rest", old)}
     if "n_chars" in kinds:
-        new = new.withColumn("n_chars", F.when(F.col("_drop").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kinds["n_chars"]))
-    return new.select(*docs.columns).union(docs.where("doc_id is null"))
+        fresh["n_chars"] = F.when(F.col("rest").isNull(), F.col("whole").getField("n_chars")).otherwise(F.length("rest")).cast(kinds["n_chars"])
+    out = new.select(*(fresh.get(c, F.col("whole").getField(c)).alias(c) for c in docs.columns))
+    return out.union(docs.where("doc_id is null"))

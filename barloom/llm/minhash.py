@@ -2,18 +2,22 @@
 
 Every distinct shingle set gets `coords` MinHash values and is posted under each
 (coordinate, value). Two sets of similarity s agree in about s * coords coordinates;
-those that agree in at least `matches` are candidates. With coords 32 and matches 13 a
-pair at the threshold 0.8 is missed with a probability below 1e-6.
+those that collide in at least `matches` postings are candidates. With coords 32 and
+matches 13 a pair at the threshold 0.8 is missed with a probability below 1e-6.
 
 Prefix: coordinates of a set are ordered by how many sets share their value. Two sets
-with `matches` agreements must meet in the first coords - matches + 1 of them, so only
+with `matches` collisions must meet in the first coords - matches + 1 of them, so only
 those are posted, and the postings of boilerplate, shared by far more sets, never are.
-Skip: inside a posting list agreements are counted from whole signatures, and a pair
-already connected by others is passed over, so a list of n sets yields at most n - 1
-links instead of n * n pairs.
 
-Candidate groups are then confirmed on the full sets in blocks of bounded size, again
-without work on pairs that others have connected.
+Counting: a task holds the members of a posting, in blocks, and inverts their signatures.
+For each set the shortest coords - matches + 1 of its lists are merged and the collisions
+counted; the matches - 1 longest lists are skipped, only sets met in a shorter one are looked
+up in them. A list is passed over, too, if it holds nothing but sets that are connected to
+this one already, so a posting of n sets yields at most n - 1 links, not n * n pairs.
+
+Candidates are then confirmed on the full sets, by the same counting in blocks of bounded
+size, again without work on pairs that others have connected. Shingles are told apart by 64-bit hashes
+without a pattern, equal sets by 128 bits.
 """
 
 from __future__ import annotations
@@ -26,9 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (
-    BLOCK, Forest, bloom_of, components, each_task, mix, prepare, slices, space_words, spread, table, utf8,
-)
+from .common import BLOCK, Members, Tables, bloom_of, components, group_links, mix, prepare, slices, space_words, table, utf8
 
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -94,69 +96,106 @@ def _sketch(width: int, coords: int):
     return run
 
 
+class Lists:
+    """The inverted signatures of a task's sets: for each coordinate, the sets in order of their values."""
+
+    def __init__(self, sig: np.ndarray, matches: int):
+        self.sig, self.matches = sig, matches
+        self.order = np.argsort(sig, axis=0, kind="stable")
+        ranked = np.take_along_axis(sig, self.order, axis=0)
+        edge = np.ones(sig.shape, bool)
+        edge[1:] = ranked[1:] != ranked[:-1]
+        number = np.cumsum(edge, axis=0) - 1
+        #: Of each set and coordinate: where its list begins and ends in order.
+        self.low, self.high = np.empty(sig.shape, np.int64), np.empty(sig.shape, np.int64)
+        for k in range(sig.shape[1]):
+            starts = np.append(np.flatnonzero(edge[:, k]), len(sig))
+            self.low[self.order[:, k], k] = starts[number[:, k]]
+            self.high[self.order[:, k], k] = starts[number[:, k] + 1]
+
+    def collisions(self, x: int, members: Members) -> tuple[np.ndarray, np.ndarray]:
+        """(sets, collisions): those that x is to be compared with and shares `matches` lists with, most collisions first."""
+        size = self.high[x] - self.low[x]
+        lists = np.argsort(size, kind="stable")
+        short, long = lists[: len(lists) - self.matches + 1], lists[len(lists) - self.matches + 1 :]
+        met = [self.order[self.low[x, k] : self.high[x, k], k] for k in short[size[short] > 1]]
+        met = [part for part in met if (members.trees.of[part] != members.trees.of[x]).any()]
+        if not met:
+            return lists[:0], lists[:0]
+        other, count = np.unique(np.concatenate(met), return_counts=True)
+        counts = (other > x) & members.pairs(x, other)  # a pair is seen from its first row
+        mine, count = other[counts], count[counts]
+        # lists passed over above hold none of these, but skipped ones may
+        count = count + (self.sig[np.ix_(mine, long)] == self.sig[x, long]).sum(axis=1)
+        enough = np.flatnonzero(count >= self.matches)
+        enough = enough[np.argsort(-count[enough], kind="stable")]
+        return mine[enough], count[enough]
+
+
+def _signatures_of(rows: pa.Table) -> np.ndarray:
+    return rows.column("sig").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+
+
 def _candidates(matches: int):
     def work(rows: pa.Table) -> pa.Table | None:
-        """Links between the sets of one posting block that agree in enough coordinates."""
-        n = rows.num_rows
-        if n < 2:
-            return None
-        ids = rows.column("rep").to_numpy()
-        sig = rows.column("sig").combine_chunks().flatten().to_numpy().reshape(n, -1)
-        forest = Forest(n)
-        for x in range(n - 1):
-            near = np.flatnonzero((sig[x + 1 :] == sig[x]).sum(axis=1) >= matches) + x + 1
-            for y in near.tolist():
-                forest.join(x, y)
-        a, b = np.array(forest.links, np.int64).reshape(-1, 2).T
-        return pa.table({"a": ids[a], "b": ids[b]})
+        """Links between the sets of a posting that collide in enough coordinates."""
+        members = Members(rows)
+        lists = Lists(_signatures_of(rows), matches) if members.trees.count > 1 else None
+        for x in range(len(members)):
+            if members.trees.count == 1:
+                break
+            for y in lists.collisions(x, members)[0].tolist():
+                members.trees.join(x, y)
+        return members.done()
 
     return work
 
 
 def _confirm(matches: int, percent: int):
     def work(rows: pa.Table) -> pa.Table | None:
-        """Links of the block whose full sets have 100 * intersection >= percent * union."""
-        n = rows.num_rows
-        if n < 2:
+        """Links of the task whose full sets have 100 * intersection >= percent * union."""
+        members = Members(rows)
+        if members.trees.count == 1:
             return None
-        ids, own = rows.column("rep").to_numpy(), rows.column("_own").to_numpy()
-        sig = rows.column("sig").combine_chunks().flatten().to_numpy().reshape(n, -1)
+        lists = Lists(_signatures_of(rows), matches)
         flat = rows.column("shingles").combine_chunks()
-        sets = [flat[i].values.to_numpy(zero_copy_only=False) for i in range(n)]
-        sizes = np.array([len(s) for s in sets])
-        cross = rows.column("_i")[0].as_py() != rows.column("_j")[0].as_py()
-        forest = Forest(n)
-        for x in range(n - 1):
-            rest = slice(x + 1, n)
-            near = (sig[rest] == sig[x]).sum(axis=1) >= matches
-            near &= 100 * np.minimum(sizes[rest], sizes[x]) >= percent * np.maximum(sizes[rest], sizes[x])
-            if cross:
-                near &= own[rest] != own[x]
-            for y in (np.flatnonzero(near) + x + 1).tolist():
-                if forest.find(x) == forest.find(y):
+        values, at = flat.flatten().to_numpy(), np.concatenate([[0], np.cumsum(rows.column("shingles").combine_chunks().value_lengths().to_numpy())])
+        sizes = np.diff(at)
+        for x in range(len(members)):
+            if members.trees.count == 1:
+                break
+            near, _ = lists.collisions(x, members)
+            near = near[100 * np.minimum(sizes[near], sizes[x]) >= percent * np.maximum(sizes[near], sizes[x])]
+            for y in near.tolist():
+                if members.trees.of[x] == members.trees.of[y]:
                     continue
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                both = len(np.intersect1d(values[at[x] : at[x + 1]], values[at[y] : at[y + 1]], assume_unique=True))
                 if 100 * both >= percent * (sizes[x] + sizes[y] - both):
-                    forest.join(x, y)
-        a, b = np.array(forest.links, np.int64).reshape(-1, 2).T
-        return pa.table({"a": ids[a], "b": ids[b]})
+                    members.trees.join(x, y)
+        return members.done()
 
     return work
 
 
-def _sets_of(width: int, bits):
+def _may_be_in(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bits.value
         for batch in batches:
             spot = batch.column("spot").to_numpy()
             hit = (words[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1)
-            part = batch.filter(pa.array(hit.astype(bool)))
-            if part.num_rows:
-                sets = [s for s in shingle_sets(part.column("text"), width) if len(s)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([_key(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                    ["set_key", "shingles"],
-                )
+            yield batch.filter(pa.array(hit.astype(bool))).select(["doc_id", "text"])
+
+    return run
+
+
+def _sets_of(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [s for s in shingle_sets(batch.column("text"), width) if len(s)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_key(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
+                ["set_key", "shingles"],
+            )
 
     return run
 
@@ -176,14 +215,19 @@ def near_duplicates(
     doc_id but not a text are judged by their own text; if that doc_id is the smallest of
     several sets it joins them. Other columns are not read. Empty table: no rows.
     """
+    prepare(docs.sparkSession)
+    with Tables(docs.sparkSession) as tables:
+        return _near_duplicates(docs, width, percent, coords, matches, block, tables)
+
+
+def _near_duplicates(docs: DataFrame, width: int, percent: int, coords: int, matches: int, block: int, tables: Tables) -> DataFrame:
     spark = docs.sparkSession
-    prepare(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = table(
+    sketched = tables.write(
         rows.mapInArrow(_sketch(width, coords), "doc_id long, n_shingles long, set_key binary, sig array<long>"), "sketch"
     )
     # Equal sets first: copies of one text are one representative from here on.
-    groups = table(
+    groups = tables.write(
         sketched.where("set_key is not null and doc_id is not null")
         .groupBy("set_key")
         .agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig")),
@@ -199,39 +243,36 @@ def near_duplicates(
         .withColumn("take", F.lit(coords - matches + 1) - (F.lit(coords) - F.size("shared")))
         .where("take > 0")
         .select("set_key", F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("p"))
-        .select("set_key", F.xxhash64("p.coord", "p.value").alias("list"), F.col("p.freq").alias("freq"))
-    )
-    lists = prefix.join(groups, "set_key")
-    found = each_task(
-        spread(lists, "list", "set_key", "freq", block), _candidates(matches), "a long, b long", ["rep", "sig"]
+        .select("set_key", F.xxhash64("p.coord", "p.value").alias("group"))
     )
-    loose = table(components(found), "loose")
-    # Full sets of the candidates only: a Bloom filter of bounded size thins the second pass over the texts.
+    lists = tables.write(prefix.join(groups, "set_key").select("group", F.col("rep").alias("node"), "sig"), "lists")
+    found = group_links(lists, _candidates(matches), ["sig"], tables, block)
+    loose = tables.write(components(found, tables), "loose")
+    tables.drop(lists)
+    # Full sets of the candidates only: a Bloom filter of bounded size thins the texts, an exact join takes the rest out.
     bits = bloom_of(loose, "id")
     full = (
         rows.where("doc_id is not null")
         .withColumn("spot", F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(len(bits) * 64)))
-        .mapInArrow(_sets_of(width, spark.sparkContext.broadcast(bits)), "set_key binary, shingles array<long>")
+        .mapInArrow(_may_be_in(spark.sparkContext.broadcast(bits)), "doc_id long, text string")
+        .join(loose.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+        .mapInArrow(_sets_of(width), "set_key binary, shingles array<long>")
         .groupBy("set_key")
         .agg(F.first("shingles").alias("shingles"))
     )
-    size = loose.groupBy("comp").agg(F.count("*").alias("size"))
-    members = (
-        full.join(groups, "set_key")
-        .join(loose.join(size, "comp").withColumnRenamed("id", "rep"), "rep")
-    )
-    links = each_task(
-        spread(members, "comp", "set_key", "size", block), _confirm(matches, percent), "a long, b long", ["rep", "sig", "shingles", "_own"]
-    )
-    settled = components(links)
+    members = full.join(groups, "set_key").join(loose.withColumnRenamed("id", "rep"), "rep")
+    members = tables.write(members.select(F.col("comp").alias("group"), F.col("rep").alias("node"), "sig", "shingles"), "members")
+    links = group_links(members, _confirm(matches, percent), ["sig", "shingles"], tables, block)
+    settled = components(links, tables)
     of_set = groups.select("set_key", "rep").join(settled.withColumnRenamed("id", "rep"), "rep", "left")
     of_set = of_set.select("set_key", F.coalesce("comp", "rep").alias("top"))
     out = sketched.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
     with_set = out.where("set_key is not null").join(of_set, "set_key")
     alone = out.where("set_key is null").withColumn("top", F.col("doc_id"))
-    return (
-        with_set.select("doc_id", "n_shingles", "top").union(alone.select("doc_id", "n_shingles", "top"))
-        .select("doc_id", "n_shingles", F.col("top").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("top"), F.lit(True)).alias("kept"))
+    judged = with_set.select("doc_id", "n_shingles", "top").union(alone.select("doc_id", "n_shingles", "top"))
+    return table(
+        judged.select("doc_id", "n_shingles", F.col("top").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("top"), F.lit(True)).alias("kept")),
+        "near-duplicates",
     )
 
 
@@ -241,5 +282,7 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80)
     Rows without a doc_id or words stay; rows that share a doc_id stay or go together.
     """
     judged = near_duplicates(docs, width, percent).where("doc_id is not null")
-    gone = judged.groupBy("doc_id").agg(F.max("kept").alias("any")).where("not any").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = judged.groupBy("doc_id").agg(F.max("kept").alias("any")).where("not any").select("doc_id")
+    # the rows travel as one column, so that none of theirs can be taken for the join's
+    row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return row.join(gone, "doc_id", "left_anti").select("row.*")

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from barloom.llm import minhash
-from barloom.llm.common import components
+from barloom.llm.common import Tables, components
 
 
 def words(text):
@@ -116,5 +116,6 @@ def test_sets_do_not_depend_on_neighbours():
 
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 200), (200, 100), (7, 7)], "a long, b long")
-    got = {r["id"]: r["comp"] for r in components(edges).collect()}
+    with Tables(spark) as tables:
+        got = {r["id"]: r["comp"] for r in components(edges, tables).collect()}
     assert got == {**{i: 1 for i in range(1, 61)}, 100: 100, 200: 100}
