@@ -76,7 +76,8 @@ def _joined(spans: Column) -> Column:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.find_secrets(_read(spark, sf_dir, "documents"))
+    docs = _read(spark, sf_dir, "documents")
+    found = secrets.find_secrets(docs, words=secrets.dictionary(docs))
     rank = {k: i for i, k in enumerate(secrets.KINDS)}
 
     def key(s: Column) -> Column:

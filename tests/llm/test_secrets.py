@@ -1,7 +1,12 @@
 import hashlib
 import re
+import time
+from math import log10
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from barloom.llm import secrets as S
 from barloom.llm.queries import op5_secrets
@@ -29,12 +34,87 @@ def test_base_spans(text):
     assert [f"{k}:{a}:{b}" for a, b, k in base] == base_brute(text or "")
 
 
+def segments(value, words):
+    """Every segment (start, end, cost) of the model, written out one by one."""
+    low, n = value.lower(), len(value)
+    mixed = low != value and value.upper() != value
+    one = lambda c: 1.0 if c.isdigit() else log10(26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 100) + (log10(2) if mixed and c.isalpha() else 0)
+    place = {c: (r, k) for r, row in enumerate(S._ROWS) for k, c in enumerate(row)}
+    for i in range(n):
+        for j in range(i + 1, n + 1):
+            part, said = low[i:j], value[i:j]
+            yield i, j, sum(map(one, said))
+            for text in {part, part.translate(S._LEET)}:
+                if text in words.ranks:
+                    yield i, j, log10(words.ranks[text] + 1) + log10(2) * ((said != part) + (text != part))
+            if re.fullmatch(r"(?:19|20)\d\d", part):
+                yield i, j, log10(119)
+        m = re.compile(r"\d{1,4}([-/._]?)\d{1,2}\1\d{1,4}").match(low, i, min(n, i + 10))
+        if m and len(m[0]) >= 6:
+            yield i, m.end(), log10(119 * 365) + (2 * log10(2) if m[1] else 0)
+        for u in (1, 2, 3, 4):
+            unit, copies = low[i : i + u], 1
+            while low[i + copies * u : i + (copies + 1) * u] == unit and unit:
+                copies += 1
+            whole = any(unit == unit[:d] * (u // d) for d in (1, 2) if d < u and u % d == 0)
+            if copies >= (3 if u < 3 else 2) and not whole:
+                yield i, i + u * copies, sum(map(one, value[i : i + u])) + log10(copies)
+        j, ways = i, []
+        while j + 1 < n and low[j] in place and low[j + 1] in place:
+            way = (place[low[j + 1]][0] - place[low[j]][0], place[low[j + 1]][1] - place[low[j]][1])
+            if way == (0, 0) or max(map(abs, way)) > 1:
+                break
+            ways.append(way)
+            j += 1
+        if len(ways) > 1:
+            turns = 1 + sum(p != q for p, q in zip(ways, ways[1:]))
+            yield i, j + 1, log10(47) + log10(len(ways)) + turns * log10(8) / 2
+        j = i
+        while j + 1 < n and abs(ord(low[j + 1]) - ord(low[j])) == 1 and ord(low[j + 1]) - ord(low[j]) == ord(low[i + 1]) - ord(low[i]):
+            j += 1
+        if j - i > 1:
+            yield i, j + 1, log10(47) + log10(j - i)
+
+
+def least_cost(value, words):
+    """The least sum over all segmentations, by trying each one."""
+    every = list(segments(value, words))
+
+    def rest(i):
+        return 0.0 if i == len(value) else min(log10(2) + c + rest(j) for a, j, c in every if a == i)
+
+    return rest(0)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text("aab1W!é", max_size=8), st.text("qwertyasdf12", max_size=8), st.text("0129-/", max_size=8), st.lists(st.sampled_from(["pass", "Word", "abc", "p4ss", "aa", "19", "x"]), max_size=3).map("".join)))
+def test_least_of_all_segmentations(value):
+    words = S.ranked(["pass", "word", "wordy", "abc"])
+    want = least_cost(value, words) if value else 0.0
+    assert abs(S.guess_cost(value, words) - want) < 1e-9
+
+
+@pytest.mark.parametrize("unit", ["a", "ab", "as", "aqswde", "ab1", "xy9!", "password", "20240101", "abcdefghijklmnopqrstuvwxyz"])
+def test_time_grows_with_length(unit):
+    began = time.perf_counter()
+    S.guess_cost(unit * (1_000_000 // len(unit)))
+    assert time.perf_counter() - began < 6
+
+
+def test_dictionary_counts_all_documents_but_no_values(spark):
+    rows = [(1, "alpha beta Alpha zq"), (2, "alpha beta gamma1 password: hunterhunter"), (3, None), (None, "beta"), (5, "é" * 25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    first = len(S.PLACEHOLDERS) + 1
+    assert {w: r for w, r in S.dictionary(df).ranks.items() if r >= first} == {"alpha": first, "beta": first + 1, "gamma": first + 2}
+    assert S.dictionary(df, 1).ranks.keys() - set(S.PLACEHOLDERS) == {"alpha"}
+    assert S.dictionary(df.limit(0)).ranks == S.FIXED_WORDS.ranks
+
+
 def brute_cost(value):
     """Brute force alone: an upper bound of the segmentation's cost."""
-    from math import log10
-
     mixed = value.lower() != value and value.upper() != value
-    return sum(S._alphabet(c) + (log10(2) if mixed and c.isalpha() else 0) for c in value) + log10(2)
+    points = np.frombuffer(value.lower().encode("utf-32-le"), np.uint32)
+    return S._alone(value, points, mixed).sum() + log10(2) if len(points) == len(value) else 99.0
 
 
 def test_costs():
