@@ -1,9 +1,10 @@
 """Chat formatting by schema fingerprints.
 
-DataFrame functions only. A record is JSON text in any known layout. Its nested field
-paths, without the types of their values, are hashed; the hash selects a declarative
-mapping from the layout to canonical turns, an array of (role, text). Turns are rendered
-with a template whose control strings are escaped inside texts, and are read back exactly.
+DataFrame functions only. A record is JSON text in any known layout, or a struct column in one. Its nested
+field paths, without the types of their values, are hashed; the hash selects a declarative
+mapping from the layout to canonical turns, an array of (role, text). The paths of a JSON text are found
+row by row; those of a struct column are its schema's, found once, so no text passes through JSON.
+Turns are rendered with a template whose control strings are escaped inside texts, and are read back exactly.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from itertools import chain, combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -91,15 +93,51 @@ def paths(record: Column) -> Column:
     return F.regexp_replace(schema, r"ARRAY<[A-Z]+>", "ARRAY")
 
 
+def paths_of(kind: DataType) -> str:
+    """The nested field paths of a column type, in the notation of paths()."""
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        inner = [f.name if not isinstance(f.dataType, StructType | ArrayType) else f"{f.name}: {paths_of(f.dataType)}" for f in fields]
+        return f"OBJECT<{', '.join(inner)}>"
+    if isinstance(kind, ArrayType):
+        inner = paths_of(kind.elementType)
+        return f"ARRAY<{inner}>" if inner else "ARRAY"
+    return ""
+
+
+def _shaped(x: Column, has: DataType, wanted: DataType) -> Column:
+    """x with the fields of another type, by name; null for those it lacks."""
+    if isinstance(wanted, StructType):
+        own = {f.name: f.dataType for f in has.fields}
+        fields = [(_shaped(x.getField(f.name), own[f.name], f.dataType) if f.name in own else F.lit(None).cast(f.dataType)).alias(f.name) for f in wanted.fields]
+        return F.when(x.isNotNull(), F.struct(*fields))
+    if isinstance(wanted, ArrayType):
+        return F.transform(x, lambda e: _shaped(e, has.elementType, wanted.elementType))
+    return x.cast(wanted)
+
+
 def to_turns(records: DataFrame) -> DataFrame:
-    """Replaces `record` (JSON text) by fingerprint, layout and turns; other columns stay.
+    """Replaces `record` (JSON text or a struct) by fingerprint, layout and turns; other columns stay.
 
-    Null, malformed and unknown records have a null layout and null turns, and so have
-    records beyond the size that a variant can hold.
+    Null, malformed and unknown records have a null layout and null turns. JSON text is read by
+    Spark's variant, so a JSON record of more than 128 MiB, or with a text of more than 20,000,000 characters, counts as
+    malformed; a struct column has no such limits.
     """
     kept = [c for c in records.columns if c.lower() not in ("record", "fingerprint", "layout", "turns")]
-    marked = records.withColumn("fingerprint", F.substring(F.sha2(paths(F.col("record")), 256), 1, 16))
+    kind = records.schema["record"].dataType
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    if isinstance(kind, StructType):
+        mark, there = fingerprint_of(paths_of(kind)), F.col("record").isNotNull()
+        known = [m for m in MAPPINGS if mark in map(fingerprint_of, m.paths)]
+        own = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("own") if kept else F.lit(None).alias("own")
+        read = F.lit(None)
+        for m in known:
+            schema = StructType.fromDDL(m.schema)
+            read = F.array(_shaped(F.col("record"), kind, schema))
+            layout, turns = F.when(F.col("there"), m.name), F.when(F.col("there"), F.expr(f"transform(rs, r -> {m.turns})[0]").cast(TURNS))
+        cut = records.select(own, there.alias("there"), read.alias("rs"))
+        return cut.select(*(["own.*"] if kept else []), F.when(F.col("there"), mark).alias("fingerprint"), layout.alias("layout"), turns.alias("turns"))
+    marked = records.withColumn("fingerprint", F.substring(F.sha2(paths(F.col("record")), 256), 1, 16))
     for m in MAPPINGS:
         known = F.col("fingerprint").isin([fingerprint_of(p) for p in m.paths])
         schema = m.schema.replace("'", "\\'")
@@ -112,20 +150,22 @@ def records_of_rows(rows: DataFrame) -> DataFrame:
     """conv_id, record: rows of (conv_id, turn, role, text), one turn each, as a list of messages.
 
     Turns are in order of turn (null first), then role, then text; null roles and texts
-    are empty. Null conv_ids are one conversation; repeated rows are turns said twice.
+    are empty. Null conv_ids are one conversation; repeated rows are turns said twice. A conversation is one
+    row here and in the output: its formatted text can't be larger than a Spark string, and must fit in a task.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
-    return (
-        rows.select("conv_id", turn.alias("x")).groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-        .select("conv_id", F.to_json(F.struct(F.transform("xs", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))).alias("record"))
-    )
+    said = F.transform(F.sort_array(F.collect_list("x")), lambda x: F.struct(x["content"].alias("content"), x["role"].alias("role")))
+    return rows.select("conv_id", turn.alias("x")).groupBy("conv_id").agg(F.struct(said.alias("messages")).alias("record"))
 
 
 # --- template --------------------------------------------------------------------
 
 #: Control strings of the template. Inside texts each is broken by a backslash after its first character.
 CONTROL = r"([<\[])(/?(?:s>|INST\]|SYS\]|ROLE))"
-_TURN = r"(?s)\[INST\] .*? \[/INST\]|<s> .*? </s>|\[SYS\] .*? \[/SYS\]|\[ROLE (?:[^\\\]]|\\.)*\] .*? \[/ROLE\]"
+#: The line feed between two turns: it follows a closing control string, which no text holds.
+_BETWEEN = r"(?<=\[/INST\]|</s>|\[/SYS\]|\[/ROLE\])\n"
+#: The opening of a turn of any other role. Possessive, so that a role of any length takes no stack.
+_ROLE = r"(?s)^\[ROLE ([^\\\]]*+(?:\\.[^\\\]]*+)*+)\] "
 _ENDS = {"user": ("[INST] ", " [/INST]"), "assistant": ("<s> ", " </s>"), "system": ("[SYS] ", " [/SYS]")}
 
 
@@ -186,8 +226,8 @@ def read_back(formatted: Column) -> Column:
     """The canonical turns of a formatted text."""
 
     def turn(t: Column) -> Column:
-        role, size = F.lit(None).cast("string"), F.length(t)
-        head = F.regexp_extract(t, r"(?s)^\[ROLE ((?:[^\\\]]|\\.)*)\] ", 1)
+        size = F.length(t)
+        head = F.regexp_extract(t, _ROLE, 1)
         role, skip, tail = unescape(head), F.length(head) + 8, F.lit(len(" [/ROLE]"))
         for name, (a, b) in _ENDS.items():
             here = t.startswith(a)
@@ -195,7 +235,7 @@ def read_back(formatted: Column) -> Column:
             skip, tail = F.when(here, len(a)).otherwise(skip), F.when(here, len(b)).otherwise(tail)
         return F.struct(role.alias("role"), unescape(F.substring(t, skip + 1, size - skip - tail)).alias("text"))
 
-    return F.transform(F.regexp_extract_all(formatted, F.lit(_TURN), 0), turn)
+    return F.when(formatted == "", F.array().cast(TURNS)).otherwise(F.transform(F.split(formatted, _BETWEEN, -1), turn))
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:

@@ -111,10 +111,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    read = chat.to_turns(chat.records_of_rows(rows.union(more)))
-    # every record here is a list of messages: one without turns was beyond the reader's limits
-    lost = F.raise_error(F.concat(F.lit("op8_chat_format: conversation too large to read: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
-    formatted = chat.render(read.withColumn("turns", F.coalesce("turns", lost.cast(chat.TURNS))))
+    formatted = chat.render(chat.to_turns(chat.records_of_rows(rows.select("conv_id", "turn", "role", "text").union(more))))
     back = formatted.withColumn("turns", chat.read_back(F.col("formatted"))).withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans")))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
