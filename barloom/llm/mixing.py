@@ -5,69 +5,54 @@ with share w of the places is released at floor(i / w) and due at ceil((i + 1) /
 i from 0; taking at every place the released block that is due first keeps every source
 within one block of w times the place.
 
-Integer weights repeat after their sum: a frame of that many places is scheduled once,
-by a fold over the places, and every block's place follows by arithmetic. When a source
+Integer weights repeat after their sum: a frame of that many places is scheduled once, from the
+weights alone, and every block's place follows by arithmetic. When a source
 runs out, the frames end and a new phase begins with the sources that are left, in the
-same proportions; no row is dropped or repeated. Phases are as many as sources, worked
+same proportions; no row is dropped or repeated. Phases are at most as many as sources, worked
 out on their block counts alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from heapq import heappop, heappush
+from math import gcd
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sources whose counts reach the driver at most, and places of a frame at most.
-MOST_SOURCES, MOST_PLACES = 1000, 20_000
 #: Buckets of a source at least, however few its rows.
 LEAST_BUCKETS = 64
+#: Places of a plan, over all phases, that are broadcast at most; a longer plan is joined by a shuffle.
+BROADCAST_PLACES = 1_000_000
 
 
-def frame(spark, weights: list[int]) -> list[list[int]]:
+def frame(weights: list[int]) -> list[list[int]]:
     """For each source, the places its blocks take in one frame of sum(weights) places.
 
-    The earliest due released block goes first, ties to the source that comes first.
+    The earliest due released block goes first, ties to the source that comes first. Sources wait
+    in a heap, so a place costs the logarithm of their number.
     """
     n = sum(weights)
-    if n > MOST_PLACES:
-        raise ValueError(f"weights add up to {n}; at most {MOST_PLACES} places make a frame")
-    w = F.array(*(F.lit(x).cast("long") for x in weights))
-    places = F.lit(n).cast("long")
-
-    def step(done: Column, t: Column) -> Column:
-        """done: how many blocks of each source are placed, and the order so far."""
-        taken = done["taken"]
-        due = F.zip_with(
-            taken,
-            w,
-            lambda i, v: F.when(
-                (i < v) & (F.floor(i * places / v) <= t), F.ceil((i + 1) * places / v)
-            ).otherwise(F.lit(1 << 60)),
-        )
-        first = F.array_position(due, F.array_min(due)) - 1
-        return F.struct(
-            F.transform(taken, lambda i, k: F.when(k == first, i + 1).otherwise(i)).alias("taken"),
-            F.concat(done["order"], F.array(first.cast("int"))).alias("order"),
-        )
-
-    start = F.struct(
-        F.array(*(F.lit(0).cast("long") for _ in weights)).alias("taken"), F.array().cast("array<int>").alias("order")
-    )
-    one = spark.range(1).select(
-        F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), start, step, lambda s: s["order"]).alias("order")
-    )
-    order = one.first()["order"]
     out: list[list[int]] = [[] for _ in weights]
-    for place, source in enumerate(order):
-        out[source].append(place)
+    released: list[tuple[int, int]] = []  # (due, source)
+    coming: list[tuple[int, int]] = [(0, s) for s in range(len(weights))]  # (release, source), a heap
+    for place in range(n):
+        while coming and coming[0][0] <= place:
+            s = heappop(coming)[1]
+            heappush(released, (-(-(len(out[s]) + 1) * n // weights[s]), s))
+        s = heappop(released)[1]
+        out[s].append(place)
+        if len(out[s]) < weights[s]:
+            heappush(coming, (len(out[s]) * n // weights[s], s))
     return out
 
 
 def phases(blocks: dict, weights: dict) -> list[tuple[int, dict, dict, int]]:
     """(first place, {source: first block}, {source: weight}, frames) until every source is used up.
 
-    A phase runs whole frames while all its sources can fill them; then one frame more in
-    which sources may run short, whose gaps close up.
+    A phase runs whole frames while all its sources can fill them, or one frame in
+    which some run short and leave their places empty.
     """
     left = {s: n for s, n in blocks.items() if n}
     done = dict.fromkeys(left, 0)
@@ -86,75 +71,82 @@ def phases(blocks: dict, weights: dict) -> list[tuple[int, dict, dict, int]]:
     return out
 
 
-def number_rows(docs: DataFrame, order: list[str], counts: dict, bucket_rows: int) -> DataFrame:
-    """Adds _n: the row's number within its source, from 0, without one task for a source.
+def _columns(docs: DataFrame, kept: list[str]) -> DataFrame:
+    """source, and the rows as one column `own`, so that none of their names can be taken for one of ours."""
+    return docs.select(F.col("source").alias("source"), F.struct(*(F.col(f"`{c}`") for c in kept)).alias("own"))
+
+
+def number_rows(rows: DataFrame, counts: dict, bucket_rows: int) -> DataFrame:
+    """Adds n: the row's number within its source, from 0, without one task for a source.
 
     Rows are dealt to hash buckets of each source, LEAST_BUCKETS and one more for every
     bucket_rows rows; a bucket's rows follow those of all earlier buckets, whose counts are
-    a small table.
+    a small table. The hash is of the doc_id and of the whole row, so rows that share a doc_id, or have none, are dealt out
+    too; only rows that are equal in all columns stay together.
     """
-    spark = docs.sparkSession
-    cut = spark.createDataFrame([(s, LEAST_BUCKETS + n // bucket_rows) for s, n in counts.items()], "_c string, _buckets long")
-    dealt = docs.join(F.broadcast(cut), docs["source"].eqNullSafe(cut["_c"]))  # a row for each source
-    dealt = dealt.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(41), *order), F.col("_buckets"))).drop("_c", "_buckets")
-    sizes = dealt.groupBy("source", "_bucket").agg(F.count("*").alias("_rows"))
-    before = F.sum("_rows").over(Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    spark = rows.sparkSession
+    cut = spark.createDataFrame([(s, LEAST_BUCKETS + n // bucket_rows) for s, n in counts.items()], "c string, buckets long")
+    order = [F.xxhash64(F.lit(43), "own.doc_id"), F.col("own.doc_id"), F.col("whole")]
+    dealt = rows.withColumn("whole", F.xxhash64(F.lit(47), F.to_json("own"))).join(F.broadcast(cut), F.col("source").eqNullSafe(F.col("c")))  # a row for each source
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64(F.lit(41), "own.doc_id", "whole"), F.col("buckets"))).drop("c", "buckets")
+    sizes = dealt.groupBy("source", "bucket").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     # rows / bucket_rows + LEAST_BUCKETS * sources rows at most
-    starts = sizes.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("source", "_bucket").orderBy(*order)) - 1
-    numbered = dealt.withColumn("_within", within)
+    starts = sizes.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(before, F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("source", "bucket").orderBy(*order)) - 1
+    numbered = dealt.withColumn("within", within)
     return (
-        numbered.join(F.broadcast(starts), numbered["source"].eqNullSafe(starts["_s"]) & (numbered["_bucket"] == starts["_b"]))
-        .withColumn("_n", F.col("_within") + F.col("_before"))
-        .drop("_s", "_b", "_before", "_within", "_bucket")
+        numbered.join(F.broadcast(starts), numbered["source"].eqNullSafe(starts["s"]) & (numbered["bucket"] == starts["b"]))
+        .select("source", "own", (F.col("within") + F.col("before")).alias("n"))
     )
 
 
+def _plan(names: list, parts: dict, blocks: dict) -> Iterator[tuple]:
+    """(source, first block, end, first place, places of a frame, weight, the source's places in it) of every phase and source."""
+    shapes: dict[tuple, list[list[int]]] = {}
+    for at, first, now, whole in phases(blocks, parts):
+        active = [s for s in names if s in now]
+        shape = tuple(now[s] for s in active)
+        if shape not in shapes:
+            shapes = {shape: frame(list(shape))}  # sources only leave, so no shape comes back
+        for s, places in zip(active, shapes[shape]):
+            yield s, first[s], min(blocks[s], first[s] + whole * now[s]), at, sum(shape), now[s], places
+
+
 def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, block_rows: int = 16, other_weight: int = 1, bucket_rows: int = 20_000) -> DataFrame:
     """Columns of docs, and block, slot, position: one row for each row of docs (doc_id, source, ...).
 
     position orders all rows from 0 without gaps between slots of equal size: slot is the
     block's place, position is slot * block_rows plus the row's number in the block, so
     the last, shorter block of a source leaves a gap. weights: integer parts of each
-    source; others, null among them, have `other_weight`. At every slot of a phase each
+    source; others, null among them, have `other_weight`; only their proportions count. At every slot of a phase each
     source has had its share of the phase's slots to within one block.
 
-    Which row of a source comes when follows a hash of doc_id, then doc_id; rows equal in
-    doc_id follow any order among themselves. Null doc_ids are rows like others. More than
-    MOST_SOURCES sources are refused. Empty table: no rows. Columns named block, slot or
-    position in docs are replaced.
+    Which row of a source comes when follows a hash of doc_id, then doc_id, then a hash of the whole row; equal rows
+    follow any order among themselves. Null doc_ids are rows like others. The
+    counts of the sources, one number each, and the plan are worked out on the driver. Empty table: no rows. Columns named block, slot or
+    position in docs are replaced; any other names may be used.
     """
     spark = docs.sparkSession
     weights = weights or {}
     kept = [c for c in docs.columns if c.lower() not in ("block", "slot", "position")]
-    docs = docs.select(*kept)
-    counts = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
-    if len(counts) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    rows = _columns(docs, kept)
+    counts = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).collect()}
     names = sorted(counts, key=lambda s: (s is None, s or ""))
     parts = {s: int(weights.get(s, other_weight)) for s in names}
     if any(v < 1 for v in parts.values()):
         raise ValueError("weights are integers of at least 1")
+    common = gcd(*parts.values()) if parts else 1
+    parts = {s: v // common for s, v in parts.items()}
     blocks = {s: -(-counts[s] // block_rows) for s in names}
-    rows, plans = [], {}
-    for k, (at, first, now, whole) in enumerate(phases(blocks, parts)):
-        active = [s for s in names if s in now]
-        shape = tuple(now[s] for s in active)
-        if shape not in plans:
-            plans[shape] = frame(spark, list(shape))
-        for s, places in zip(active, plans[shape]):
-            rows.append((s, k, first[s], min(blocks[s], first[s] + whole * now[s]), at, sum(shape), now[s], places))
-    plan = spark.createDataFrame(
-        rows, "_s string, _phase int, _first long, _end long, _at long, _frame long, _w long, _places array<long>"
-    )  # phases * sources rows at most, each of a frame's places
-    numbered = number_rows(docs, ["doc_id"], counts, bucket_rows).withColumn("block", F.floor(F.col("_n") / block_rows))
-    slot = F.expr("_at + ((block - _first) div _w) * _frame + element_at(_places, cast((block - _first) % _w as int) + 1)")
+    told = list(_plan(names, parts, blocks))
+    plan = spark.createDataFrame(told, "s string, first long, end long, at long, frame long, w long, places array<long>")
+    if sum(len(p[-1]) for p in told) <= BROADCAST_PLACES:
+        plan = F.broadcast(plan)
+    numbered = number_rows(rows, counts, bucket_rows).withColumn("block", F.floor(F.col("n") / block_rows))
+    slot = F.expr("at + ((block - first) div w) * frame + element_at(places, cast((block - first) % w as int) + 1)")
     return (
-        numbered.join(
-            F.broadcast(plan),
-            numbered["source"].eqNullSafe(plan["_s"]) & (F.col("block") >= F.col("_first")) & (F.col("block") < F.col("_end")),
-        )
+        numbered.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("end")))
         .withColumn("slot", slot)
-        .withColumn("position", F.col("slot") * block_rows + F.col("_n") % block_rows)
-        .select(*kept, "block", "slot", "position")
+        .select("own.*", "block", "slot", (F.col("slot") * block_rows + F.col("n") % block_rows).alias("position"))
     )

@@ -2,11 +2,14 @@
 
 import hashlib
 import json
+import math
 import random
 from collections import Counter
 from fractions import Fraction
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from barloom.llm import chat, mixing, urls
@@ -71,8 +74,8 @@ def test_bloom_lets_listed_pass_and_few_others(spark):
 
 
 @pytest.mark.parametrize("weights", [[1, 1], [1, 2, 3], [5, 1, 1, 7], [1, 9], [3], [2, 2, 2, 1, 1, 13]])
-def test_frame_stays_within_a_block(spark, weights):
-    places = mixing.frame(spark, weights)
+def test_frame_stays_within_a_block(weights):
+    places = mixing.frame(weights)
     total = sum(weights)
     order = {p: s for s, ps in enumerate(places) for p in ps}
     assert sorted(order) == list(range(total)) and [len(p) for p in places] == weights
@@ -83,6 +86,76 @@ def test_frame_stays_within_a_block(spark, weights):
             assert abs(done[s] - Fraction(w * (t + 1), total)) < 1
 
 
+def naive_frame(weights):
+    """Earliest due first, by looking at every source at every place."""
+    n, taken, out = sum(weights), [0] * len(weights), [[] for _ in weights]
+    for t in range(n):
+        open_ = [(math.ceil(Fraction((taken[s] + 1) * n, w)), s) for s, w in enumerate(weights) if taken[s] < w and math.floor(Fraction(taken[s] * n, w)) <= t]
+        s = min(open_)[1]
+        out[s].append(t)
+        taken[s] += 1
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=12))
+def test_frame_is_earliest_due_first(weights):
+    assert mixing.frame(weights) == naive_frame(weights)
+
+
+def test_phases_place_every_block_once():
+    rng = random.Random(3)
+    for _ in range(40):
+        blocks = {s: rng.randint(0, 30) for s in "abcde"}
+        weights = {s: rng.randint(1, 5) for s in "abcde"}
+        slots = {}
+        for s, first, end, at, frame, w, places in mixing._plan([x for x in "abcde"], weights, blocks):
+            for b in range(first, end):
+                slots[s, b] = at + (b - first) // w * frame + places[(b - first) % w]
+        assert set(slots) == {(s, b) for s, n in blocks.items() for b in range(n)} and len(set(slots.values())) == len(slots)
+        # brute force: frames of the sources that are left, as long as all of them fill one, or one frame if some can't
+        left, at, want = dict(blocks), 0, {}
+        while any(left.values()):
+            active = [s for s in "abcde" if left[s]]
+            whole = max(1, min(left[s] // weights[s] for s in active))
+            for _ in range(whole):
+                for s, places in zip(active, naive_frame([weights[s] for s in active])):
+                    for p in places[: left[s]]:
+                        want[s, blocks[s] - left[s]] = at + p
+                        left[s] -= 1
+                at += sum(weights[s] for s in active)
+        assert slots == want
+
+
+def test_many_sources_and_places(spark, monkeypatch):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 1500).cast("string")).alias("source"))
+    weights = {f"s{k}": 1 + k % 40 for k in range(1500)}
+    assert sum(weights.values()) > 20_000
+    out = mixing.mix(df, weights, block_rows=1)
+    assert no_python(out)
+    got = {(r["doc_id"], r["position"]) for r in out.collect()}
+    assert len(got) == 3000 and len({p for _, p in got}) == 3000
+    monkeypatch.setattr(mixing, "BROADCAST_PLACES", 10)
+    assert {(r["doc_id"], r["position"]) for r in mixing.mix(df, weights, block_rows=1).collect()} == got
+
+
+def test_mix_leaves_columns_of_any_name(spark):
+    names = ("_n", "_bucket", "_w", "_at", "n", "own", "s", "first", "end", "at", "frame", "w", "places", "whole", "bucket", "before", "within", "b", "c", "a.b")
+    df = spark.createDataFrame([(i, "ab"[i % 2], *(f"{x}{i}" for x in names)) for i in range(40)], "doc_id long, source string, " + ", ".join(f"`{x}` string" for x in names))
+    out = mixing.mix(df, block_rows=4)
+    assert out.columns == [*df.columns, "block", "slot", "position"]
+    rows = out.collect()
+    assert len(rows) == 40 and all(tuple(r)[2:-3] == tuple(f"{x}{r['doc_id']}" for x in names) for r in rows)
+
+
+def test_rows_without_an_id_are_dealt_out(spark):
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.col("id").alias("text"))
+    rows = mixing._columns(df, df.columns)
+    assert rows.count() == 4000
+    out = mixing.mix(df, block_rows=4, bucket_rows=100).collect()
+    assert sorted(r["position"] for r in out) == list(range(4000)) and len({r["text"] for r in out}) == 4000
+
+
 def test_mix(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice(["a"] * 6 + ["b", "c", None])) for i in range(900)] + [(5, "a"), (None, "b"), (None, "b")]
