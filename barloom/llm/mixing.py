@@ -87,7 +87,8 @@ def number_rows(rows: DataFrame, counts: dict, bucket_rows: int) -> DataFrame:
     spark = rows.sparkSession
     cut = spark.createDataFrame([(s, LEAST_BUCKETS + n // bucket_rows) for s, n in counts.items()], "c string, buckets long")
     order = [F.xxhash64(F.lit(43), "own.doc_id"), F.col("own.doc_id"), F.col("whole")]
-    dealt = rows.withColumn("whole", F.xxhash64(F.lit(47), F.to_json("own"))).join(F.broadcast(cut), F.col("source").eqNullSafe(F.col("c")))  # a row for each source
+    whole = F.to_json("own") if "map<" in rows.schema["own"].dataType.simpleString() else F.col("own")  # maps can't be hashed
+    dealt = rows.withColumn("whole", F.xxhash64(F.lit(47), whole)).join(F.broadcast(cut), F.col("source").eqNullSafe(F.col("c")))  # a row for each source
     dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64(F.lit(41), "own.doc_id", "whole"), F.col("buckets"))).drop("c", "buckets")
     sizes = dealt.groupBy("source", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))

@@ -35,21 +35,23 @@ URL_RULES: list[urls.Rule] = [
     ("allow", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-#: Host labels whose pages make the list of blocked URLs.
+#: The list of blocked URLs, by rule: numbered pages of these hosts under the languages of the site. Many are on no page.
 LISTED_LABELS = ("spam-farm", "adult-x", "casino-win")
+LISTED_ENDS = ("com", "net", "org")
+LISTED_LANGUAGES = ("en", "de", "fr", "es")
+LISTED_NUMBERS = 10_000
 
 
-def listed_urls(pages: DataFrame) -> DataFrame:
-    """url_key: the canonical URLs of the pages of listed hosts."""
-    host, path = urls.host_and_path(F.col("url"))
-    rows = pages.select(host.alias("host"), path.alias("path"))
-    label = F.regexp_extract("host", r"^(?:(?:www|m|blog)\.)?([^.]*)\.", 1)
-    return rows.where(label.isin(*LISTED_LABELS)).select(urls.canonical(F.col("host"), F.col("path")).alias("url_key"))
+def listed_urls(spark: SparkSession) -> DataFrame:
+    """url_key: canonical URLs <label>.example.<end>/<language>/<number>."""
+    parts = [F.explode(F.array(*map(F.lit, x))) for x in (LISTED_LABELS, LISTED_ENDS, LISTED_LANGUAGES)]
+    rows = spark.range(LISTED_NUMBERS).select("id", parts[0].alias("label")).select("*", parts[1].alias("end")).select("*", parts[2].alias("lang"))
+    return rows.select(F.format_string("%s.example.%s/%s/%d", "label", "end", "lang", "id").alias("url_key"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages")
-    return urls.judge(pages, URL_RULES, listed_urls(pages))
+    return urls.judge(pages, URL_RULES, listed_urls(spark))
 
 
 def _fold(modulus: int) -> Column:

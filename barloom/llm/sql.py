@@ -7,7 +7,7 @@ pipeline. Tests hold those against brute force or held-out accuracy.
 
 from __future__ import annotations
 
-from .queries import LISTED_LABELS, URL_RULES
+from .queries import LISTED_ENDS, LISTED_LABELS, LISTED_LANGUAGES, LISTED_NUMBERS, URL_RULES
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -43,7 +43,8 @@ def _op2() -> str:
     fits = [(f"(host = '{h}' OR suffix(host, '.{h}')) AND prefix(path, '{p}')", h + p, v) for v, h, p in rules]
     rule = "CASE " + " ".join(f"WHEN {f} THEN '{name}'" for f, name, _ in fits) + " END"
     verdict = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, _, v in fits) + " END"
-    labels = ", ".join(f"'{x}'" for x in LISTED_LABELS)
+    lists = [", ".join(f"'{x}'" for x in names) for names in (LISTED_LABELS, LISTED_ENDS, LISTED_LANGUAGES)]
+    listed = " CROSS JOIN ".join(f"(SELECT unnest([{x}]) AS {c})" for x, c in zip(lists, "abc"))
     return rf"""
 WITH parts AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -51,9 +52,9 @@ WITH parts AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
 ), keyed AS (
-  SELECT *, regexp_replace(host, '^(?:www|m|blog)\.', '') || regexp_replace(path, '(?:\.html|/+)$', '') AS k FROM split
+  SELECT *, regexp_replace(host, '^(?:www|m|blog)\.', '') || CASE WHEN suffix(path, '.html') THEN left(path, length(path) - 5) ELSE rtrim(path, '/') END AS k FROM split
 ), listed AS (
-  SELECT DISTINCT k FROM keyed WHERE regexp_extract(host, '^(?:(?:www|m|blog)\.)?([^.]*)\.', 1) IN ({labels})
+  SELECT a || '.example.' || b || '/' || c || '/' || i AS k FROM {listed} CROSS JOIN range({LISTED_NUMBERS}) n(i)
 )
 SELECT page_id, host, path, {rule} AS rule,
        coalesce({verdict}, CASE WHEN k <> '' AND k IN (SELECT k FROM listed) THEN 'block' ELSE 'allow' END) AS verdict

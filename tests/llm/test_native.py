@@ -59,8 +59,27 @@ def test_urls(spark):
     assert got == Counter((i, *verdict(u, {"spam.org/x", "b:"})) for i, u, _, _ in rows)
     assert urls.judge(pages.limit(0), URL_RULES, listed).count() == 0
     assert urls.judge(pages, URL_RULES, listed.limit(0)).where("verdict = 'block'").count() == sum(verdict(u, set())[3] == "block" for _, u, _, _ in rows)
-    with pytest.raises(ValueError):
-        urls.judge(pages, [("block", f"h{i}", "/") for i in range(501)], listed)
+
+
+def test_many_rules_are_joined_by_host(spark, monkeypatch):
+    rng = random.Random(5)
+    names = ["a", "b", "a.b", "b.a", "x.a.b", "", "c."]
+    rules = [(rng.choice(["block", "allow"]), *pair) for pair in {(rng.choice(names), rng.choice(["/", "/p", "/p/q", ""])) for _ in range(60)}]
+    pages = spark.createDataFrame([(i, f"http://{rng.choice(names)}{rng.choice(['', '.'])}{rng.choice(names)}{rng.choice(['/', '/p', '/p/q', '/z', ''])}") for i in range(300)] + [(900, None)], "page_id long, url string")
+    listed = spark.createDataFrame([("a/p",)], "url_key string")
+    want = Counter(tuple(r) for r in urls.judge(pages, rules, listed).collect())
+    monkeypatch.setattr(urls, "COMPILED_RULES", 3)
+    out = urls.judge(pages, rules, listed)
+    assert no_python(out) and Counter(tuple(r) for r in out.collect()) == want
+    monkeypatch.undo()
+    many = [("block", f"h{i}", "/") for i in range(700)]
+    assert urls.judge(spark.createDataFrame([(1, "http://x.h650/a"), (2, "http://h701/")], "page_id long, url string"), many, listed).where("rule = 'h650/'").count() == 1
+
+
+def test_canonical(spark):
+    cases = {"/a.html": "/a", "/a///": "/a", "/": "", ".html": "", "/a.html/": "/a.html", "/" * 200_000 + "x": "/" * 200_000 + "x", "/a/\n": "/a/\n", "": ""}
+    df = spark.createDataFrame([("m.h", p) for p in cases], "h string, p string")
+    assert [r[0] for r in df.select(urls.canonical(F.col("h"), F.col("p"))).collect()] == ["h" + c for c in cases.values()]
 
 
 def test_bloom_lets_listed_pass_and_few_others(spark):
