@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, thinned
+from .common import prepare
 from .ngrams import SLOTS, batches_of, has_letter, present
 
-#: Training texts and landmarks of each language at most, and languages at most.
-TRAIN_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE, LANGUAGES = 400, 32, 200
+#: Training texts and landmarks of each language at most.
+TRAIN_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE = 400, 32
 
 #: Least norm of the Nyström map; least lead of a claim if the norm is under WELL_KNOWN. Held-out rows of sf0.1 have
 #: norms from 0.284 on; low leads with high norms are texts of two learned languages. Texts under SHORT
@@ -49,10 +49,8 @@ class Model:
         return out / size[:, None] / self.own[None, :]
 
 
-def train(texts: list[bytes], languages: list[str], per_language: int = LANDMARKS_PER_LANGUAGE, ridge: float = 1e-2) -> Model:
-    """The first `per_language` texts of each language are its landmarks."""
-    seen = np.zeros(SLOTS, bool)
-    rows = [present(t, True, seen) for t in texts]
+def train(rows: list[np.ndarray], languages: list[str], per_language: int = LANDMARKS_PER_LANGUAGE, ridge: float = 1e-2) -> Model:
+    """rows: the slots of each text's n-grams. The first `per_language` texts of each language are its landmarks."""
     names = sorted(set(languages))
     landmarks = [i for name in names for i in [k for k, x in enumerate(languages) if x == name][:per_language]]
     known = np.unique(np.concatenate([rows[i] for i in landmarks])) if landmarks else np.zeros(0, np.int64)
@@ -80,27 +78,32 @@ def train(texts: list[bytes], languages: list[str], per_language: int = LANDMARK
     return model
 
 
+def _slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams of texts that have a letter; no text leaves the executors."""
+    seen = np.zeros(SLOTS, bool)
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        rows = [present(t.encode(), True, seen).astype(np.int32).tobytes() if has_letter(t) else None for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("lang"), pa.array(rows, pa.binary())], ["k", "lang", "slots"])
+
+
 def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
-    """docs (doc_id, text, lang): at most `per_language` rows of each language, by a hash of the
-    doc_id, reach the driver. Rows without language or letters are no examples; of more than
-    LANGUAGES languages, the most frequent are learned."""
-    spark = docs.sparkSession
-    prepare(spark)
+    """docs (doc_id, text, lang): every language is learned, from at most `per_language` of its rows, by a hash of the
+    doc_id, then doc_id and text; their n-grams reach the driver. Rows without language or letters are no examples; rows
+    that share a doc_id are rows like others."""
+    prepare(docs.sparkSession)
     rows = docs.where("lang is not null and text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    names = {r["lang"]: thinned(r["count"], per_language) for r in counts}
+    hashed = rows.withColumn("h", F.xxhash64(F.lit(9), "doc_id").bitwiseAND(F.lit((1 << 63) - 1)))
     # few rows of each language reach the sort, see thinned()
-    hashed = rows.select("doc_id", "lang", F.xxhash64(F.lit(9), "doc_id").bitwiseAND(F.lit((1 << 63) - 1)).alias("h"))
-    below = F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), F.col("lang")) if names else F.lit(0)
-    by = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = hashed.where(F.col("lang").isin(list(names))).where(F.col("h") <= below)
-    chosen = chosen.withColumn("k", F.row_number().over(by)).where(F.col("k") <= per_language).select("doc_id", "lang", "k")
-    # at most LANGUAGES * per_language rows
-    pulled = (
-        rows.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).orderBy("k", "lang", "doc_id", "text").limit(LANGUAGES * per_language).select("lang", "text").toPandas()
-    )
-    some = [has_letter(t) for t in pulled["text"]]
-    return train([t.encode() for t, ok in zip(pulled["text"], some) if ok], [x for x, ok in zip(pulled["lang"], some) if ok])
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.least(F.lit(1.0), (4 * per_language + 100) / F.col("n"))
+    below = counts.select("lang", F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise((share * float(1 << 63)).cast("long")).alias("below"))
+    by = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
+    thin = hashed.join(below, "lang").where(F.col("h") <= F.col("below"))
+    chosen = thin.withColumn("k", F.row_number().over(by)).where(F.col("k") <= per_language)
+    pulled = chosen.select("k", "lang", "text").mapInArrow(_slots_of, "k int, lang string, slots binary").where("slots is not null").toPandas()
+    pulled = pulled.sort_values(["k", "lang"])
+    return train([np.frombuffer(x, np.int32).astype(np.int64) for x in pulled["slots"]], list(pulled["lang"]))
 
 
 def _claims(m: Model, texts: list[str | None], seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

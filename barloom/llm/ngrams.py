@@ -14,11 +14,13 @@ _AT = (0, 1 << 8, (1 << 8) + (1 << 16))
 REPEATS = (2, 3, 4, 6, 9)
 ALL_SLOTS = SLOTS + len(REPEATS)
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: What may be a letter; some numbers, as superscripts and fractions are, pass too.
 _LETTER = re.compile(r"[^\W\d_]")
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a character has Unicode category L."""
+    return bool(text) and any(m[0].isalpha() for m in _LETTER.finditer(text))
 
 
 def present(text: bytes, fold: bool, seen: np.ndarray) -> np.ndarray:

@@ -103,8 +103,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, cost
     """docs (doc_id, text) and labels (doc_id, quality 0/1) of the training rows.
 
     Counts cover all of them; the sample of at most `sample_rows` is taken in equal parts
-    from both classes by a hash of the doc_id. One class only, or no rows: the score is
-    the smoothed share of class 1.
+    from both classes by a hash of the doc_id, then the doc_id. A document with both labels counts
+    in both classes, as do the rows of a doc_id that has several texts; a label said twice counts once. If such rows
+    make the sample larger, the first `2 * sample_rows` by that hash stay. Labels other than 0 and 1, and those without a doc_id, count
+    nothing. One class only, or no rows: the score is the smoothed share of class 1.
     """
     known = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -128,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, cost
     chosen = [
         known.where((F.col("quality") == label) & (h <= thinned(n, half))).orderBy(h, "doc_id").limit(half) for label, n in ((0, n0), (1, n1))
     ]
-    sample = texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").orderBy("doc_id", "quality", "text").limit(2 * sample_rows)
+    sample = texts.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").orderBy(h, "doc_id", "quality", "text").limit(2 * sample_rows)
     pulled = sample.mapInArrow(_slots_only, "doc_id long, quality int, slots binary").toPandas()
     feats = []
     for raw in pulled["slots"]:

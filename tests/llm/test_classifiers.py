@@ -63,6 +63,100 @@ def test_dual_descent_separates():
     assert np.mean(np.sign(x @ w[:6] + b) == y) > 0.97
 
 
+def grams(text):
+    """The hashed blended spectrum of a text, by sets."""
+    raw = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    two = {raw[i : i + 2] for i in range(len(raw) - 1)}
+    three = {raw[i : i + 3] for i in range(len(raw) - 2)}
+    hashed = {((int.from_bytes(g, "big") * 0x9E3779B1) & 0xFFFFFFFF) >> 16 for g in three}
+    return {(1, b) for b in raw} | {(2, g) for g in two} | {(3, h) for h in hashed}
+
+
+TEXTS = [
+    ("en", "the cat sat on the mat and the dog ran"), ("en", "where is the house of the old man"), ("en", "they went there with them"), ("en", "this and that"),
+    ("de", "der Hund und die Katze sind nicht da"), ("de", "das ist ein Haus und der Mann"), ("de", "wir gehen in die Stadt"), ("de", "und so weiter"),
+    ("fr", "le chat est dans la maison de la ville"), ("fr", "où est la porte du jardin"), ("fr", "nous allons à la mer"), ("fr", "et ainsi de suite"),
+]
+
+
+def test_kernel_nystroem_and_ridge_by_hand():
+    seen = np.zeros(ngrams.SLOTS, bool)
+    model = language.train([ngrams.present(t.encode(), True, seen) for _, t in TEXTS], [x for x, _ in TEXTS], per_language=2, ridge=0.05)
+    sets, names = [grams(t) for _, t in TEXTS], sorted({x for x, _ in TEXTS})
+    kernel = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    marks = [i for x in names for i in [k for k, (y, _) in enumerate(TEXTS) if y == x][:2]]
+    k_nm = np.array([[kernel(a, sets[m]) for m in marks] for a in sets])
+    k_mm = k_nm[marks]
+    y = np.array([[1.0 if x == z else -1.0 for z in names] for x, _ in TEXTS])
+    # the map's ridge regression is the same as this one over the landmarks: min |K_nm v - y|^2 + ridge v' K_mm v
+    # every language has the same number of rows here, so each row weighs 1
+    v = np.linalg.solve(k_nm.T @ k_nm + 0.05 * k_mm, k_nm.T @ y)
+    told = ["the dog is here", "die Katze und das Haus", "la mer est belle", "x"]
+    want = np.array([[kernel(grams(t), sets[m]) for m in marks] for t in told]) @ v
+    got = model.kernel(*ngrams.batches_of(ngrams.present(t.encode(), True, seen) for t in told)) @ model.weights
+    assert model.languages == names and np.abs(got - want).max() < 1e-6
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"l{i % 260}", f"{chr(0x4E00 + i % 260) * 3} {chr(0x4E00 + i % 260)}") for i in range(780)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4)
+    model = language.fit(docs)
+    assert len(model.languages) == 260
+    out = language.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id")
+    assert out.where("lang = lang_pred").count() == 780
+
+
+def test_letters_are_of_category_l(spark):
+    import unicodedata
+
+    for c in ["²", "½", "①", "Ⅷ", "1", "_", "a", "é", "中", "ʰ", "ª", "٣", "۞", "\u0301", "𝒜"]:
+        assert ngrams.has_letter("1 " + c) == unicodedata.category(c).startswith("L"), c
+    docs = spark.createDataFrame([(1, "²½①", "en"), (2, "hello there", "en"), (3, "salut toi", "fr")], "doc_id long, text string, lang string")
+    by = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, language.fit(docs)).collect()}
+    assert by == {1: "und", 2: "en", 3: "fr"}
+
+
+LABELLED = [("good clean text about maps", 1), ("a fine text about good maps", 1), ("clean words", 1), ("bad spam spam spam spam", 0), ("buy spam now now now", 0), ("click here spam", 0), ("good spam", 1), ("good spam", 0)]
+
+
+def test_ratios_and_descent_by_hand(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(LABELLED)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, q) for i, (_, q) in enumerate(LABELLED)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    # log-count ratios by counting, in dense numpy
+    seen = np.zeros(ngrams.SLOTS, bool)
+    slots = [ngrams.present_with_repeats(t.encode(), seen) for t, _ in LABELLED]
+    x = np.zeros((len(slots), ngrams.ALL_SLOTS))
+    for r, s in zip(x, slots):
+        r[s] = 1
+    y = np.array([1.0 if q else -1.0 for _, q in LABELLED])
+    p, q = 1 + x[y > 0].sum(axis=0), 1 + x[y < 0].sum(axis=0)
+    ratio = np.log(p / ((y > 0).sum() + 2)) - np.log(q / ((y < 0).sum() + 2))
+    f = x * ratio / np.sqrt(np.maximum(1, x.sum(axis=1)))[:, None]
+    # the sample's order decides which rows are left out for the curve
+    order = [r["doc_id"] for r in labels.orderBy(F.xxhash64(F.lit(3), "doc_id").bitwiseAND(F.lit((1 << 63) - 1)), "doc_id").collect()]
+    fitted = [i for k, i in enumerate(order) if k % 5 != 4]
+    g, t = np.c_[f[fitted], np.ones(len(fitted))], y[fitted]
+    cost = np.array([len(y) / (2 * (y == v).sum()) for v in t])
+    # minimum of |w|^2 / 2 + sum of cost * max(0, 1 - t g w)^2 in the span of the rows, by Newton steps
+    a = np.zeros(len(g))
+    gram = g @ g.T
+    for _ in range(200):
+        gap = 1 - t * (gram @ a)
+        on = gap > 0
+        a_new = np.zeros(len(g))
+        a_new[on] = np.linalg.solve(gram[np.ix_(on, on)] + np.diag(0.5 / cost[on]), t[on])
+        if np.allclose(a_new, a):
+            break
+        a = a_new
+    w = g.T @ a
+    want = f @ w[:-1] + w[-1]
+    got = np.array([model.margin(s) for s in slots])
+    assert np.abs(got - want).max() < 0.02 * np.abs(want).max()
+    scores = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    assert all(abs(scores[i] - 1 / (1 + np.exp(-(model.slope * z + model.shift)))) < 1e-9 for i, z in enumerate(got))
+
+
 def test_presence_is_exact_for_one_and_two_bytes():
     seen = np.zeros(ngrams.SLOTS, bool)
     slots = ngrams.present("AbÀ".encode(), True, seen)
