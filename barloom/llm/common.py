@@ -230,6 +230,15 @@ class Members:
         return pa.table({"a": self.node[a], "b": self.node[b]})
 
 
+def distinct_groups(members: DataFrame, by: str) -> DataFrame:
+    """members (group, by, ...) without groups of one, and with one of the groups that have the same members, told by 128 bits."""
+    same = members.groupBy("group").agg(
+        F.count("*").alias("n"), *(F.bit_xor(F.xxhash64(F.lit(k), F.col(by))).alias(f"h{k}") for k in (1, 2))
+    ).where("n > 1")
+    one = same.groupBy("n", "h1", "h2").agg(F.min("group").alias("group")).select("group")
+    return members.join(one, "group", "left_semi")
+
+
 def group_links(members: DataFrame, work: Callable[[pa.Table], pa.Table | None], payload: list[str], tables: Tables, block: int = BLOCK) -> DataFrame:
     """(a, b): links that span the components of what `work` would link among all pairs of a group's members.
 
@@ -272,34 +281,41 @@ def each_task(
     keys = ["_g", "_i", "_j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        held_key = None
+        held: list[pa.RecordBatch] = []
+        n_held = 0
         out: list[pa.Table] = []
 
-        def flush() -> None:
-            if held:
-                found = work(pa.concat_tables(held).combine_chunks())
+        def flush(last: bool) -> None:
+            """Works on the tasks that are all here; the last one may go on, and stays."""
+            nonlocal n_held
+            rows = pa.Table.from_batches(held).combine_chunks()
+            cols = [rows.column(k).to_numpy() for k in keys]
+            change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
+            bounds = [0, *change.tolist(), rows.num_rows]
+            for lo, hi in zip(bounds, bounds[1:] if last else bounds[1:-1]):
+                found = work(rows.slice(lo, hi - lo)) if hi - lo > 1 else None
                 if found is not None and found.num_rows:
                     out.append(found)
-                held.clear()
+            held.clear()
+            n_held = 0
+            if not last:
+                held.extend(rows.slice(bounds[-2]).to_batches())
+                n_held = rows.num_rows - bounds[-2]
 
+        limit = least = 4096
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part = pa.Table.from_batches([batch])
-            cols = [part.column(k).to_numpy() for k in keys]
-            change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
-            bounds = [0, *change.tolist(), part.num_rows]
-            for lo, hi in zip(bounds, bounds[1:]):
-                key = tuple(c[lo] for c in cols)
-                if key != held_key:
-                    flush()
-                    held_key = key
-                held.append(part.slice(lo, hi - lo))
-            if len(out) > 200:
-                yield from pa.concat_tables(out).combine_chunks().to_batches()
-                out.clear()
-        flush()
+            held.append(batch)
+            n_held += batch.num_rows
+            if n_held >= limit:
+                flush(False)
+                limit = max(least, 2 * n_held)  # a long task is not looked through again and again
+                if out:
+                    yield from pa.concat_tables(out).combine_chunks().to_batches()
+                    out.clear()
+        if held:
+            flush(True)
         if out:
             yield from pa.concat_tables(out).combine_chunks().to_batches()
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import BLOCK, Members, Rolling, Tables, components, group_links, mix, partitions, prepare, slices, table
+from .common import BLOCK, Members, Rolling, Tables, components, distinct_groups, group_links, mix, partitions, prepare, slices, table
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -378,8 +378,7 @@ def line_classes(docs: DataFrame, tables: Tables, edits: int = 2, min_chars: int
     # numbers of their own: lines that agree in 64 bits only stay apart
     nodes = tables.write(content.withColumn("node", F.monotonically_increasing_id()), "meeting-lines")
     keys = tables.write(nodes.select("node", "content").mapInArrow(_keys_of(min_chars, edits, short), "group long, node long").distinct(), "keys")
-    shared = keys.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
-    members = keys.join(shared, "group").join(nodes.select("node", "content"), "node").select("group", "node", "content")
+    members = distinct_groups(keys, "node").join(nodes.select("node", "content"), "node").select("group", "node", "content")
     members = tables.write(members, "members")
     near = group_links(members, _confirm(edits, min_chars, short), ["content"], tables, block)
     settled = components(near, tables).withColumnRenamed("id", "node")

@@ -30,7 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, Members, Tables, bloom_of, components, group_links, mix, prepare, slices, space_words, table, utf8
+from .common import BLOCK, Members, Tables, bloom_of, components, distinct_groups, group_links, mix, prepare, slices, space_words, table, utf8
+
+#: Sets of a task up to which their signatures are compared as they are.
+SMALL = 24
 
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -101,20 +104,28 @@ class Lists:
 
     def __init__(self, sig: np.ndarray, matches: int):
         self.sig, self.matches = sig, matches
+        if len(sig) <= SMALL:
+            return
+        n = len(sig)
         self.order = np.argsort(sig, axis=0, kind="stable")
         ranked = np.take_along_axis(sig, self.order, axis=0)
-        edge = np.ones(sig.shape, bool)
-        edge[1:] = ranked[1:] != ranked[:-1]
-        number = np.cumsum(edge, axis=0) - 1
+        edge = np.ones((n + 1, sig.shape[1]), bool)
+        edge[1:n] = ranked[1:] != ranked[:-1]
+        at = np.arange(n + 1)[:, None]
         #: Of each set and coordinate: where its list begins and ends in order.
         self.low, self.high = np.empty(sig.shape, np.int64), np.empty(sig.shape, np.int64)
-        for k in range(sig.shape[1]):
-            starts = np.append(np.flatnonzero(edge[:, k]), len(sig))
-            self.low[self.order[:, k], k] = starts[number[:, k]]
-            self.high[self.order[:, k], k] = starts[number[:, k] + 1]
+        np.put_along_axis(self.low, self.order, np.maximum.accumulate(np.where(edge, at, 0), axis=0)[:n], axis=0)
+        np.put_along_axis(self.high, self.order, np.minimum.accumulate(np.where(edge, at, n)[::-1], axis=0)[::-1][1:], axis=0)
 
     def collisions(self, x: int, members: Members) -> tuple[np.ndarray, np.ndarray]:
         """(sets, collisions): those that x is to be compared with and shares `matches` lists with, most collisions first."""
+        if len(self.sig) <= SMALL:  # lists this short are counted at once
+            rest = np.arange(x + 1, len(self.sig))
+            rest = rest[members.pairs(x, rest)]
+            count = (self.sig[rest] == self.sig[x]).sum(axis=1)
+            enough = np.flatnonzero(count >= self.matches)
+            enough = enough[np.argsort(-count[enough], kind="stable")]
+            return rest[enough], count[enough]
         size = self.high[x] - self.low[x]
         lists = np.argsort(size, kind="stable")
         short, long = lists[: len(lists) - self.matches + 1], lists[len(lists) - self.matches + 1 :]
@@ -245,7 +256,9 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int, coords: int, mat
         .select("set_key", F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("p"))
         .select("set_key", F.xxhash64("p.coord", "p.value").alias("group"))
     )
-    lists = tables.write(prefix.join(groups, "set_key").select("group", F.col("rep").alias("node"), "sig"), "lists")
+    # sets that are near meet in most of their postings: those with the same members are one
+    lists = distinct_groups(tables.write(prefix, "prefix"), "set_key")
+    lists = tables.write(lists.join(groups, "set_key").select("group", F.col("rep").alias("node"), "sig"), "lists")
     found = group_links(lists, _candidates(matches), ["sig"], tables, block)
     loose = tables.write(components(found, tables), "loose")
     tables.drop(lists)

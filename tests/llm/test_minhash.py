@@ -71,8 +71,9 @@ def test_matches_brute_force(spark):
 def test_groups_beyond_a_block(spark):
     rows = near_copies(2, 60, seed=5)
     top, _ = brute(rows, 4, 80)
-    got = judged(spark, rows, width=4, block=7)
-    assert {i: r["component_id"] for i, r in got.items()} == top
+    for block in (7, 512):
+        got = judged(spark, rows, width=4, block=block)
+        assert {i: r["component_id"] for i, r in got.items()} == top
 
 
 def test_short_texts_differ_from_shingles(spark):
