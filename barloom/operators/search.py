@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -15,6 +15,7 @@ from ..functions import rng as R
 from ..schema import CURVE_POINTS, DEDUPE_DISTANCE, INSPECT_POINTS, MANUAL_POINTS, MOST_SURVIVORS, Search
 from ..sources.bars import equal_weight_index
 from . import backtest as B
+from .arrays import Series
 from . import clustering, features, genome as G, metrics as M, regimes, scoring, views
 
 
@@ -35,15 +36,15 @@ def fee(config: Search) -> float:
     return (config.cost_bps + config.slippage_bps) / 10_000
 
 
-def score_population(genomes: DataFrame, packed: DataFrame, config: Search, end: int) -> DataFrame:
+def score_population(genomes: DataFrame, packed: DataFrame, config: Search, end: int, blocks: int = B.BLOCKS) -> DataFrame:
     """genome_id, fitness: backtest and score in one pass on the executors."""
     cost = fee(config)
 
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for name, r in B._results(parts, cost):
-            yield pd.DataFrame({"genome_id": [name], "fitness": [scoring.fitness_of(r.ret, r.position, r.trades, config, end)]})
+    def work(s: Series, rows: pd.DataFrame) -> pd.DataFrame:
+        done = B.results_of(s, rows, cost)
+        return pd.DataFrame({"genome_id": rows["genome_id"], "fitness": [scoring.fitness_of(r.ret, r.position, r.trades, config, end) for r in done]})
 
-    return B._dealt(genomes, packed).mapInPandas(work, "genome_id string, fitness double")
+    return B.by_block(genomes, packed, work, "genome_id string, fitness double", blocks)
 
 
 def tournament(draw: G.Draw, pool: list[Scored], size: int = 3) -> Scored:
@@ -92,8 +93,15 @@ def search(
     bars: DataFrame, config: Search, progress: Callable[[dict], None] | None = None, stop: Callable[[], bool] | None = None
 ) -> Run:
     """Run the generations. progress gets each generation's figures; stop ends the search before the next one."""
-    spark = bars.sparkSession
     packed = B.packed_with_market(bars).persist()
+    try:
+        return _generations(packed, config, progress, stop)
+    finally:
+        packed.unpersist()
+
+
+def _generations(packed: DataFrame, config: Search, progress: Callable[[dict], None] | None, stop: Callable[[], bool] | None) -> Run:
+    spark = packed.sparkSession
     size = packed.select("symbol", F.size("close").alias("n")).collect()  # one row a symbol
     n = size[0]["n"]
     there = sorted(r["symbol"] for r in size)
@@ -121,7 +129,6 @@ def search(
         if turn < config.generations - 1:
             people = breed(draw, ids, scored, config, symbols, turn + 1)
     run.survivors = distinct_best(list(hall.values()))
-    packed.unpersist()
     return run
 
 
@@ -131,7 +138,8 @@ def evaluate(bars: DataFrame, genomes: DataFrame, config: Search, path: DataFram
     n = market.count()
     end = scoring.split_at(n, config.split_ratio)
     packed = B.packed_with_market(bars)
-    bt, trades = B.backtest_bars(genomes, packed, fee(config)), B.backtest_trades(genomes, packed, fee(config))
+    done = B.backtests(genomes, packed, fee(config)).persist()  # a row a genome, read by each part below
+    bt, trades = B.bars_of(done), B.trades_of(done)
     both = M.metrics(bt, trades, market, [("is", config.warmup, end), ("oos", end, n)])
     ins, outs = both.where("slice = 'is'"), both.where("slice = 'oos'")
     folded = scoring.walk_forward(bt, trades, market, n, config)
@@ -162,7 +170,8 @@ def inspect(bars: DataFrame, genome: DataFrame, config: Search, seed: int | None
     market = index.select("t", "date", F.round("ret", 12).alias("bench"))
     n = market.count()
     packed = B.packed_with_market(bars)
-    bt, trades = B.backtest_bars(genome, packed, fee(config)), B.backtest_trades(genome, packed, fee(config))
+    done = B.backtests(genome, packed, fee(config)).persist()
+    bt, trades = B.bars_of(done), B.trades_of(done)
     late = bt.where(F.col("t") >= config.warmup)
     path = regimes.decode(index, config.regime_states, config.seed if seed is None else seed)
     return {

@@ -1,11 +1,14 @@
 """Target exposure of the five strategy families.
 
 Trend and volatility are plain expressions of a bar. The other three are latches: what
-opens and closes a side is known bar by bar, and one state is carried along.
+opens and closes a side is known bar by bar, and one state is carried along, for all
+genomes of a block at once.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,16 +22,29 @@ def _before(x: np.ndarray) -> np.ndarray:
     return np.concatenate([[np.nan], x[:-1]])
 
 
+@dataclass
+class Latch:
+    """What opens and closes a side, by bar, and the size of the exposure while it is open."""
+
+    up: np.ndarray
+    down: np.ndarray
+    leave_up: np.ndarray
+    leave_down: np.ndarray
+    off: np.ndarray
+    size: np.ndarray | float = 1.0
+
+
 def latch(up: np.ndarray, down: np.ndarray, leave_up: np.ndarray, leave_down: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """-1, 0 or 1 per bar. A side is left first, and only a flat state is entered, the long side before the short."""
-    state, out = 0, []
-    for a, b, c, d, e in zip(up.tolist(), down.tolist(), leave_up.tolist(), leave_down.tolist(), off.tolist()):
-        if e or (c if state > 0 else d if state < 0 else False):
-            state = 0
-        if not state and not e:
-            state = 1 if a else -1 if b else 0
-        out.append(state)
-    return np.array(out, np.float64)
+    """-1, 0 or 1 per bar (the first axis). A side is left first, and only a flat state is entered, the long side before the short."""
+    on = ~off
+    stay_up, stay_down, enter = ~leave_up & on, ~leave_down & on, np.where(up, 1, np.where(down, -1, 0)).astype(np.int8) * on
+    out = np.zeros(up.shape, np.int8)
+    state = np.zeros(up.shape[1:], np.int8)
+    for t in range(len(up)):
+        stays = np.where(state > 0, stay_up[t], stay_down[t]) & (state != 0)
+        state = np.where(stays, state, enter[t])
+        out[t] = state
+    return out.astype(np.float64)
 
 
 def _trend(s: Series, p: dict) -> np.ndarray:
@@ -37,29 +53,29 @@ def _trend(s: Series, p: dict) -> np.ndarray:
     return np.where((spread > p["band"]) & (way > 0), 1.0, np.where((spread < -p["band"]) & (way < 0), -1.0, 0.0))
 
 
-def _breakout(s: Series, p: dict) -> np.ndarray:
+def _breakout(s: Series, p: dict) -> Latch:
     rank = s.get("vol_pct", p["volWindow"], max(60, 4 * p["volWindow"]))
     calm = np.isnan(rank) | (rank <= p["volCeil"])
     c, first = s.close, np.arange(len(s.close)) == 0
-    return latch(
+    return Latch(
         calm & (c > _before(s.get("high", p["entry"]))), calm & (c < _before(s.get("low", p["entry"]))),
         c < _before(s.get("low", p["exit"])), c > _before(s.get("high", p["exit"])), first,
     )
 
 
-def _reversion(s: Series, p: dict) -> np.ndarray:
+def _reversion(s: Series, p: dict) -> Latch:
     z, rsi = s.get("z", p["zWindow"]), s.get("rsi", p["rsiWindow"])
     near = np.abs(z) <= p["exitZ"]
-    return latch(
+    return Latch(
         (z <= -p["entryZ"]) & (rsi <= p["rsiBand"]), (z >= p["entryZ"]) & (rsi >= 100 - p["rsiBand"]), near, near,
         np.isnan(z) | np.isnan(rsi),
     )
 
 
-def _carry(s: Series, p: dict) -> np.ndarray:
+def _carry(s: Series, p: dict) -> Latch:
     v, limit = s.get("carry", p["lookback"], p["smooth"]), p["threshold"]
-    side = latch(v > limit, v < -limit, v < limit * p["decay"], v > -limit * p["decay"], np.isnan(v))
-    return side * np.minimum(1, np.nan_to_num(np.abs(v)) / max(0.1, 2 * limit))
+    size = np.minimum(1, np.nan_to_num(np.abs(v)) / max(0.1, 2 * limit))
+    return Latch(v > limit, v < -limit, v < limit * p["decay"], v > -limit * p["decay"], np.isnan(v), size)
 
 
 def _volatility(s: Series, p: dict) -> np.ndarray:
@@ -74,16 +90,29 @@ RULES = {"trend": _trend, "breakout": _breakout, "meanReversion": _reversion, "c
 _WHOLE = {"fast", "slow", "confirm", "entry", "exit", "volWindow", "zWindow", "rsiWindow", "lookback", "smooth", "pctWindow", "mode"}
 
 
-def signal(s: Series, family: str, params: dict[str, float], side: str) -> np.ndarray:
-    """Target exposure in [-1, 1] per bar; an unknown family stays flat."""
-    if family not in RULES:
-        return np.zeros(len(s.close))
-    p = {k: int(np.floor(v + 0.5)) if k in _WHOLE else v for k, v in params.items()}
+def signals(s: Series, genomes: list[tuple[str, dict[str, float], str]]) -> np.ndarray:
+    """Target exposure in [-1, 1] of each bar and each (family, params, side); an unknown family stays flat."""
+    out, open_ = np.zeros((len(s.close), len(genomes))), {}
     with np.errstate(invalid="ignore", divide="ignore"):
-        out = RULES[family](s, p)
-    if side == "both":
-        return out
-    return np.where(out > 0, out, 0.0) if side == "long" else np.where(out < 0, out, 0.0)
+        for k, (family, params, _) in enumerate(genomes):
+            if family in RULES:
+                p = {name: int(np.floor(v + 0.5)) if name in _WHOLE else v for name, v in params.items()}
+                rule = RULES[family](s, p)
+                if isinstance(rule, Latch):
+                    open_[k] = rule
+                else:
+                    out[:, k] = rule
+    if open_:
+        both = list(open_.values())
+        state = latch(*(np.stack([getattr(x, f) for x in both], axis=1) for f in ("up", "down", "leave_up", "leave_down", "off")))
+        for k, x, column in zip(open_, both, state.T):
+            out[:, k] = column * x.size
+    side = np.array([x for _, _, x in genomes], dtype=object)
+    return np.where(((side == "long") & (out < 0)) | ((side == "short") & (out > 0)), 0.0, out)
+
+
+def signal(s: Series, family: str, params: dict[str, float], side: str) -> np.ndarray:
+    return signals(s, [(family, params, side)])[:, 0]
 
 
 # --- as expressions ---------------------------------------------------------------

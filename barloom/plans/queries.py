@@ -249,17 +249,12 @@ def _signals(spark, d, families: tuple[str, ...]) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    from ..operators.arrays import Series
-
-    def work(parts):
-        for part in parts:
-            for x in part.itertuples(index=False):
-                s = Series(*(np.asarray(getattr(x, f), np.float64) for f in ("open", "high", "low", "close", "bench")))
-                v = np.round(signals.signal(s, x.family, dict(x.params), x.side), 8) + 0.0
-                yield pd.DataFrame({"genome_id": x.genome_id, "t": range(len(v)), "signal": v})
+    def work(s, rows):
+        v = np.round(signals.signals(s, [(f, dict(p), side) for f, p, side in zip(rows["family"], rows["params"], rows["side"])]), 8) + 0.0
+        return pd.DataFrame({"genome_id": np.repeat(rows["genome_id"].to_numpy(), len(v)), "t": np.tile(np.arange(len(v)), len(rows)), "signal": v.T.ravel()})
 
     some = fixed(spark).where(F.col("family").isin(*families))
-    return B._dealt(some, _packed(spark, d)).mapInPandas(work, "genome_id string, t int, signal double")
+    return B.by_block(some, _packed(spark, d), work, "genome_id string, t int, signal double")
 
 
 @query
@@ -290,12 +285,16 @@ def position_sizing(spark, d):
     return rows.select("symbol", "t", r(B.size(F.col("vol"), F.lit(0.12), F.lit(2.0), F.lit(1))).alias("size"))
 
 
+def _done(spark, d) -> DataFrame:
+    return kept("backtests", spark, d, lambda: B.backtests(fixed(spark), _packed(spark, d), FEE))
+
+
 def _bt(spark, d) -> DataFrame:
-    return kept("bt", spark, d, lambda: B.backtest_bars(fixed(spark), _packed(spark, d), FEE))
+    return B.bars_of(_done(spark, d))
 
 
 def _trades(spark, d) -> DataFrame:
-    return kept("trades", spark, d, lambda: B.backtest_trades(fixed(spark), _packed(spark, d), FEE))
+    return B.trades_of(_done(spark, d))
 
 
 @query
@@ -310,7 +309,7 @@ def backtest_trades(spark, d):
 
 @query
 def backtest_turnover(spark, d):
-    return rounded(B.turnover(fixed(spark), _packed(spark, d), FEE))
+    return rounded(_done(spark, d).select("genome_id", "turnover"))
 
 
 @query

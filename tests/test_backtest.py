@@ -16,12 +16,13 @@ CLOSE = [100, 102, 101, 104, 99, 103, 105, 104, 108, 107]
 
 def trace(**risk):
     r = B.Risk(**({"vol_target": 0.12, "max_leverage": 2, "stop_atr": 1.5, "cool_down": 2} | risk))
-    return B.run([c + 1 for c in CLOSE], [c - 1 for c in CLOSE], CLOSE, [0, 1, 1, 1, 1, 1, 1, -1, -1, 0], [0.24] * 10, [2.0] * 10, r, 5e-4)
+    want = np.array([0.0, 1, 1, 1, 1, 1, 1, -1, -1, 0])[:, None]
+    return B.run([c + 1 for c in CLOSE], [c - 1 for c in CLOSE], CLOSE, want, [0.24] * 10, [2.0] * 10, [r], 5e-4)[0]
 
 
 def test_trace():
     r = trace()
-    assert r.position == [0, 0, 0.5, 0.5, 0.5, 0, 0, 0.5, 0, -0.5]
+    assert r.position.tolist() == [0, 0, 0.5, 0.5, 0.5, 0, 0, 0.5, 0, -0.5]
     want = [0, -0.00025, -0.00490196, 0.01485149, -0.02428846, 0, -0.00025, -0.0050119, -0.00025, 0.00437963]
     assert np.allclose(r.ret, want, atol=1e-8) and abs(r.equity[-1] - 0.98396539) < 1e-8 and abs(r.turnover - 3) < 1e-12
     assert [(a, b, d, n, why) for a, b, d, _, n, why in r.trades] == [(1, 4, 1, 3, "stop"), (6, 7, 1, 1, "signal"), (8, 9, -1, 1, "signal")]
@@ -42,7 +43,7 @@ def random_series(seed=1, n=700):
 
 def test_cost_is_linear_in_turnover():
     s = random_series()
-    made = [B.evaluate(s, "trend", {"fast": 10, "slow": 40, "confirm": 10, "band": 0.0}, "both", B.Risk(0.1, 2), fee) for fee in (0, 0.0005)]
+    made = [B.evaluate(s, [("trend", {"fast": 10, "slow": 40, "confirm": 10, "band": 0.0}, "both")], [B.Risk(0.1, 2)], fee)[0] for fee in (0, 0.0005)]
     gap = sum(made[0].ret) - sum(made[1].ret)
     assert abs(gap - 0.0005 * made[0].turnover) < 1e-9
 
@@ -67,6 +68,72 @@ def test_latch_ignores_entries_while_in():
     assert (signal(random_series(), "none", {}, "both") == 0).all()
 
 
+def stepped(high, low, close, wanted, vol, atr, r, fee):
+    """One genome, one bar after the other, in plain Python."""
+    ret, position, trades, turnover = [0.0], [0.0], [], 0.0
+    carried, side, wait, book = 0.0, 1, 0, None
+    for t in range(1, len(close)):
+        position.append(carried)
+        earned, why = 0.0, None
+        if carried:
+            if book["stop"] > 0 and (low[t] <= book["stop"] if side > 0 else high[t] >= book["stop"]):
+                why, price = "stop", book["stop"]
+            elif book["goal"] > 0 and (high[t] >= book["goal"] if side > 0 else low[t] <= book["goal"]):
+                why, price = "target", book["goal"]
+            else:
+                price = close[t]
+                book["held"] += 1
+                if r.max_hold > 0 and book["held"] >= r.max_hold:
+                    why = "timeout"
+            earned = carried * (price / close[t - 1] - 1)
+        now = carried
+        if why:
+            earned -= abs(carried) * fee
+            turnover += abs(carried)
+            trades.append((book["t"], t, side, book["growth"] * (1 + earned) - 1, max(1, t - book["t"]), why))
+            book, now, wait = None, 0.0, r.cool_down
+        aim = 0.0 if math.isnan(wanted[t]) else wanted[t]
+        way = int(np.sign(aim))
+        amount = 0.0 if math.isnan(vol[t]) or vol[t] <= 1e-6 else min(r.max_leverage, r.vol_target / vol[t]) * abs(aim)
+        nxt = now
+        if now:
+            nxt = 0.0 if way != side else amount * side if abs(amount * side - now) > 0.2 * abs(now) else now
+        elif way and wait <= 0:
+            side = way
+            nxt = amount * side if amount >= 1e-4 else 0.0
+        wait = max(0, wait - 1)
+        if abs(nxt - now) > 1e-9:
+            earned -= abs(nxt - now) * fee
+            turnover += abs(nxt - now)
+            if now and not nxt:
+                trades.append((book["t"], t, side, book["growth"] * (1 + earned) - 1, max(1, t - book["t"]), "signal"))
+                book = None
+            elif nxt and not now:
+                known = not math.isnan(atr[t])
+                level = lambda x: max(0.0, close[t] + side * x * atr[t]) if x and known else 0.0
+                book = {"t": t, "growth": 1.0, "held": 0, "stop": level(-r.stop_atr), "goal": level(r.take_atr)}
+        if book and nxt and not why:
+            book["growth"] *= 1 + earned
+        ret.append(earned)
+        carried = nxt
+    if carried and book:
+        trades.append((book["t"], len(close) - 1, side, book["growth"] - 1, max(1, len(close) - 1 - book["t"]), "end"))
+    return ret, position, trades, turnover
+
+
+def test_a_block_steps_like_each_genome_alone():
+    rng = np.random.default_rng(4)
+    s = random_series(7, 400)
+    risks = [B.Risk(rng.uniform(0.05, 0.3), rng.uniform(0.3, 3), rng.choice([0, 1.0, 2.5]), rng.choice([0, 2.0, 5.0]), int(rng.choice([0, 5, 20])), int(rng.choice([0, 1, 4]))) for _ in range(60)]
+    want = np.repeat(rng.choice([-1, -0.5, 0, 0.4, 1, np.nan], (80, 60), p=[0.2, 0.1, 0.3, 0.1, 0.2, 0.1]), 5, axis=0)
+    vol, atr = s.get("size_vol"), s.get("size_atr")
+    for g, (one, r) in enumerate(zip(B.run(s.high, s.low, s.close, want, vol, atr, risks, 5e-4), risks)):
+        ret, position, trades, turnover = stepped(s.high, s.low, s.close, want[:, g], vol, atr, r, 5e-4)
+        # a trade that is stopped and reopened on its last bar has no growth of that bar in either
+        assert np.allclose(one.ret, ret, atol=1e-12) and np.allclose(one.position, position, atol=1e-12) and abs(one.turnover - turnover) < 1e-9
+        assert [x[:3] + x[4:] for x in one.trades] == [x[:3] + x[4:] for x in trades] and np.allclose([x[3] for x in one.trades], [x[3] for x in trades], atol=1e-12)
+
+
 R = [0.01, -0.02, 0.015, 0, -0.005, 0.02, -0.01, 0.005, 0.012, -0.018] * 2
 
 
