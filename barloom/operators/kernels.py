@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -204,19 +206,17 @@ def atr(bars: DataFrame, w: int) -> DataFrame:
 
 
 def ema_native(bars: DataFrame, w: int, x: str = "close") -> DataFrame:
-    """The exponential average as a fold over the packed array, without Python."""
-    packed = bars.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("t", F.col(x).alias("x")))).alias("b"))
-    k = 2 / (w + 1)
-    seed = F.aggregate(F.slice("b", 1, w), F.lit(0.0), lambda a, e: a + e["x"]) / w
-    start = F.struct(seed.alias("now"), F.array(F.struct(F.lit(w - 1).alias("t"), seed.alias("ema"))).alias("out"))
+    """The exponential average as a fold over each bar's last rows, without Python, for series of any length.
 
-    def step(s: Column, e: Column) -> Column:
-        now = e["x"] * k + s["now"] * (1 - k)
-        return F.struct(now.alias("now"), F.concat(s["out"], F.array(F.struct(e["t"].alias("t"), now.alias("ema")))).alias("out"))
-
-    folded = packed.where(F.size("b") >= w).select("symbol", F.aggregate(F.slice("b", w + 1, 1_000_000), start, step, lambda s: s["out"]).alias("o"))
-    some = folded.select("symbol", F.explode("o").alias("o")).select("symbol", "o.t", "o.ema")
-    return bars.select("symbol", "t").join(some, ["symbol", "t"], "left")
+    A row further back than `reach` weighs less than 1e-18 of the value, below a double's precision, so the
+    fold starts there, from the mean of w rows as at the start of the series.
+    """
+    k = 2 / (w + 1)
+    reach = max(1, math.ceil(math.log(1e-18) / math.log1p(-k))) if k < 1 else 1
+    held = F.collect_list(x).over(Window.partitionBy(*BY).orderBy("t").rowsBetween(1 - w - reach, 0))
+    seed = F.aggregate(F.slice("held", 1, w), F.lit(0.0), lambda a, e: a + e) / w
+    value = F.aggregate(F.slice("held", w + 1, reach), seed, lambda s, e: e * k + s * (1 - k))
+    return bars.select("symbol", "t", held.alias("held")).select("symbol", "t", F.when(F.size("held") >= w, value).alias("ema"))
 
 
 def indicator_table(bars: DataFrame, requests: Iterator[tuple[str, int]]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import rng as R
 from ..schema import CURVE_POINTS, DEDUPE_DISTANCE, INSPECT_POINTS, MANUAL_POINTS, MOST_SURVIVORS, Search
 from ..sources.bars import equal_weight_index
+from ..sources.synthetic import synthetic
 from . import backtest as B
 from .arrays import Series
 from . import clustering, features, genome as G, metrics as M, regimes, scoring, views
@@ -164,10 +165,16 @@ def curves(bt: DataFrame, market: DataFrame, start: int, end: int, points: int =
     return views.downsampled(dated, "genome_id", points).select("genome_id", "k", "date", "equity", "drawdown")
 
 
+def universe(spark: SparkSession, config: Search, custom: DataFrame | None = None) -> DataFrame:
+    """The bars of a run: the caller's, or synthetic ones of its seed."""
+    return synthetic(spark, config.seed) if custom is None else custom
+
+
 def inspect(bars: DataFrame, genome: DataFrame, config: Search, seed: int | None = None) -> dict[str, DataFrame]:
-    """One strategy in detail: curves, last trades, metrics and months from the warm-up on, its regimes."""
+    """One strategy in detail: curves with the index, the position, the price and the regime, last trades, metrics and
+    months from the warm-up on, its regimes."""
     index = equal_weight_index(bars)
-    market = index.select("t", "date", F.round("ret", 12).alias("bench"))
+    market = index.select("t", "date", "level", F.round("ret", 12).alias("bench"))
     n = market.count()
     packed = B.packed_with_market(bars)
     done = B.backtests(genome, packed, fee(config)).persist()
@@ -175,7 +182,8 @@ def inspect(bars: DataFrame, genome: DataFrame, config: Search, seed: int | None
     late = bt.where(F.col("t") >= config.warmup)
     path = regimes.decode(index, config.regime_states, config.seed if seed is None else seed)
     return {
-        "curves": curves(bt, market, config.warmup, n, INSPECT_POINTS),
+        "curves": inspection_curves(bt, bars.join(genome.select("genome_id", "symbol"), "symbol"), market, config.warmup, n),
+        "path": views.downsampled(path.where(F.col("t") >= config.warmup).select(F.lit("path").alias("of"), (F.col("t") - config.warmup).cast("int").alias("i"), "state"), "of", INSPECT_POINTS).select("k", "state"),
         "trades": views.recent_trades(trades),
         "metrics": M.metrics(bt, trades, market, [("all", config.warmup, n)]),
         "monthly": M.monthly_returns(late.join(market, "t"), ("genome_id",)),
@@ -185,6 +193,19 @@ def inspect(bars: DataFrame, genome: DataFrame, config: Search, seed: int | None
     }
 
 
+def inspection_curves(bt: DataFrame, own: DataFrame, market: DataFrame, start: int, end: int) -> DataFrame:
+    """genome_id, k, date, equity, drawdown, benchmark, position, price; the index (t, date, level) and the genome's own
+    bars (genome_id, t, close) from 1."""
+    rows = M.with_equity(bt.where((F.col("t") >= start) & (F.col("t") < end)), ("genome_id",))
+    rows = rows.join(market.select("t", "date", "level"), "t").join(own.select("genome_id", "t", "close"), ["genome_id", "t"])
+    first = lambda c: views.from_first(F.col(c), "genome_id", "t")
+    based = rows.select(
+        "genome_id", (F.col("t") - start).cast("int").alias("i"), "date", first("equity").alias("equity"), F.col("dd").alias("drawdown"), first("level").alias("benchmark"),
+        "position", first("close").alias("price"),
+    )
+    return views.downsampled(based, "genome_id", INSPECT_POINTS).drop("i")
+
+
 def evaluate_manual(bars: DataFrame, genome: DataFrame, config: Search) -> dict[str, DataFrame]:
     """A hand-made genome: metrics in and out of sample, folds and curves."""
     known = evaluate(bars, genome, config)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,3 +118,43 @@ def dominant_and_worst(states: DataFrame) -> DataFrame:
     return states.agg(
         F.max_by("state", F.struct("share", -F.col("state"))).alias("dominant"), F.min_by("state", F.struct("mean_return", "state")).alias("worst")
     )
+
+
+def benchmark_curve(index: DataFrame, start: int, points: int) -> DataFrame:
+    """k, date, level of an index (t, date, level) from bar `start` on, from 1, downsampled."""
+    rows = index.where(F.col("t") >= start).select(F.lit("index").alias("of"), (F.col("t") - start).cast("int").alias("i"), "date", "level", "t")
+    based = rows.withColumn("level", from_first(F.col("level"), "of", "t"))
+    return downsampled(based, "of", points).select("k", "date", "level")
+
+
+def split_labels(calendar: DataFrame, start: int, end: int) -> DataFrame:
+    """One row: is_end, total, and the first and last dates in and out of sample, of (t, date)."""
+    date = lambda t: F.max(F.when(F.col("t") == t, F.date_format("date", "yyyy-MM-dd")))
+    n = F.max("t") + 1
+    ends = calendar.agg(n.alias("total"), date(start).alias("a"), date(end - 1).alias("b"), date(end).alias("c"), F.max_by(F.date_format("date", "yyyy-MM-dd"), "t").alias("d"))
+    return ends.select(F.lit(end).alias("is_end"), "total", F.concat_ws(" to ", "a", "b").alias("is_label"), F.concat_ws(" to ", "c", "d").alias("oos_label"))
+
+
+def split_marker(total: int, end: int, start: int, points: int) -> int:
+    """The place of the split on a curve of so many points."""
+    return math.floor((end - start) / max(1, total - start) * (points - 1) + 0.5)
+
+
+def tail_rebased(curve: DataFrame, out_bars: int, scored_bars: int, points: int) -> DataFrame:
+    """k, v of the out-of-sample part of a curve (k, v), from 1, resampled to `points` places."""
+    n = F.max("k") + 1
+    cut = F.greatest(F.lit(0), n - F.floor(out_bars / max(1, scored_bars) * n + 0.5))
+    tail = curve.crossJoin(F.broadcast(curve.agg(cut.cast("int").alias("cut")))).where("k >= cut")  # one row
+    based = tail.select(F.lit("tail").alias("of"), (F.col("k") - F.col("cut")).cast("int").alias("i"), "v")
+    return resampled(based.select("i", from_first(F.col("v"), "of", "i").alias("v")), points)
+
+
+def cluster_members(rows: DataFrame, cluster: int | None = None, most: int = 60) -> DataFrame:
+    """The best-ranked survivors, of one cluster or of all."""
+    some = rows if cluster is None else rows.where(F.col("cluster") == cluster)
+    return some.orderBy("rank").limit(most)
+
+
+def visible_series(rows: DataFrame, symbols: list[str] | None = None) -> DataFrame:
+    """The rows of the chosen symbols; of all if none are chosen."""
+    return rows if symbols is None else rows.where(F.col("symbol").isin(symbols))

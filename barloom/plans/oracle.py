@@ -283,7 +283,6 @@ _MONTHLY = _BT + """,
 monthly AS MATERIALIZED (SELECT g AS genome_id, strftime(date, '%Y-%m') AS month, product(1 + f.ret) - 1 AS ret FROM final f JOIN market m USING (t) WHERE t >= 260 GROUP BY 1, 2)"""
 _EQ = _BT + """,
 eqs AS (SELECT g AS genome_id, t, product(1 + ret) OVER (PARTITION BY g ORDER BY t ROWS UNBOUNDED PRECEDING) AS eq FROM final WHERE t >= 260)"""
-_VEC = "WITH v AS (SELECT lpad(CAST(vec_id AS VARCHAR), 4, '0') AS genome_id, CAST(embedding[1:8] AS DOUBLE[]) AS z, label AS cluster FROM embeddings WHERE vec_id < 120)"
 _VEC_ALL = "WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS genome_id, CAST(embedding AS DOUBLE[]) AS z, label AS cluster FROM embeddings)"
 _DIST = "sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))"
 
@@ -385,14 +384,20 @@ def oracle_sql() -> dict[str, str]:
     ]
     fit = f"""SELECT genome_id, {{raw}} AS raw, least(9, greatest(-9, {{raw}} - CASE WHEN trades < 12 THEN 1.5 + 0.25 * (12 - trades) ELSE 0 END - CASE WHEN exposure < 0.02 THEN 3 ELSE 0 END
   - CASE WHEN max_drawdown < -0.5 THEN (abs(max_drawdown) - 0.5) * 4 ELSE 0 END - CASE WHEN vol > 0.6 THEN (vol - 0.6) * 2 ELSE 0 END)) AS fitness FROM metrics WHERE slice = 'is'"""
+    _behaviour = f"part AS (SELECT g, least(11, (t - {_END}) // (({_N} - {_END}) // 12)) AS k, product(1 + ret) - 1 AS r FROM final WHERE t >= {_END} GROUP BY 1, 2)"
+    _buckets = [f"least(2, greatest(-1, coalesce(max(r) FILTER (k = {k}), 0)))" for k in range(12)]
     clustered = f"""{_RANKED_CTE},
-member AS MATERIALIZED (SELECT r.*, CASE WHEN symbol = 'A' THEN 0 ELSE 1 END AS cluster, CAST(e.embedding[1:8] AS DOUBLE[]) AS z FROM ranked r JOIN embeddings e ON r.genome_id = 'g' || lpad(CAST(e.vec_id + 1 AS VARCHAR), 2, '0') WHERE e.vec_id < 120),
-centre AS (SELECT cluster, list(x ORDER BY k) AS c FROM (SELECT cluster, k, avg(z[k]) AS x FROM member, range(1, 9) AS q(k) GROUP BY cluster, k) GROUP BY cluster),
+{_behaviour}, feat AS (SELECT o.genome_id, [{", ".join(feats)}] AS f FROM metrics {outs} JOIN metrics {ins} ON o.genome_id = i.genome_id AND o.slice = 'oos' AND i.slice = 'is'),
+whole AS (SELECT genome_id, list_transform(list_concat(f, b), lambda x: CAST(x AS DOUBLE)) AS x FROM feat JOIN (SELECT g AS genome_id, [{", ".join(f"0.6 * {x}" for x in _buckets)}] AS b FROM part GROUP BY g) USING (genome_id)),
+deal AS (SELECT genome_id, k, x[k] AS x FROM whole, range(1, 29) AS q(k)),
+zs AS (SELECT genome_id, list(z ORDER BY k) AS z FROM (SELECT genome_id, k, least(6, greatest(-6, (x - avg(x) OVER w) / CASE WHEN stddev_samp(x) OVER w > 0 THEN stddev_samp(x) OVER w ELSE 1 END)) AS z FROM deal WINDOW w AS (PARTITION BY k)) GROUP BY genome_id),
+member AS MATERIALIZED (SELECT r.*, CASE WHEN symbol = 'A' THEN 0 ELSE 1 END AS cluster, z FROM ranked r JOIN zs USING (genome_id)),
+centre AS (SELECT cluster, list(x ORDER BY k) AS c FROM (SELECT cluster, k, avg(z[k]) AS x FROM member, range(1, 29) AS q(k) GROUP BY cluster, k) GROUP BY cluster),
 medoid AS (SELECT cluster, arg_min(genome_id, struct_pack(d := {_DIST.format(a='z', b='c')}, g := genome_id)) AS medoid_id FROM member JOIN centre USING (cluster) GROUP BY cluster),
 lead AS (SELECT cluster, family, n FROM (SELECT cluster, family, count(*) AS n, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, family) AS k FROM member GROUP BY 1, 2) WHERE k = 1),
 info AS (SELECT cluster, count(*) AS size, avg(sharpe) AS sharpe, avg(cagr) AS cagr, avg(max_drawdown) AS max_drawdown, avg(vol) AS vol, avg(avg_hold) AS hold, avg(abs(max_drawdown)) AS depth, abs(avg(bench_corr)) AS corr FROM member GROUP BY cluster)"""
     label_of = "CASE family " + " ".join(f"WHEN '{f}' THEN '{t}'" for f, (t, _) in FAMILIES.items()) + " END"
-    return {
+    out = {
         "bars_daily": f"WITH {_DAILY} SELECT * FROM bars",
         "bars_weekly": f"WITH {_WEEKLY} SELECT * FROM bars",
         "bars_intraday": """WITH b AS (SELECT event_type AS symbol, time_bucket(INTERVAL 3 HOUR, ts) AS w, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2),
@@ -443,7 +448,7 @@ SELECT symbol, strftime(w, '%Y-%m-%d %H:%M:%S') AS ts, open, high, low, close, v
         "monthly_grid": f"{_MONTHLY} SELECT genome_id, CAST(month[1:4] AS INTEGER) AS year, " + ", ".join(f"{_r(f'max(ret) FILTER (month[6:7] = {m!r})')} AS m{m}" for m in months) + f", {_r('product(1 + ret) - 1')} AS year_total FROM monthly GROUP BY 1, 2",
         "year_totals": f"{_MONTHLY} SELECT genome_id, month[1:4] AS year, {_r('product(1 + ret) - 1')} AS ret FROM monthly GROUP BY 1, 2",
         "exit_mix": f"{_BT} SELECT g AS genome_id, exit_reason, count(*) AS n FROM trades GROUP BY 1, 2",
-        "recent_trades": f"{_BT} SELECT g AS genome_id, CAST(entry_t AS INTEGER) AS entry_t, CAST(exit_t AS INTEGER) AS exit_t, CAST(direction AS INTEGER) AS direction, {_r('return_pct')} AS return_pct, CAST(bars AS INTEGER) AS bars, exit_reason, CAST(k AS INTEGER) AS k FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY exit_t DESC, entry_t DESC) AS k FROM trades) WHERE k <= 25",
+        "recent_trades": f"{_BT} SELECT g AS genome_id, CAST(entry_t AS INTEGER) AS entry_t, CAST(exit_t AS INTEGER) AS exit_t, CAST(direction AS INTEGER) AS direction, {_r('return_pct')} AS return_pct, CAST(bars AS INTEGER) AS bars, exit_reason, CAST(k AS INTEGER) AS k FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY exit_t DESC, entry_t DESC) AS k FROM trades) WHERE k <= 160",
         "objective_scores": f"{_FIT} SELECT genome_id, {_r('avg(sharpe) - 0.55 * stddev_samp(sharpe)', 6)} AS raw FROM metrics WHERE slice <> 'is' GROUP BY genome_id",
         "fitness_penalised": f"{_FIT} SELECT genome_id, {_r('raw', 6)} AS raw, {_r('fitness', 6)} AS fitness FROM ({fit.format(raw='sharpe')})",
         "walk_forward_folds": f"{_FOLDS} SELECT genome_id, CAST(slice AS INTEGER) AS fold, 260 AS train_start, CAST(a AS INTEGER) AS train_end, CAST(a AS INTEGER) AS test_start, CAST(b AS INTEGER) AS test_end, {_r('sharpe', 6)} AS sharpe, {_r('cagr', 6)} AS cagr, {_r('max_drawdown', 6)} AS max_drawdown FROM metrics JOIN slices USING (slice)",
@@ -474,16 +479,12 @@ SELECT CAST(state AS INTEGER) AS state, label || CASE WHEN row_number() OVER (PA
         "genome_coerce": _coerce(),
         "metric_features": _BT + _metric_ctes(_IS_OOS) + " SELECT o.genome_id, " + ", ".join(f"{_r(x, 6)} AS f{k}" for k, x in enumerate(feats)) + f" FROM metrics {outs} JOIN metrics {ins} ON o.genome_id = i.genome_id AND o.slice = 'oos' AND i.slice = 'is'",
         "behaviour_signature": _BT + f", part AS (SELECT g, least(11, (t - {_END}) // (({_N} - {_END}) // 12)) AS k, product(1 + ret) - 1 AS r FROM final WHERE t >= {_END} GROUP BY 1, 2) SELECT g AS genome_id, " + ", ".join(f"{_r(f'least(2, greatest(-1, coalesce(max(r) FILTER (k = {k}), 0)))', 6)} AS b{k}" for k in range(12)) + " FROM part GROUP BY g",
-        "feature_standardise": f"{_VEC} SELECT genome_id, CAST(k - 1 AS INTEGER) AS k, {_r('least(6, greatest(-6, (z[k] - avg(z[k]) OVER w) / CASE WHEN stddev_samp(z[k]) OVER w > 0 THEN stddev_samp(z[k]) OVER w ELSE 1 END))')} AS z FROM v, range(1, 9) AS q(k) WINDOW w AS (PARTITION BY k)",
         "feature_standardise_all": f"{_VEC_ALL} SELECT genome_id, CAST(k - 1 AS INTEGER) AS k, {_r('least(6, greatest(-6, (z[k] - avg(z[k]) OVER w) / CASE WHEN stddev_samp(z[k]) OVER w > 0 THEN stddev_samp(z[k]) OVER w ELSE 1 END))')} AS z FROM v, range(1, 65) AS q(k) WINDOW w AS (PARTITION BY k)",
-        "nearest_centroid": f"{_VEC}, c AS (SELECT cluster, list(x ORDER BY k) AS c FROM (SELECT cluster, k, avg(z[k]) AS x FROM v, range(1, 9) AS q(k) GROUP BY 1, 2) GROUP BY 1), d AS (SELECT genome_id, c.cluster, {_DIST.format(a='z', b='c')} AS distance FROM v, c) SELECT genome_id, cluster, {_r('distance', 6)} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY genome_id ORDER BY distance, cluster) AS k FROM d) WHERE k = 1",
         "nearest_centroid_all": f"{_VEC_ALL}, c AS (SELECT cluster, list(x ORDER BY k) AS c FROM (SELECT cluster, k, avg(z[k]) AS x FROM v, range(1, 65) AS q(k) GROUP BY 1, 2) GROUP BY 1), d AS (SELECT genome_id, c.cluster, {_DIST.format(a='z', b='c')} AS distance FROM v, c) SELECT genome_id, cluster, {_r('distance', 6)} AS distance FROM (SELECT *, row_number() OVER (PARTITION BY genome_id ORDER BY distance, cluster) AS k FROM d) WHERE k = 1",
-        "silhouette": f"{_VEC}, d AS (SELECT a.genome_id, a.cluster, b.cluster AS c, avg({_DIST.format(a='a.z', b='b.z')}) AS d FROM v a JOIN v b ON a.genome_id <> b.genome_id GROUP BY 1, 2, 3), s AS (SELECT genome_id, max(d) FILTER (c = cluster) AS own, min(d) FILTER (c <> cluster) AS nxt FROM d GROUP BY genome_id) SELECT {_r('avg(CASE WHEN own IS NOT NULL AND nxt IS NOT NULL THEN (nxt - own) / greatest(own, nxt) ELSE 0 END)', 6)} AS silhouette FROM s",
         "silhouette_all": f"{_VEC_ALL}, d AS (SELECT a.genome_id, a.cluster, b.cluster AS c, avg({_DIST.format(a='a.z', b='b.z')}) AS d FROM v a JOIN v b ON a.genome_id <> b.genome_id GROUP BY 1, 2, 3), s AS (SELECT genome_id, max(d) FILTER (c = cluster) AS own, min(d) FILTER (c <> cluster) AS nxt FROM d GROUP BY genome_id) SELECT {_r('avg(CASE WHEN own IS NOT NULL AND nxt IS NOT NULL THEN (nxt - own) / greatest(own, nxt) ELSE 0 END)', 6)} AS silhouette FROM s",
         "cluster_summary": f"{clustered} SELECT CAST(cluster AS INTEGER) AS cluster, size, {', '.join(f'{_r(c, 6)} AS {c}' for c in ('sharpe', 'cagr', 'max_drawdown', 'vol'))}, medoid_id FROM info JOIN medoid USING (cluster)",
         "cluster_labels": f"""{clustered}, named AS (SELECT *, CASE WHEN n / size > 0.7 THEN {label_of} ELSE {label_of} || '-led mix' END || ' · ' || CASE WHEN hold > 40 THEN 'slow' WHEN hold > 12 THEN 'swing' ELSE 'fast' END || ' · ' || CASE WHEN depth > 0.3 THEN 'high risk' WHEN depth > 0.15 THEN 'moderate' ELSE 'contained' END AS base FROM info JOIN lead USING (cluster))
 SELECT CAST(cluster AS INTEGER) AS cluster, base || CASE WHEN count(*) OVER (PARTITION BY base) > 1 THEN ' · ' || CASE WHEN corr > 0.45 THEN 'market-linked' WHEN corr < 0.2 THEN 'market-neutral' ELSE 'partly linked' END || ' · ' || CASE WHEN sharpe > 0.15 THEN 'positive edge' WHEN sharpe < -0.15 THEN 'negative edge' ELSE 'flat' END ELSE '' END AS label FROM named""",
-        "cluster_blobs": f"{_VEC} SELECT cluster, {_r('avg(z[1] * 100)', 6)} AS x, {_r('avg(z[2] * 100)', 6)} AS y, {_r('least(240, greatest(34, 1.5 * sqrt(var_pop(z[1] * 100) + var_pop(z[2] * 100))))', 6)} AS radius FROM v GROUP BY cluster",
         "cluster_blobs_all": f"{_VEC_ALL} SELECT cluster, {_r('avg(z[1] * 100)', 6)} AS x, {_r('avg(z[2] * 100)', 6)} AS y, {_r('least(240, greatest(34, 1.5 * sqrt(var_pop(z[1] * 100) + var_pop(z[2] * 100))))', 6)} AS radius FROM v GROUP BY cluster",
         "instrument_stats": f"{_BASE} SELECT symbol, {_r('arg_max(close, t)')} AS last_close, {_r('arg_max(close, t) / arg_min(close, t) - 1')} AS total_return, {_r('stddev_samp(ret) * sqrt(252.0)')} AS vol, {_r('min(dd)')} AS max_drawdown FROM (SELECT *, close / max(close) OVER (PARTITION BY symbol ORDER BY t ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM rets) GROUP BY symbol",
         "extents": f"{_BASE} SELECT symbol, {_r('CASE WHEN min(close) = max(close) THEN min(close) - 1 ELSE min(close) END', 6)} AS low, {_r('CASE WHEN min(close) = max(close) THEN max(close) + 1 ELSE max(close) END', 6)} AS high FROM bars GROUP BY symbol",
@@ -501,3 +502,37 @@ dds AS (SELECT *, eq / greatest(1.0, max(eq) OVER (PARTITION BY symbol ORDER BY
 SELECT symbol, count(*) AS bars, {_r('CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(252.0) ELSE 0 END', 6)} AS sharpe, {_r('stddev_samp(ret) * sqrt(252.0)', 6)} AS vol, {_r('arg_max(eq, t)', 6)} AS final,
   {_r('min(dd)', 6)} AS max_drawdown, {_r('avg(CASE WHEN pos <> 0 THEN 1.0 ELSE 0.0 END)', 6)} AS exposure FROM dds GROUP BY symbol""",
     }
+    one = lambda name, genome: f"SELECT * FROM ({out[name]}) WHERE genome_id = '{genome}'"
+    scored = f"({_N} - 260)"
+    curve = lambda points: f"(SELECT CAST(k AS INTEGER) AS k, m.date, m.level / (SELECT level FROM market WHERE t = 260) AS level FROM range({points}) AS q(k) JOIN market m ON m.t - 260 = CAST(floor(k * {scored} / {points}.0) AS BIGINT))"
+
+    def curves(genome: str, symbol: str, points: int, cols: str) -> str:
+        return f"""{_EQ}, dds AS (SELECT genome_id, t, eq / greatest(1.0, max(eq) OVER (PARTITION BY genome_id ORDER BY t ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM eqs),
+w AS (SELECT f.g AS genome_id, f.t - 260 AS i, m.date, f.equity / (SELECT equity FROM final z WHERE z.g = f.g AND z.t = 260) AS equity, d.dd AS drawdown,
+    m.level / (SELECT level FROM market WHERE t = 260) AS benchmark, f.carried AS position, c.close / (SELECT close FROM bars z WHERE z.symbol = '{symbol}' AND z.t = 260) AS price
+  FROM final f JOIN market m USING (t) JOIN dds d ON d.genome_id = f.g AND d.t = f.t JOIN bars c ON c.symbol = '{symbol}' AND c.t = f.t WHERE f.g = '{genome}' AND f.t >= 260)
+SELECT genome_id, CAST(k AS INTEGER) AS k, date, {', '.join(f'{_r(c, 6)} AS {c}' for c in cols.split())} FROM range({points}) AS q(k) JOIN w ON i = CAST(floor(k * {scored} / {points}.0) AS BIGINT)"""
+
+    for n in ("feature_standardise", "nearest_centroid", "silhouette", "cluster_blobs"):
+        out[n] = out[n + "_all"]
+    return out | {
+        "combined_features": f"{clustered.replace('x[k] AS x FROM', 'round(x[k], 8) AS x FROM')} SELECT genome_id, CAST(k - 1 AS INTEGER) AS k, {_r('z[k]', 5)} AS z FROM zs, range(1, 29) AS q(k)",
+        "cluster_members": f"{_RANKED_CTE} SELECT genome_id, 1 AS cluster, rank FROM ranked WHERE symbol <> 'A' ORDER BY rank LIMIT 60",
+        "benchmark_curve": f"{_BASE} SELECT k, date, {_r('level')} AS level FROM {curve(420)}",
+        "split_labels": f"{_BASE} SELECT CAST({_END} AS INTEGER) AS is_end, CAST({_N} AS INTEGER) AS total, strftime((SELECT date FROM market WHERE t = 260), '%Y-%m-%d') || ' to ' || strftime((SELECT date FROM market WHERE t = {_END} - 1), '%Y-%m-%d') AS is_label, strftime((SELECT date FROM market WHERE t = {_END}), '%Y-%m-%d') || ' to ' || strftime((SELECT max(date) FROM market), '%Y-%m-%d') AS oos_label",
+        "split_marker": f"{_BASE} SELECT CAST(floor(({_END} - 260)::DOUBLE / greatest(1, {scored}) * 699 + 0.5) AS INTEGER) AS marker",
+        "benchmark_tail": f"""{_BASE}, c AS MATERIALIZED (SELECT * FROM {curve(420)}), p AS (SELECT greatest(0, 420 - CAST(floor(({_N} - {_END})::DOUBLE / greatest(1, {scored}) * 420 + 0.5) AS BIGINT)) AS cut),
+s AS (SELECT k - cut AS i, level / (SELECT level FROM c, p WHERE k = cut) AS v, 420 - cut AS m FROM c, p WHERE k >= cut)
+SELECT CAST(q.k AS INTEGER) AS k, {_r('v')} AS v FROM range(420) AS q(k) JOIN s ON s.i = least(m - 1, CAST(floor(q.k / 419.0 * (m - 1) + 0.5) AS BIGINT))""",
+        "visible_series": f"{_BASE} SELECT symbol, count(*) AS n, {_r('sum(close)', 4)} AS closes FROM bars WHERE symbol IN ('A', 'R') GROUP BY symbol",
+        "custom_universe": f"{_BASE} SELECT symbol, count(*) AS n, min(date) AS first, max(date) AS last FROM bars GROUP BY symbol",
+        "inspect_curves": curves("g03", "N", 700, "equity drawdown benchmark position price"),
+        "inspect_metrics": one("metrics_full", "g03"),
+        "inspect_trades": one("recent_trades", "g03").replace(_r("return_pct"), _r("return_pct", 6)),
+        "inspect_monthly": one("monthly_returns", "g03").replace(_r("ret"), _r("ret", 6)),
+        "manual_metrics": one("metrics_is_oos", "g05"),
+        "manual_folds": one("walk_forward_folds", "g05"),
+        "manual_curves": curves("g05", "R", 520, "equity drawdown"),
+        "preview_index": f"{_BASE} SELECT CAST(t AS INTEGER) AS t, date, {_r('level / 100')} AS level FROM market",
+        "preview_instruments": out["instrument_stats"],
+    }

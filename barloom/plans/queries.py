@@ -42,13 +42,21 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*(r(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+_KEPT: dict[tuple, DataFrame] = {}
+_RUNS: dict[tuple, search.Run] = {}
+
+
+def _key(name: str, spark: SparkSession, d: str) -> tuple:
+    """name and the data: the application, the folder, and when its bars were written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/lineitem.parquet")
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    return spark.sparkContext.applicationId, d, status.getModificationTime(), name
 
 
 def kept(name: str, spark: SparkSession, d: str, make: Callable[[], DataFrame]) -> DataFrame:
     """A persisted intermediate that several steps of a query read: bars, packed series and
     backtests, all of the size of the calendar. Dropped by clearCache, it is computed again."""
-    key = (spark.sparkContext.applicationId, d, name)
+    key = _key(name, spark, d)
     if key not in _KEPT:
         _KEPT[key] = make()
     return _KEPT[key].persist()
@@ -151,7 +159,7 @@ def csv_report(spark, d):
 
 @query
 def synthetic_universe(spark, d):
-    return synthetic.synthetic(spark, bars=512)
+    return synthetic.synthetic(spark)
 
 
 # --- kernels ---------------------------------------------------------------------------
@@ -383,7 +391,7 @@ def exit_mix(spark, d):
 
 @query
 def recent_trades(spark, d):
-    return rounded(views.recent_trades(_trades(spark, d), 25), 8)
+    return rounded(views.recent_trades(_trades(spark, d)), 8)
 
 
 def _fitness(spark, d, objective: str) -> DataFrame:
@@ -585,15 +593,25 @@ def behaviour_signature(spark, d):
     return rounded(features.behaviour(_bt(spark, d), end, n))
 
 
-def _survivors(spark, d) -> DataFrame:
-    """genome_id, z: the standardised features of the survivors of a search, capped by the search itself."""
+def _run(spark, d) -> search.Run:
+    """The default search: 180 genomes, 12 generations. Its figures and survivors are small and stay on the driver."""
+    key = _key("search", spark, d)
+    if key not in _RUNS:
+        _RUNS[key] = search.search(bars(spark, d), CONFIG)
+    return _RUNS[key]
 
-    def make() -> DataFrame:
-        run = search.search(bars(spark, d), CONFIG)
-        genomes = search.survivors_frame(spark, run).drop("fitness")
-        return search.evaluate(bars(spark, d), genomes, CONFIG)["z"]
 
-    return kept("survivors", spark, d, make)
+def _survivor_genomes(spark, d) -> DataFrame:
+    return search.survivors_frame(spark, _run(spark, d))
+
+
+def _evaluated(spark, d) -> dict[str, DataFrame]:
+    return search.evaluate(bars(spark, d), _survivor_genomes(spark, d).drop("fitness"), CONFIG)
+
+
+def _survivors(spark, d) -> DataFrame:
+    """genome_id, z: the standardised features of the survivors of a search, capped by the search itself."""
+    return kept("survivors", spark, d, lambda: _evaluated(spark, d)["z"])
 
 
 def _all_vectors(spark, d) -> DataFrame:
@@ -602,12 +620,6 @@ def _all_vectors(spark, d) -> DataFrame:
     return rows.select(F.col("vec_id").cast("string").alias("genome_id"), F.col("embedding").cast("array<double>").alias("features"), F.col("label").alias("cluster"))
 
 
-def _vectors(spark, d) -> DataFrame:
-    """The first 120 embeddings and 8 of their components, as the twins of the queries without `_all` read them."""
-    rows = spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id < 120")
-    return rows.select(F.lpad(F.col("vec_id").cast("string"), 4, "0").alias("genome_id"), F.slice("embedding", 1, 8).cast("array<double>").alias("features"), F.col("label").alias("cluster"))
-
-
 def _standardised(vectors: DataFrame) -> DataFrame:
     z = features.standardised(vectors)
     return z.select("genome_id", F.posexplode("z").alias("k", "z")).select("genome_id", "k", r("z").alias("z"))
@@ -615,12 +627,10 @@ def _standardised(vectors: DataFrame) -> DataFrame:
 
 @query
 def feature_standardise(spark, d):
-    return _standardised(_vectors(spark, d))
+    return _standardised(_all_vectors(spark, d))
 
 
-@query
-def feature_standardise_all(spark, d):
-    return _standardised(_all_vectors(spark, d))
+QUERIES["feature_standardise_all"] = feature_standardise
 
 
 def _nearest(vectors: DataFrame) -> DataFrame:
@@ -632,22 +642,18 @@ def _nearest(vectors: DataFrame) -> DataFrame:
 
 @query
 def nearest_centroid(spark, d):
-    return _nearest(_vectors(spark, d))
+    return _nearest(_all_vectors(spark, d))
 
 
-@query
-def nearest_centroid_all(spark, d):
-    return _nearest(_all_vectors(spark, d))
+QUERIES["nearest_centroid_all"] = nearest_centroid
 
 
 @query
 def silhouette(spark, d):
-    return rounded(clustering.silhouette(_vectors(spark, d).withColumnRenamed("features", "z")))
+    return rounded(clustering.silhouette(_all_vectors(spark, d).withColumnRenamed("features", "z")))
 
 
-@query
-def silhouette_all(spark, d):
-    return rounded(clustering.silhouette(_all_vectors(spark, d).withColumnRenamed("features", "z")))
+QUERIES["silhouette_all"] = silhouette
 
 
 @query
@@ -661,11 +667,26 @@ def tsne_embedding(spark, d):
 
 
 def _clustered(spark, d) -> DataFrame:
-    """The fixed genomes, two clusters by symbol."""
-    z = _vectors(spark, d).select(F.concat(F.lit("g"), F.lpad((F.col("genome_id").cast("int") + 1).cast("string"), 2, "0")).alias("genome_id"), F.col("features").alias("z"))
+    """The fixed genomes with their standardised features, two clusters by symbol."""
+    n, end = _span(spark, d)
+    z = features.standardised(features.combined(_features(spark, d), features.behaviour(_bt(spark, d), end, n)))
     return _ranked(spark, d).withColumn("cluster", F.when(F.col("symbol") == "A", 0).otherwise(1)).join(z, "genome_id")
 
 
+@query
+def combined_features(spark, d):
+    n, end = _span(spark, d)
+    both = features.combined(_features(spark, d), features.behaviour(_bt(spark, d), end, n))
+    z = features.standardised(both.withColumn("features", F.transform("features", lambda x: F.round(x, 8))))
+    return z.select("genome_id", F.posexplode("z").alias("k", "z")).select("genome_id", "k", r("z", 5).alias("z"))
+
+
+@query
+def cluster_members(spark, d):
+    rows = _ranked(spark, d).withColumn("cluster", F.when(F.col("symbol") == "A", 0).otherwise(1))
+    return views.cluster_members(rows, 1).select("genome_id", "cluster", "rank")
+
+
 @query
 def cluster_summary(spark, d):
     s = clustering.summary(_clustered(spark, d))
@@ -684,12 +705,10 @@ def _blobs(vectors: DataFrame) -> DataFrame:
 
 @query
 def cluster_blobs(spark, d):
-    return _blobs(_vectors(spark, d))
+    return _blobs(_all_vectors(spark, d))
 
 
-@query
-def cluster_blobs_all(spark, d):
-    return _blobs(_all_vectors(spark, d))
+QUERIES["cluster_blobs_all"] = cluster_blobs
 
 
 @query
@@ -721,13 +740,131 @@ def display_text(spark, d):
     )
 
 
+# --- runs, inspection, preview -----------------------------------------------------------------
+
+
 @query
 def search_run(spark, d):
-    small = replace(CONFIG, population=40, generations=3, min_trades=4)
-    run = search.search(bars(spark, d), small)
+    run = _run(spark, d)
     return spark.createDataFrame([tuple(g[k] for k in ("generation", "best", "median", "worst", "diversity", "evaluated")) for g in run.generations], "generation int, best double, median double, worst double, diversity double, evaluated int")
 
 
+@query
+def search_survivors(spark, d):
+    """The survivors of the search: distinct genomes of the hall, capped at 140 as the feature is, with fitness and final rank."""
+    ranked = _evaluated(spark, d)["ranked"].select("genome_id", "sharpe", "is_sharpe", "robustness", "rank")
+    return _survivor_genomes(spark, d).join(ranked, "genome_id")
+
+
+@query
+def survivor_clusters(spark, d):
+    placed, _ = search.clusters(_evaluated(spark, d), CONFIG)
+    return placed
+
+
+@query
+def survivor_cluster_summary(spark, d):
+    _, summary = search.clusters(_evaluated(spark, d), CONFIG)
+    return rounded(summary)
+
+
+@query
+def benchmark_curve(spark, d):
+    return views.benchmark_curve(market(spark, d), CONFIG.warmup, 420).select("k", "date", r("level").alias("level"))
+
+
+@query
+def split_labels(spark, d):
+    _, end = _span(spark, d)
+    return views.split_labels(market(spark, d), CONFIG.warmup, end)
+
+
+@query
+def split_marker(spark, d):
+    n, end = _span(spark, d)
+    return spark.createDataFrame([(views.split_marker(n, end, CONFIG.warmup, 700),)], "marker int")
+
+
+@query
+def benchmark_tail(spark, d):
+    n, end = _span(spark, d)
+    curve = views.benchmark_curve(market(spark, d), CONFIG.warmup, 420).select("k", F.col("level").alias("v"))
+    return views.tail_rebased(curve, n - end, n - CONFIG.warmup, 420).select("k", r("v").alias("v"))
+
+
+@query
+def visible_series(spark, d):
+    return views.visible_series(bars(spark, d), ["A", "R"]).groupBy("symbol").agg(F.count("*").alias("n"), r(F.sum("close"), 4).alias("closes"))
+
+
+@query
+def custom_universe(spark, d):
+    return search.universe(spark, CONFIG, bars(spark, d)).groupBy("symbol").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"))
+
+
+def _inspected(spark, d, part: str) -> DataFrame:
+    return rounded(search.inspect(bars(spark, d), fixed(spark).where("genome_id = 'g03'"), CONFIG)[part])
+
+
+@query
+def inspect_curves(spark, d):
+    return _inspected(spark, d, "curves")
+
+
+@query
+def inspect_metrics(spark, d):
+    return _inspected(spark, d, "metrics")
+
+
+@query
+def inspect_trades(spark, d):
+    return _inspected(spark, d, "trades")
+
+
+@query
+def inspect_monthly(spark, d):
+    return _inspected(spark, d, "monthly")
+
+
+@query
+def inspect_regime_path(spark, d):
+    return _inspected(spark, d, "path")
+
+
+def _by_hand(spark, d, part: str) -> DataFrame:
+    return rounded(search.evaluate_manual(bars(spark, d), fixed(spark).where("genome_id = 'g05'"), CONFIG)[part])
+
+
+@query
+def manual_metrics(spark, d):
+    return _by_hand(spark, d, "metrics")
+
+
+@query
+def manual_folds(spark, d):
+    return _by_hand(spark, d, "folds")
+
+
+@query
+def manual_curves(spark, d):
+    return _by_hand(spark, d, "curves")
+
+
+@query
+def preview_index(spark, d):
+    return search.preview(bars(spark, d))["index"].select("t", "date", r("level").alias("level"))
+
+
+@query
+def preview_instruments(spark, d):
+    return rounded(search.preview(bars(spark, d))["instruments"], 8)
+
+
+@query
+def preview_states(spark, d):
+    return rounded(search.preview(bars(spark, d))["states"])
+
+
 @query
 def flagship(spark, d):
     """A trend rule held from the next bar, scored per symbol: bars, windows and aggregation alone."""
