@@ -25,6 +25,9 @@ BATCH_ROWS = 256
 #: Members of a group that one task compares with each other at most.
 BLOCK = 512
 
+#: Rows of short tasks that are held before work begins, in bytes.
+HELD_BYTES = 16 << 20
+
 _own_dir: list[str] = []
 
 
@@ -302,15 +305,16 @@ def each_task(
                 held.extend(rows.slice(bounds[-2]).to_batches())
                 n_held = rows.num_rows - bounds[-2]
 
-        limit = least = 4096
+        limit, size = 4096, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
             n_held += batch.num_rows
-            if n_held >= limit:
+            size += batch.nbytes
+            if n_held >= limit or size >= HELD_BYTES:
                 flush(False)
-                limit = max(least, 2 * n_held)  # a long task is not looked through again and again
+                limit, size = max(4096, 2 * n_held), 0  # a long task is not looked through again and again
                 if out:
                     yield from pa.concat_tables(out).combine_chunks().to_batches()
                     out.clear()

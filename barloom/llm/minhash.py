@@ -188,24 +188,19 @@ def _confirm(matches: int, percent: int):
     return work
 
 
-def _may_be_in(bits):
+def _sets_of(width: int, bits):
+    """The sets of the documents that a Bloom filter lets pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = bits.value
         for batch in batches:
             spot = batch.column("spot").to_numpy()
             hit = (words[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1)
-            yield batch.filter(pa.array(hit.astype(bool))).select(["doc_id", "text"])
-
-    return run
-
-
-def _sets_of(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s for s in shingle_sets(batch.column("text"), width) if len(s)]
+            part = batch.filter(pa.array(hit.astype(bool)))
+            sets = list(shingle_sets(part.column("text"), width)) if part.num_rows else []
+            keys = [_key(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([_key(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                ["set_key", "shingles"],
+                [part.column("doc_id"), pa.array(keys, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc_id", "set_key", "shingles"]
             )
 
     return run
@@ -262,14 +257,14 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int, coords: int, mat
     found = group_links(lists, _candidates(matches), ["sig"], tables, block)
     loose = tables.write(components(found, tables), "loose")
     tables.drop(lists)
-    # Full sets of the candidates only: a Bloom filter of bounded size thins the texts, an exact join takes the rest out.
+    # Full sets of the candidates only: a Bloom filter of bounded size thins the texts, an exact join takes the others out.
     bits = bloom_of(loose, "id")
     full = (
         rows.where("doc_id is not null")
         .withColumn("spot", F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(len(bits) * 64)))
-        .mapInArrow(_may_be_in(spark.sparkContext.broadcast(bits)), "doc_id long, text string")
+        .mapInArrow(_sets_of(width, spark.sparkContext.broadcast(bits)), "doc_id long, set_key binary, shingles array<long>")
+        .where("set_key is not null")
         .join(loose.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-        .mapInArrow(_sets_of(width), "set_key binary, shingles array<long>")
         .groupBy("set_key")
         .agg(F.first("shingles").alias("shingles"))
     )
