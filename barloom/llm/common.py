@@ -86,6 +86,10 @@ class Tables:
         self.paths[out] = path
         return out
 
+    def keep(self, df: DataFrame) -> None:
+        """Leaves a table where it is: the run's result reads it."""
+        del self.paths[df]
+
     def drop(self, df: DataFrame) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(df))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -14,6 +14,7 @@ terminator. Spans of all occurrences of a document are merged.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -159,21 +160,30 @@ class FMIndex:
 
 
 class Phrases:
-    """The distinct windows of some benchmark items, coded with a vocabulary of their own."""
+    """The distinct windows of some benchmark items, coded with a vocabulary of their own: rows of word numbers,
+    right-aligned, and the items of each row."""
 
     def __init__(self, items: list[tuple[object, bytes]], window: int):
-        seen: dict[tuple[bytes, ...], set[str]] = {}
-        for item_id, text in items:
-            w = words_of(text)
-            for k in range(max(1, len(w) - window + 1) if w else 0):
-                seen.setdefault(tuple(w[k : k + window]), set()).add("" if item_id is None else str(item_id))
-        self.code = {w: k + 1 for k, w in enumerate(sorted({w for p in seen for w in p}))}
-        self.items = [sorted(x) for x in seen.values()]
-        self.lengths = np.array([len(p) for p in seen], np.int64)
-        width = int(self.lengths.max()) if seen else 1
-        self.rows = np.zeros((len(seen), width), np.int64)
-        for r, p in enumerate(seen):
-            self.rows[r, width - len(p) :] = [self.code[w] for w in p]
+        self.code: dict[bytes, int] = {}
+        self.names = ["" if i is None else str(i) for i, _ in items]
+        parts, owners = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
+        for k, (_, text) in enumerate(items):
+            ids = np.array([self.code.setdefault(w, len(self.code) + 1) for w in words_of(text)], np.int32)
+            if len(ids) >= window:
+                part = np.lib.stride_tricks.sliding_window_view(ids, window)
+            else:
+                part = np.concatenate([np.zeros(window - len(ids), np.int32), ids])[None, :][: len(ids)]
+            parts.append(part)
+            owners.append(np.full(len(part), k))
+        every, owner = np.concatenate(parts), np.concatenate(owners)
+        self.rows, same = np.unique(every, axis=0, return_inverse=True)
+        self.lengths = (self.rows > 0).sum(axis=1)
+        order = np.argsort(same.ravel(), kind="stable")
+        self.owner = owner[order]
+        self.owner_at = np.searchsorted(same.ravel()[order], np.arange(len(self.rows) + 1))
+
+    def items(self, row: int) -> list[str]:
+        return [self.names[k] for k in self.owner[self.owner_at[row] : self.owner_at[row + 1]].tolist()]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -207,94 +217,125 @@ def shard_hits(docs: list[list[bytes]], phrases: Phrases) -> list[tuple[list[tup
     of = np.searchsorted(at, starts, side="right") - 1
     for d, s, p in zip(of.tolist(), (starts - at[of]).tolist(), which.tolist()):
         out[d][0].append((s, s + int(phrases.lengths[p])))
-        out[d][1].update(phrases.items[p])
+        out[d][1].update(phrases.items(p))
     return [(_merged(spans), items) for spans, items in out]
 
 
-_HITS = "doc_id long, text string, n_words long, spans array<struct<lo:long,hi:long>>, items array<string>"
+_SPANS = "spans array<struct<lo:long,hi:long>>, items array<string>"
 
 
-def _search(phrases, first: bool, keep_text: bool, shard_words: int):
+def _arrays(found: list[tuple[list[tuple[int, int]], set[str]]]) -> list[pa.Array]:
+    spans = [[{"lo": a, "hi": b} for a, b in part] for part, _ in found]
+    return [pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array([sorted(x) for _, x in found], pa.list_(pa.string()))]
+
+
+def _search(phrases, shard_words: int, every: bool):
+    """The columns of the rows but for text, n_words, spans and items; without `every`, of rows with a hit only."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = phrases.value
-        held: list[tuple] = []
+        held: list[tuple[pa.RecordBatch, list[list[bytes]]]] = []
         total = 0
 
-        def flush() -> pa.RecordBatch:
-            found = shard_hits([row[2] for row in held], known)
-            spans, items = [], []
-            for (_, _, _, old_spans, old_items), (new_spans, new_items) in zip(held, found):
-                spans.append([{"lo": a, "hi": b} for a, b in _merged(old_spans + new_spans)])
-                items.append(sorted(new_items.union(old_items)))
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in held], pa.int64()),
-                    pa.array([r[1] if keep_text else None for r in held], pa.string()),
-                    pa.array([len(r[2]) for r in held], pa.int64()),
-                    pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))),
-                    pa.array(items, pa.list_(pa.string())),
-                ],
-                ["doc_id", "text", "n_words", "spans", "items"],
-            )
+        def flush() -> Iterator[pa.RecordBatch]:
+            found = iter(shard_hits([w for _, ws in held for w in ws], phrases.value))
+            for batch, ws in held:
+                own = [next(found) for _ in ws]
+                names = [n for n in batch.schema.names if n != "text"]
+                out = pa.RecordBatch.from_arrays(
+                    [*(batch.column(n) for n in names), pa.array([len(w) for w in ws], pa.int64()), *_arrays(own)], [*names, "n_words", "spans", "items"]
+                )
+                yield out if every else out.filter(pa.array([bool(s) for s, _ in own], pa.bool_()))
 
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
-            old = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist()) if not first else None
-            for i, (doc_id, text) in enumerate(zip(ids, texts)):
-                spans, items = next(old) if old else ([], [])
-                w = words_of(text or b"")
-                held.append((doc_id, text, w, [(s["lo"], s["hi"]) for s in spans], items))
-                total += len(w)
-                if total >= shard_words:
-                    yield flush()
-                    held.clear()
-                    total = 0
+            ws = [words_of(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            held.append((batch, ws))
+            total += sum(map(len, ws))
+            if total >= shard_words:
+                yield from flush()
+                held.clear()
+                total = 0
         if held:
-            yield flush()
+            yield from flush()
 
     return run
 
 
-def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 8_000_000, keep_text: bool = False,
-    shard_words: int = SHARD_WORDS,
-) -> DataFrame:
-    """doc_id, text, n_words, spans, items: one row for each row of docs (text is null unless keep_text).
+def _blocks(benchmark: DataFrame, block_chars: int, window: int) -> Iterator[Phrases]:
+    """The windows of the benchmark in blocks of at most about block_chars characters."""
+    items = benchmark.where("text is not null").select("item_id", "text")
+    n = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
+    for k in range(n):
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        yield Phrases([(r["item_id"], r["text"].encode()) for r in part.collect()], window)
+
+
+def _hits(rows: DataFrame, benchmark: DataFrame, window: int, block_chars: int, shard_words: int) -> DataFrame:
+    """doc_id, row, n_words, spans, items of every row of rows (doc_id, row, text). One block of the benchmark is one
+    pass over the texts. More are as many, which all read the same rows and send on what they hit; it is merged by row."""
+    spark = rows.sparkSession
+    schema = f"doc_id long, row long, n_words long, {_SPANS}"
+    passes = [rows.mapInArrow(_search(spark.sparkContext.broadcast(p), shard_words, k == 0), schema) for k, p in enumerate(_blocks(benchmark, block_chars, window))]
+    if len(passes) == 1:
+        return passes[0]
+    every = reduce(DataFrame.union, passes)
+    both = every.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+    return both.select("doc_id", "row", "n_words", merged("spans").alias("spans"), "items")
+
+
+def merged(spans: str) -> Column:
+    """Sorted spans with those that touch or overlap joined."""
+    none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
+
+    def step(done: Column, s: Column) -> Column:
+        last = F.element_at(done, -1)
+        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["lo"].alias("lo"), F.greatest(last["hi"], s["hi"]).alias("hi"))))
+        return F.when((F.size(done) > 0) & (s["lo"] <= F.try_element_at(done, F.lit(-1))["hi"]), joined).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(spans, none, step)
+
+
+def _rows(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text", *more)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_chars: int = 4_000_000, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """doc_id, n_words, spans, items: one row for each row of docs.
 
     A window is `window` consecutive words of an item, or all words of a shorter item.
     spans: merged [lo, hi) ranges of the document's word numbers inside occurrences;
     items: the item_ids, as strings, with an occurring window, sorted.
 
-    The benchmark is broadcast in blocks of at most about `block_chars` characters; with
-    more than one block the documents pass through the blocks in turn, each pass written
-    to the shared folder. Null text: no words. Null or empty items: no windows. A null
+    The benchmark is broadcast in blocks of at most about `block_chars` characters, each a pass over the documents. With
+    more than one block the rows are first written to the shared folder with a number each. Null text: no words. Null or empty items: no windows. A null
     item_id counts as the empty string. Repeated rows each get their answer. Other
     columns are not read. Empty tables: no rows, or no hits.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    now, first = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), True
-    for phrases, last in _chunks(benchmark, block_chars, window):
-        shared = spark.sparkContext.broadcast(phrases)
-        now = now.mapInArrow(_search(shared, first, keep_text or not last, shard_words), _HITS)
-        first = False
-        if not last:
-            now = table(now, "leaks")
-    return now
+    prepare(docs.sparkSession)
+    rows = _rows(docs)
+    if _many(benchmark, block_chars):
+        rows = table(rows, "leak-rows")
+    return _hits(rows, benchmark, window, block_chars, shard_words).select("doc_id", "n_words", "spans", "items")
 
 
-def _chunks(benchmark: DataFrame, block_chars: int, window: int) -> Iterator[tuple[Phrases, bool]]:
-    """The windows of the benchmark in blocks of at most about block_chars characters."""
-    items = benchmark.where("text is not null").select("item_id", "text")
-    n = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield Phrases([(r["item_id"], r["text"].encode()) for r in part.collect()], window), k == n - 1
+def _many(benchmark: DataFrame, block_chars: int) -> bool:
+    return (benchmark.agg(F.sum(F.length("text"))).first()[0] or 0) > block_chars
+
+
+def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, rest: the text without its spans, null if no word is left."""
+    for batch in batches:
+        out = []
+        for text, spans, n in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist(), batch.column("n_words").to_pylist()):
+            gone = [(s["lo"], s["hi"]) for s in spans]
+            out.append(cut_spans(text, gone).decode() if sum(b - a for a, b in gone) < n else None)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "rest"])
 
 
 def without_leaks(
-    docs: DataFrame, benchmark: DataFrame, window: int = 10, cut: bool = False, block_chars: int = 8_000_000,
-    shard_words: int = SHARD_WORDS,
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, cut: bool = False, block_chars: int = 4_000_000, shard_words: int = SHARD_WORDS
 ) -> DataFrame:
     """The rows of docs without an occurrence of a window; all columns stay.
 
@@ -303,27 +344,17 @@ def without_leaks(
     """
     spark = docs.sparkSession
     prepare(spark)
-    schema = docs.schema
-    for phrases, last in _chunks(benchmark, block_chars, window):
-        shared = spark.sparkContext.broadcast(phrases)
+    if not cut and not _many(benchmark, block_chars):  # one pass that drops rows as it finds them
+        shared = spark.sparkContext.broadcast(next(_blocks(benchmark, block_chars, window)))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[tuple[pa.RecordBatch, list]] = []
             total = 0
 
             def flush() -> Iterator[pa.RecordBatch]:
                 found = iter(shard_hits([w for _, ws in held for w in ws], shared.value))
                 for batch, ws in held:
-                    spans = [next(found)[0] for _ in ws]
-                    if not cut:
-                        yield batch.filter(pa.array([not s for s in spans], pa.bool_()))
-                        continue
-                    at = batch.schema.get_field_index("text")
-                    texts = batch.column(at).cast(pa.binary()).to_pylist()
-                    new = [cut_spans(t, s).decode() if s else t for t, s in zip(texts, spans)]
-                    stays = [not s or sum(b - a for a, b in s) < len(w) for s, w in zip(spans, ws)]
-                    cols = [pa.array([x.decode() if isinstance(x, bytes) else x for x in new], pa.string()) if k == at else c for k, c in enumerate(batch.columns)]
-                    yield pa.RecordBatch.from_arrays(cols, schema=batch.schema).filter(pa.array(stays, pa.bool_()))
+                    yield batch.filter(pa.array([not next(found)[0] for _ in ws], pa.bool_()))
 
             for batch in batches:
                 ws = [words_of(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
@@ -336,10 +367,15 @@ def without_leaks(
             if held:
                 yield from flush()
 
-        docs = docs.mapInArrow(run, schema)
-        if not last:
-            docs = table(docs, "clean")
-    return docs
+        return docs.mapInArrow(run, docs.schema)
+    # the rows travel as one column, so that none of theirs can be taken for ours
+    rows = table(_rows(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")), "leak-rows")
+    hit = table(_hits(rows.select("doc_id", "row", "text"), benchmark, window, block_chars, shard_words).where(F.size("spans") > 0).drop("doc_id"), "leaks")
+    if not cut:
+        return rows.join(hit, "row", "left_anti").select("whole.*")
+    rest = rows.select("row", "text").join(hit, "row").select("row", "text", "spans", "n_words").mapInArrow(_cut_texts, "row long, rest string").withColumn("found", F.lit(True))
+    new = rows.join(rest, "row", "left").where("found is null or rest is not null")
+    return new.select(*((F.coalesce("rest", F.col("whole").getField(c)) if c == "text" else F.col("whole").getField(c)).alias(c) for c in docs.columns))
 
 
 def n_hit(spans: str = "spans") -> Column:

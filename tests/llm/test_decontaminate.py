@@ -73,14 +73,15 @@ def test_removal(spark):
     docs, items = case(2)
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     clean = {i for i, t in docs if not brute(t, items, 4)[1]}
-    assert {r["doc_id"] for r in D.without_leaks(df, bench, window=4, shard_words=40).collect()} == clean
-    cut = {r["doc_id"]: r["text"] for r in D.without_leaks(df, bench, window=4, cut=True).collect()}
-    for i, t in docs:
-        n, hit, _ = brute(t, items, 4)
-        if hit < n or not n:
-            assert len(words(cut[i])) == n - hit and (hit or cut[i] == t)
-        else:
-            assert i not in cut
+    for chars in (4_000_000, 25):
+        assert {r["doc_id"] for r in D.without_leaks(df, bench, window=4, shard_words=40, block_chars=chars).collect()} == clean
+        cut = {r["doc_id"]: r["text"] for r in D.without_leaks(df, bench, window=4, cut=True, block_chars=chars).collect()}
+        for i, t in docs:
+            n, hit, _ = brute(t, items, 4)
+            if hit < n or not n:
+                assert len(words(cut[i])) == n - hit and (hit or cut[i] == t)
+            else:
+                assert i not in cut
 
 
 def test_edges(docs, spark):
