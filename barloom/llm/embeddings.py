@@ -17,7 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, Forest, Tables, components, each_task, mix, prepare, spread, table
+from .common import Forest, Tables, components, each_task, mix, prepare, spread, table
+
+#: Vectors of a bucket in a block; a task holds two blocks. Pairs that are looked at together.
+VECTORS, PAIRS = 2048, 1 << 17
 
 _PLANES: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -40,28 +43,34 @@ def buckets(unit: np.ndarray, width: int, tables: int, step: float) -> np.ndarra
     return out.view(np.int64)
 
 
-def _unit(rows: list[list[float]]) -> np.ndarray:
-    x = np.array(rows, np.float64)
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # neither overflow nor underflow in the squares
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _by_size(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, their vectors as a matrix) for each size of the vectors, without copies into Python."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    size = column.value_lengths().to_numpy(zero_copy_only=False)
+    at, flat = np.cumsum(size) - size, column.flatten().to_numpy(zero_copy_only=False)
+    for n in np.unique(size):
+        rows = np.flatnonzero(size == n)
+        yield rows, flat[at[rows][:, None] + np.arange(n)]
+
+
 def _hash(width: int, tables: int, step: float, with_vector: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column("embedding").to_pylist()
-            by_size: dict[int, list[int]] = {}
-            for i, v in enumerate(vectors):
-                by_size.setdefault(len(v), []).append(i)
-            for rows in by_size.values():
+            for rows, vectors in _by_size(batch.column("embedding")):
                 for lo in range(0, len(rows), 64):
                     part = rows[lo : lo + 64]
-                    found = buckets(_unit([vectors[i] for i in part]), width, tables, step)
-                    flat = np.repeat(part, tables)
+                    found = buckets(_unit(vectors[lo : lo + 64]), width, tables, step)
                     cols = [pa.array(found.ravel())]
                     names = ["bucket"]
                     if with_vector:
-                        at = pa.array(flat)
+                        at = pa.array(np.repeat(part, tables))
                         cols += [batch.column("rep").take(at), batch.column("copies").take(at), batch.column("embedding").take(at)]
                         cols += [pa.array(np.tile(np.arange(tables, dtype=np.int32), len(part)))]
                         names += ["rep", "copies", "embedding", "table_no"]
@@ -76,18 +85,19 @@ def _compare(cosine: float, width: int, tables: int, step: float):
         n = rows.num_rows
         if n < 2:
             return None
-        vectors = rows.column("embedding").to_pylist()
-        if len({len(v) for v in vectors}) > 1:  # unlike sizes only meet by an accident of hashing
+        sizes = list(_by_size(rows.column("embedding")))
+        if len(sizes) > 1:  # unlike sizes only meet by an accident of hashing
             return None
         ids, own, copies = (rows.column(c).to_numpy() for c in ("rep", "_own", "copies"))
         number = rows.column("table_no")[0].as_py()
         cross = rows.column("_i")[0].as_py() != rows.column("_j")[0].as_py()
-        unit = _unit(vectors)
+        unit = _unit(sizes[0][1])
         own_buckets = None
         count = np.zeros(n, np.int64)
         forest = Forest(n)
-        for lo in range(0, n, 256):
-            near = unit[lo : lo + 256] @ unit.T >= cosine
+        some_rows = max(1, PAIRS // n)
+        for lo in range(0, n, some_rows):
+            near = unit[lo : lo + some_rows] @ unit.T >= cosine
             x, y = np.nonzero(near)
             x += lo
             keep = x < y
@@ -120,7 +130,7 @@ def _compare(cosine: float, width: int, tables: int, step: float):
 
 
 def near_vectors(
-    vectors: DataFrame, cosine: float = 0.9, width: int = 8, hashes: int = 40, step: float = 1.6, block: int = BLOCK
+    vectors: DataFrame, cosine: float = 0.9, width: int = 8, hashes: int = 40, step: float = 1.6, block: int = VECTORS
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row of vectors (vec_id, embedding, ...).
 
@@ -136,7 +146,9 @@ def near_vectors(
 
 
 def _near_vectors(vectors: DataFrame, cosine: float, width: int, hashes: int, step: float, block: int, tables: Tables) -> DataFrame:
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"  # half the bytes to shuffle; compared as doubles
+    kind = "array<float>" if single else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     sound = (
         F.col("vec_id").isNotNull()
         & F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
@@ -149,7 +161,7 @@ def _near_vectors(vectors: DataFrame, cosine: float, width: int, hashes: int, st
         "hot",
     )
     posted = groups.mapInArrow(
-        _hash(width, hashes, step, True), "bucket long, rep long, copies long, embedding array<double>, table_no int"
+        _hash(width, hashes, step, True), f"bucket long, rep long, copies long, embedding {kind}, table_no int"
     )
     sized = posted.join(hot, "bucket", "left").withColumn("size", F.coalesce("size", F.lit(1)))
     found = tables.write(
