@@ -193,19 +193,28 @@ def spread(df: DataFrame, group: str, member: str, size: str, block: int = BLOCK
 
 
 class Trees:
-    """The trees that links have joined rows into, as a flat label of each row; keeps the links that joined two."""
+    """The trees that links have joined rows into, as a flat label of each row."""
 
     def __init__(self, roots: np.ndarray):
-        _, self.of = np.unique(roots, return_inverse=True)
-        self.count = int(self.of.max()) + 1 if len(self.of) else 0
-        self.links: list[tuple[int, int]] = []
+        self.roots, self.of = np.unique(roots, return_inverse=True)
+        self.first = self.of.copy()
+        self.count = len(self.roots)
 
     def join(self, x: int, y: int) -> None:
         p, q = self.of[x], self.of[y]
         if p != q:
             self.of[self.of == q] = p
             self.count -= 1
-            self.links.append((x, y))
+
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        """(a, b): each root that a tree has taken in, and the smallest root of the tree."""
+        tree = np.empty(len(self.roots), np.int64)
+        tree[self.first] = self.of
+        low = np.full(len(self.roots), np.iinfo(np.int64).max)
+        np.minimum.at(low, tree, self.roots)
+        low = low[tree]
+        taken = low != self.roots
+        return self.roots[taken], low[taken]
 
 
 class Members:
@@ -231,10 +240,9 @@ class Members:
         return open_ & (self.visits[y] != self.visits[x]) & (~self.loose[resident] | (self.node[visitor] < self.node[resident]))
 
     def done(self) -> pa.Table | None:
-        if not self.trees.links:
-            return None
-        a, b = np.array(self.trees.links, np.int64).T
-        return pa.table({"a": self.node[a], "b": self.node[b]})
+        """Links from the nodes to the smallest of their tree, the same ones from every task that finds this tree."""
+        a, b = self.trees.stars()
+        return pa.table({"a": a, "b": b}) if len(a) else None
 
 
 def distinct_groups(members: DataFrame, by: str) -> DataFrame:
@@ -267,18 +275,22 @@ def group_links(members: DataFrame, work: Callable[[pa.Table], pa.Table | None],
     inside = tables.write(inside, "links")
     if big.isEmpty():
         return inside
-    rooted = components(inside, tables).withColumnRenamed("id", "node").withColumnRenamed("comp", "root")
+    rooted = tables.write(components(inside, tables), "roots")
+    found = rooted.select(F.col("id").alias("a"), F.col("comp").alias("b"))  # stands for the links inside blocks
+    rooted = rooted.withColumnRenamed("id", "node").withColumnRenamed("comp", "root")
     placed = sized.where("_blocks > 1").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
     parts = placed.groupBy("group", "root").agg(F.count("*").alias("n"))
     most = parts.groupBy("group").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("loose"))
     open_ = tables.write(most.where("loose > 0"), "open")
+    if open_.isEmpty():
+        return found
     placed = placed.join(open_, "group").withColumn("_loose", F.col("root") != F.col("main"))
     guests = F.ceil(F.col("loose") / F.lit(block)).cast("int")
     seat = F.pmod(F.xxhash64(F.lit(13), F.col("node")), guests).cast("int")
     residents = placed.withColumn("_j", F.explode(F.sequence(F.lit(0), guests - 1))).withColumn("_visits", F.lit(False))
     visitors = placed.where("_loose").withColumn("_j", seat).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("_visits", F.lit(True))
     both = residents.unionByName(visitors).withColumn("_g", F.col("group")).withColumn("_root", F.col("root"))
-    return inside.union(tables.write(each_task(both, work, "a long, b long", columns), "links"))
+    return found.union(tables.write(each_task(both, work, "a long, b long", columns), "links"))
 
 
 def each_task(
@@ -327,10 +339,9 @@ def each_task(
         if out:
             yield from pa.concat_tables(out).combine_chunks().to_batches()
 
-    spark = df.sparkSession
     return (
         df.select(*keys, *names)
-        .repartition(partitions(spark), *keys)
+        .repartition(*keys)  # as many partitions as the bytes and cores call for
         .sortWithinPartitions(*keys)
         .mapInArrow(run, schema)
     )
