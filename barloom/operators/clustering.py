@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rng as R
 from ..functions import stats as S
-from ..schema import FAMILIES
+from ..schema import FAMILIES, MOST_SURVIVORS
 
 
 def _square(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -122,10 +122,12 @@ def tsne(x: np.ndarray, perplexity: float, rounds: int = 480, seed: int = 42, ra
 
 
 def _one_task(rows: DataFrame, work: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
-    """The whole, capped set (genome_id, z) in one task, in order of genome_id."""
+    """The whole survivor set (genome_id, z) in one task, in order of genome_id; more rows than survivors may be are an error."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = pd.concat(list(parts), ignore_index=True)
+        if len(held) > MOST_SURVIVORS:
+            raise ValueError(f"{len(held)} rows; these fits are for {MOST_SURVIVORS} survivors at most")
         if len(held):
             held = held.sort_values("genome_id", ignore_index=True)
             yield pd.DataFrame({"genome_id": held["genome_id"], **work(np.stack(held["z"].to_numpy()))})
@@ -161,10 +163,11 @@ def _distance(a: str, b: str):
 
 
 def nearest_centroid(rows: DataFrame, centroids: DataFrame) -> DataFrame:
-    """genome_id, cluster, distance: the nearest of (cluster, c), ties to the lowest cluster. Centroids are few."""
-    d = _distance("z", "c")
-    pairs = rows.crossJoin(F.broadcast(centroids))
-    return pairs.groupBy("genome_id").agg(F.min(F.struct(d.alias("distance"), F.col("cluster").alias("cluster"))).alias("m")).select("genome_id", "m.cluster", "m.distance")
+    """genome_id, cluster, distance: the nearest of (cluster, c), ties to the lowest cluster. Centroids are few: one array,
+    which each row looks through without a join."""
+    every = centroids.agg(F.collect_list(F.struct("cluster", "c"))).scalar()
+    near = F.array_min(F.transform("every", lambda x: F.struct(_distance("z", x["c"]).alias("distance"), x["cluster"].alias("cluster"))))
+    return rows.withColumn("every", every).select("genome_id", near.alias("m")).select("genome_id", "m.cluster", "m.distance")
 
 
 def _sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -55,6 +55,6 @@ def combined(features: DataFrame, signature: DataFrame) -> DataFrame:
 def standardised(rows: DataFrame) -> DataFrame:
     """genome_id, z: every column over its mean and spread, spread 0 counting 1, in -6..6."""
     by_column = rows.select(F.posexplode("features").alias("k", "x")).groupBy("k").agg(F.avg("x").alias("mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("sd"))
-    stats = by_column.agg(F.array_sort(F.collect_list(F.struct("k", "mean", "sd"))).alias("_stats"))  # one row
+    stats = by_column.agg(F.array_sort(F.collect_list(F.struct("k", "mean", "sd")))).scalar()
     z = F.zip_with("features", "_stats", lambda x, s: S.clamp((x - s["mean"]) / F.when(s["sd"] > 0, s["sd"]).otherwise(1.0), -6.0, 6.0))
-    return rows.crossJoin(F.broadcast(stats)).select("genome_id", z.alias("z"))
+    return rows.withColumn("_stats", stats).select("genome_id", z.alias("z"))

@@ -167,6 +167,6 @@ def labels(states: DataFrame) -> DataFrame:
 def rule_path(index: DataFrame) -> DataFrame:
     """t, date, ret, state 0..2 by thirds of the 21-bar mean size of returns: a path without a model."""
     seen = regime_observations(index).select("t", "date", "size").join(index.select("t", "ret"), "t")
-    cut = seen.agg(F.percentile("size", 1 / 3).alias("a"), F.percentile("size", 2 / 3).alias("b"))
-    state = F.when(F.col("size") <= F.col("a"), 0).when(F.col("size") <= F.col("b"), 1).otherwise(2)
-    return seen.crossJoin(F.broadcast(cut)).select("t", "date", "ret", state.alias("state"))
+    cut = seen.agg(F.struct(F.percentile("size", 1 / 3).alias("a"), F.percentile("size", 2 / 3).alias("b"))).scalar()
+    state = F.when(F.col("size") <= F.col("cut.a"), 0).when(F.col("size") <= F.col("cut.b"), 1).otherwise(2)
+    return seen.withColumn("cut", cut).select("t", "date", "ret", state.alias("state"))

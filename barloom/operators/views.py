@@ -27,10 +27,10 @@ def downsampled(rows: DataFrame, by: str, points: int) -> DataFrame:
 
 def resampled(rows: DataFrame, points: int) -> DataFrame:
     """k, v of rows (i from 0, v): the nearest row on the normalised position of each of `points` places."""
-    n = rows.agg((F.max("i") + 1).alias("n"))
-    places = rows.sparkSession.range(points).select(F.col("id").cast("int").alias("k"))
+    n = rows.agg(F.max("i") + 1).scalar()
+    places = rows.sparkSession.range(points).select(F.col("id").cast("int").alias("k")).withColumn("n", n)
     at = S.half_up(F.col("k") / max(1, points - 1) * (F.col("n") - 1)).cast("int")
-    wanted = places.crossJoin(F.broadcast(n)).select("k", F.least(at, (F.col("n") - 1).cast("int")).alias("i"))
+    wanted = places.select("k", F.least(at, (F.col("n") - 1).cast("int")).alias("i"))
     return wanted.join(rows, "i").select("k", "v")
 
 
@@ -144,7 +144,7 @@ def tail_rebased(curve: DataFrame, out_bars: int, scored_bars: int, points: int)
     """k, v of the out-of-sample part of a curve (k, v), from 1, resampled to `points` places."""
     n = F.max("k") + 1
     cut = F.greatest(F.lit(0), n - F.floor(out_bars / max(1, scored_bars) * n + 0.5))
-    tail = curve.crossJoin(F.broadcast(curve.agg(cut.cast("int").alias("cut")))).where("k >= cut")  # one row
+    tail = curve.withColumn("cut", curve.agg(cut.cast("int")).scalar()).where("k >= cut")
     based = tail.select(F.lit("tail").alias("of"), (F.col("k") - F.col("cut")).cast("int").alias("i"), "v")
     return resampled(based.select("i", from_first(F.col("v"), "of", "i").alias("v")), points)
 

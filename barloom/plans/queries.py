@@ -154,7 +154,8 @@ def csv_clean_rows(spark, d):
 def csv_report(spark, d):
     lines = _csv_lines(spark, d).select("line_no", csv.cells_of(F.col("line")).alias("cells"))
     kept = csv.clean(lines, ["Date", "Ticker", "Open", "Adj Close"])
-    return lines.agg(F.count("*").alias("rows_read")).crossJoin(kept.agg(F.count("*").alias("rows_kept"), F.countDistinct("symbol").alias("symbols")))
+    read = lines.agg(F.count("*")).scalar()
+    return kept.agg(F.count("*").alias("rows_kept"), F.countDistinct("symbol").alias("symbols")).withColumn("rows_read", read)
 
 
 @query
@@ -555,7 +556,7 @@ def genome_coerce(spark, d):
     spec = [(k, float(a), float(b), float(s)) for _, p in FAMILIES.values() for k, (a, b, s) in p.items()]
     spec += [(f"risk.{k}", float(a), float(b), float(s)) for k, (a, b, s) in RISK.items()]
     bounds = spark.createDataFrame(sorted(set(spec)), "key string, low double, high double, step double")
-    tried = bounds.crossJoin(F.broadcast(spark.range(9).select(F.col("id").cast("int").alias("k"))))
+    tried = bounds.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8))))
     value = F.col("low") + (F.col("high") - F.col("low")) * (F.col("k") * 0.173 - 0.1)
     return rounded(tried.select("key", "low", "high", "k", G.coerce_column(value, F.col("low"), F.col("high"), F.col("step")).alias("value")), 8)
 

@@ -131,13 +131,13 @@ def from_lines(lines: DataFrame) -> tuple[DataFrame, Report]:
     header = split_line(first[0]["line"].removeprefix("﻿"))
     body = lines.where(F.col("line_no") > first[0]["line_no"]).select("line_no", cells_of(F.col("line")).alias("cells"))
     rows = clean(body, header)
-    report = Report(rows_read=body.count(), rows_kept=rows.count())
-    if not report.rows_kept:
+    kept = rows.groupBy("symbol").agg(F.count("*").alias("n")).withColumn("read", body.agg(F.count("*")).scalar()).collect()  # a row a symbol
+    if not kept:
         raise BadCsv("no usable row")
+    report = Report(rows_read=kept[0]["read"], rows_kept=sum(r["n"] for r in kept))
+    report.symbols = sorted(r["symbol"] for r in kept)
     bars = on_common_calendar(last_wins(rows))
-    counts = bars.groupBy("symbol").agg(F.count("*").alias("n")).collect()
-    report.symbols = sorted(r["symbol"] for r in rows.select("symbol").distinct().collect())
-    common = counts[0]["n"] if counts else 0
+    common = bars.agg(F.countDistinct("t")).first()[0]
     if common < LEAST_BARS:
         raise BadCsv(f"{common} common bars; {LEAST_BARS} are needed")
     if common < FEW_BARS:
