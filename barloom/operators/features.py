@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import stats as S
 from ..schema import BEHAVIOUR_WEIGHT
 
+# The names of the features, in their order.
 FEATURES = (
     "Sharpe", "Sortino", "CAGR", "Volatility", "Max drawdown", "Ulcer", "Win rate", "Profit factor", "Avg hold", "Exposure", "Turnover",
     "Return skew", "Tail ratio", "Benchmark corr", "IS/OOS decay", "Trade count",
@@ -19,7 +20,7 @@ def _log(x: Column) -> Column:
 
 
 def metric_features(ins: DataFrame, outs: DataFrame) -> DataFrame:
-    """genome_id, f0..f15 from in- and out-of-sample metrics; columns follow FEATURES."""
+    """genome_id, f0..f15 from in- and out-of-sample metrics; columns follow FEATURES. The bounds of the clamps are fixed values."""
     o = lambda k: F.col(f"o.{k}")
     decay = F.coalesce(S.clamp(F.try_divide(F.col("i.sharpe") - o("sharpe"), F.abs(F.col("i.sharpe"))), -3.0, 3.0), F.lit(0.0))
     cols = [

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,25 +60,47 @@ def coerce(bounds: tuple[float, float, float], value: float) -> float:
     return round(math.floor(v / step + 0.5) * step, max(0, math.ceil(-math.log10(step) - 1e-12)))
 
 
+class Apart(NamedTuple):
+    """A parameter that must stand apart from another one: it is `low` if at most times * other + plus, or too high if at
+    least other. It then becomes of * other + the larger of `least` and the rounded share * other (or `shift`, without a share),
+    at most `most`."""
+
+    family: str
+    key: str
+    low: bool
+    other: str
+    times: float = 1.0
+    plus: float = 0.0
+    of: float = 0.0
+    share: float = 0.0
+    shift: float = 0.0
+    least: float = -math.inf
+    most: float = math.inf
+
+
+# Parameters that must stand apart, in the order in which they are looked at.
+APART = (
+    Apart("trend", "slow", True, "fast", of=1, share=0.8, least=5),
+    Apart("breakout", "exit", False, "entry", share=0.5, least=5),
+    Apart("meanReversion", "exitZ", False, "entryZ", of=1, shift=-0.4),
+    Apart("carry", "smooth", False, "lookback", share=0.25, least=2),
+    Apart("volatility", "highPct", True, "lowPct", plus=0.05, of=1, shift=0.2, most=0.98),
+    Apart("volatility", "pctWindow", True, "volWindow", times=2, of=3),
+)
+# What a parameter is never beyond after that.
+AT_LEAST, AT_MOST = {"exitZ": 0.0}, {"slow": 250.0}
+
+
 def repair(family: str, p: dict[str, float]) -> dict[str, float]:
     """Parameters that must stand apart are moved apart."""
-    whole = lambda x: math.floor(x + 0.5)
     p = dict(p)
-    if family == "trend":
-        if p["slow"] <= p["fast"]:
-            p["slow"] = p["fast"] + max(5, whole(0.8 * p["fast"]))
-        p["slow"] = min(250, p["slow"])
-    elif family == "breakout" and p["exit"] >= p["entry"]:
-        p["exit"] = max(5, whole(0.5 * p["entry"]))
-    elif family == "meanReversion" and p["exitZ"] >= p["entryZ"]:
-        p["exitZ"] = max(0.0, p["entryZ"] - 0.4)
-    elif family == "carry" and p["smooth"] >= p["lookback"]:
-        p["smooth"] = max(2, whole(0.25 * p["lookback"]))
-    elif family == "volatility":
-        if p["highPct"] <= p["lowPct"] + 0.05:
-            p["highPct"] = min(0.98, p["lowPct"] + 0.2)
-        if p["pctWindow"] <= 2 * p["volWindow"]:
-            p["pctWindow"] = 3 * p["volWindow"]
+    for r in APART:
+        if r.family == family:
+            other = p[r.other]
+            if p[r.key] <= r.times * other + r.plus if r.low else p[r.key] >= other:
+                added = max(r.least, math.floor(r.share * other + 0.5) if r.share else r.shift)
+                p[r.key] = max(AT_LEAST.get(r.key, -math.inf), min(r.most, r.of * other + added))
+            p[r.key] = min(AT_MOST.get(r.key, math.inf), p[r.key])
     return p
 
 
@@ -193,18 +216,14 @@ def coerce_column(value: Column, low: Column, high: Column, step: Column) -> Col
 def repair_column(family: Column, params: Column) -> Column:
     """repair() on the params map."""
     p = lambda k: F.try_element_at(params, F.lit(k))
-    whole = lambda x: F.floor(x + 0.5).cast("double")
-    slow = F.when(p("slow") <= p("fast"), p("fast") + F.greatest(F.lit(5.0), whole(0.8 * p("fast")))).otherwise(p("slow"))
-    new = {
-        "trend": {"slow": F.least(F.lit(250.0), slow)},
-        "breakout": {"exit": F.when(p("exit") >= p("entry"), F.greatest(F.lit(5.0), whole(0.5 * p("entry")))).otherwise(p("exit"))},
-        "meanReversion": {"exitZ": F.when(p("exitZ") >= p("entryZ"), F.greatest(F.lit(0.0), p("entryZ") - 0.4)).otherwise(p("exitZ"))},
-        "carry": {"smooth": F.when(p("smooth") >= p("lookback"), F.greatest(F.lit(2.0), whole(0.25 * p("lookback")))).otherwise(p("smooth"))},
-        "volatility": {
-            "highPct": F.when(p("highPct") <= p("lowPct") + 0.05, F.least(F.lit(0.98), p("lowPct") + 0.2)).otherwise(p("highPct")),
-            "pctWindow": F.when(p("pctWindow") <= 2 * p("volWindow"), 3 * p("volWindow")).otherwise(p("pctWindow")),
-        },
-    }
+    number = lambda x: F.lit(float(x))
+    new: dict[str, dict[str, Column]] = {}
+    for r in APART:
+        other, own = p(r.other), p(r.key)
+        added = F.greatest(number(r.least), F.floor(r.share * other + 0.5).cast("double") if r.share else number(r.shift))
+        moved = F.greatest(number(AT_LEAST.get(r.key, -math.inf)), F.least(number(r.most), r.of * other + added))
+        wrong = own <= r.times * other + r.plus if r.low else own >= other
+        new.setdefault(r.family, {})[r.key] = F.least(number(AT_MOST.get(r.key, math.inf)), F.when(wrong, moved).otherwise(own))
     out = params
     for name, changed in new.items():
         out = F.when(family == name, F.transform_values(params, _replacing(changed))).otherwise(out)

@@ -151,6 +151,7 @@ def labels(states: DataFrame) -> DataFrame:
     high = F.when(few, F.col("_place") == 0).otherwise(F.col("_place") < F.col("_n") / 3)
     low = F.when(few, F.col("_place") > 0).otherwise(F.col("_place") >= 2 * F.col("_n") / 3)
     wild, falling = F.col("vol") > F.col("_mid") * 1.1, F.col("mean_return") < 0
+    # The labels and tones.
     label = (
         F.when(high, F.when(wild, "Momentum Surge").otherwise("Calm Uptrend"))
         .when(low & falling, F.when(wild, "Stress Selloff").otherwise("Grinding Bear"))

@@ -48,6 +48,47 @@ def test_genomes_stay_in_bounds():
     in_bounds(edited)
 
 
+def parent(family="trend", **more):
+    risk = {"vol_target": 0.12, "max_leverage": 2.0, "stop_atr": 2.5, "take_atr": 5.0, "max_hold": 10, "cool_down": 3}
+    params = {"trend": {"fast": 20, "slow": 100, "confirm": 40, "band": 0.002}, "carry": {"lookback": 60, "smooth": 10, "threshold": 0.4, "decay": 0.5}}[family]
+    return G.Genome("p", family, "N", "both", params | more.pop("params", {}), risk | more, "seed", 0)
+
+
+def test_mutation_with_draws_given():
+    ids = G.Ids()
+    low = G.mutate(lambda: 0.0, ids, parent(), 1.0, ["A", "N"], 4)
+    assert low.params == {"fast": 3, "slow": 20, "confirm": 5, "band": 0.0} and (low.symbol, low.side) == ("A", "long")
+    assert low.risk == {"vol_target": pytest.approx(0.09), "max_leverage": 1.5, "stop_atr": 0, "take_atr": 0, "max_hold": 0, "cool_down": 0}
+    half = G.mutate(lambda: 0.5, ids, parent(), 1.0, ["A", "N"], 4)
+    assert half.params == parent().params and (half.symbol, half.side, half.origin, half.parents, half.generation) == ("N", "both", "mutation", ["p"], 4)
+    assert half.risk == {"vol_target": pytest.approx(0.123), "max_leverage": 2.1, "stop_atr": 3.5, "take_atr": 7.0, "max_hold": 63, "cool_down": 3}
+    same = G.mutate(lambda: 0.99, ids, parent(), 0.5, ["A"], 1)
+    assert (same.params, same.risk, same.symbol, same.side) == (parent().params, parent().risk, "N", "both")
+
+
+def test_crossover_with_draws_given():
+    other = parent(vol_target=0.2, max_leverage=1.0, stop_atr=0.0, params={"fast": 30, "slow": 50, "band": 0.01})
+    child = G.crossover(lambda: 0.25, G.Ids(), parent(), other, 2)
+    # a quarter of the first, three of the second, onto the steps
+    assert child.params == {"fast": 28, "slow": 63, "confirm": 40, "band": 0.008} and child.risk["vol_target"] == pytest.approx(0.18)
+    assert child.risk["max_leverage"] == 1.25 and child.risk["stop_atr"] == 2.5 and child.origin == "crossover" and child.parents == ["p", "p"]
+    late = G.crossover(lambda: 0.75, G.Ids(), parent(), other, 2)
+    assert late.risk["stop_atr"] == 0.0 and late.risk["take_atr"] == 5.0
+    far = G.crossover(lambda: 0.25, G.Ids(), parent(), parent("carry", vol_target=0.2), 2)
+    assert far.family == "trend" and far.params == parent().params and far.risk["vol_target"] == pytest.approx(0.18)
+
+
+def test_distinct_best_is_greedy():
+    pool, *_ = people(80, 9)
+    hall = [search.Scored(g, float((7 * k) % 13)) for k, g in enumerate(pool)]
+    kept = search.distinct_best(hall, most=10, apart=0.3)
+    want = []
+    for s in sorted(hall, key=lambda s: -s.fitness):
+        if len(want) < 10 and min((G.distance(s.genome, w.genome) for w in want), default=1) >= 0.3:
+            want.append(s)
+    assert [s.genome.genome_id for s in kept] == [s.genome.genome_id for s in want] and len(kept) == 10
+
+
 def test_coerce():
     assert G.coerce((0, 10, 0), 2.5) == 3 and G.coerce((0.6, 3.2, 0.05), 1.2249) == 1.2 and G.coerce((0, 8, 0.1), 4.8000001) == 4.8 and G.coerce((0, 8, 0.1), 99) == 8
 
