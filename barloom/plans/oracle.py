@@ -400,6 +400,7 @@ info AS (SELECT cluster, count(*) AS size, avg(sharpe) AS sharpe, avg(cagr) AS c
     out = {
         "bars_daily": f"WITH {_DAILY} SELECT * FROM bars",
         "bars_weekly": f"WITH {_WEEKLY} SELECT * FROM bars",
+        "windowed_bars": "SELECT event_type AS symbol, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS ts, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2",
         "bars_intraday": """WITH b AS (SELECT event_type AS symbol, time_bucket(INTERVAL 3 HOUR, ts) AS w, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2),
 c AS (SELECT w FROM b GROUP BY w HAVING count(*) = (SELECT count(DISTINCT symbol) FROM b))
 SELECT symbol, strftime(w, '%Y-%m-%d %H:%M:%S') AS ts, open, high, low, close, volume, CAST(row_number() OVER (PARTITION BY symbol ORDER BY w) - 1 AS INTEGER) AS t FROM b WHERE w IN (SELECT w FROM c)""",

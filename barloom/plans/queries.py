@@ -21,6 +21,7 @@ from ..schema import FAMILIES, RISK, Search
 from ..sources import bars as bars_source
 from ..sources import csv, synthetic
 from ..sources.genomes import fixed
+from ..streaming.bars import stream_bars
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,6 +108,12 @@ def bars_intraday(spark, d):
     return bars_source.bars_intraday(spark, d).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query
+def windowed_bars(spark, d):
+    """The streaming operator on a batch of events."""
+    return stream_bars(spark.read.parquet(f"{d}/events.parquet"), "1 hour").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query
 def calendar_intersection(spark, d):
     rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_returnflag").alias("symbol"), F.to_date("l_shipdate").alias("date"))
