@@ -127,7 +127,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, line_no, class, first_doc, first_line: the lines to remove, of all documents."""
+    """doc_id, line_no, first_doc, first_line: the lines to remove, of all documents."""
     found = lines.repeated_lines(_read(spark, sf_dir, "documents"), short=True)
     return found.select("doc_id", "line_no", "first_doc", "first_line")
 
