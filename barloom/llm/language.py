@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, thinned
 from .ngrams import SLOTS, batches_of, has_letter, present
 
 #: Training texts and landmarks of each language at most.
@@ -91,17 +91,20 @@ def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
     """docs (doc_id, text, lang): every language is learned, from at most `per_language` of its rows, by a hash of the
     doc_id, then doc_id and text; their n-grams reach the driver. Rows without language or letters are no examples; rows
     that share a doc_id are rows like others."""
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     rows = docs.where("lang is not null and text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    hashed = rows.withColumn("h", F.xxhash64(F.lit(9), "doc_id").bitwiseAND(F.lit((1 << 63) - 1)))
-    # few rows of each language reach the sort, see thinned()
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    share = F.least(F.lit(1.0), (4 * per_language + 100) / F.col("n"))
-    below = counts.select("lang", F.when(share >= 1, F.lit((1 << 63) - 1)).otherwise((share * float(1 << 63)).cast("long")).alias("below"))
-    by = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
-    thin = hashed.join(below, "lang").where(F.col("h") <= F.col("below"))
-    chosen = thin.withColumn("k", F.row_number().over(by)).where(F.col("k") <= per_language)
-    pulled = chosen.select("k", "lang", "text").mapInArrow(_slots_of, "k int, lang string, slots binary").where("slots is not null").toPandas()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language, as the model has
+    # few rows of each language reach the sort, see thinned(), and of all columns only their texts
+    below = spark.createDataFrame([(r["lang"], thinned(r["n"], per_language)) for r in counts], "lang string, below long")
+    hashed = rows.select("doc_id", "lang", F.xxhash64(F.lit(9), "doc_id").bitwiseAND(F.lit((1 << 63) - 1)).alias("h"))
+    first = lambda *order: F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    thin = hashed.join(F.broadcast(below), "lang").where(F.col("h") <= F.col("below"))
+    chosen = thin.withColumn("k", first("h", "doc_id")).where(F.col("k") <= per_language)
+    # at most per_language rows a language
+    chosen = chosen.groupBy("doc_id", "lang").agg(F.min("k").alias("at"))
+    texts = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).withColumn("k", first("at", "doc_id", "text")).where(F.col("k") <= per_language)
+    pulled = texts.select("k", "lang", "text").mapInArrow(_slots_of, "k int, lang string, slots binary").where("slots is not null").toPandas()
     pulled = pulled.sort_values(["k", "lang"])
     return train([np.frombuffer(x, np.int32).astype(np.int64) for x in pulled["slots"]], list(pulled["lang"]))
 
