@@ -109,22 +109,24 @@ def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
     return train([np.frombuffer(x, np.int32).astype(np.int64) for x in pulled["slots"]], list(pulled["lang"]))
 
 
-def _claims(m: Model, texts: list[str | None], seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _kernel(m: Model, texts: list[str | None], seen: np.ndarray) -> np.ndarray:
+    return m.kernel(*batches_of(present((t or "").encode(), True, seen) for t in texts))
+
+
+def _claims(m: Model, kernel: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(lead, known) of each text: the winner's regression value over the next one (over 0 if there is
     one language), and the norm of the Nyström map, the share of the text that landmarks explain."""
     if not m.languages:
-        return np.zeros(len(texts)), np.zeros(len(texts))
-    kernel = m.kernel(*batches_of(present((t or "").encode(), True, seen) for t in texts))
+        return np.zeros(len(kernel)), np.zeros(len(kernel))
     f = np.sort(kernel @ m.weights, axis=1)
     return f[:, -1] - (f[:, -2] if f.shape[1] > 1 else 0.0), np.linalg.norm(kernel @ m.root, axis=1)
 
 
-def _judge(m: Model, texts: list[str | None], seen: np.ndarray) -> tuple[list[str], list[float]]:
+def _judge(m: Model, texts: list[str | None], kernel: np.ndarray) -> tuple[list[str], list[float]]:
     good = np.array([has_letter(t) for t in texts], bool) & bool(m.languages)
     if not good.any():
         return ["und"] * len(texts), [0.0] * len(texts)
-    slots, at = batches_of(present((t or "").encode(), True, seen) for t in texts)
-    f = m.kernel(slots, at) @ m.weights
+    f = kernel @ m.weights
     best = f.argmax(axis=1)
     value = np.clip((f[np.arange(len(f)), best] + 1) / 2, 0, 1)
     return [m.languages[b] if ok else "und" for ok, b in zip(good, best)], np.where(good, value, 0.0).tolist()
@@ -147,8 +149,9 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.25) -> DataFrame:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
                 texts = part.column("text").to_pylist()
-                names, score = _judge(shared.value, texts, seen)
-                ahead, share = _claims(shared.value, texts, seen)
+                kernel = _kernel(shared.value, texts, seen)
+                names, score = _judge(shared.value, texts, kernel)
+                ahead, share = _claims(shared.value, kernel)
                 brief = np.array([len(t or "") < SHORT for t in texts])
                 good = (np.array(names) != "und") & (np.array(score) >= least) & (share >= LEAST_KNOWN) & ((share >= WELL_KNOWN) | (ahead >= LEAST_LEAD) | brief)
                 yield part.filter(pa.array(good))
@@ -173,7 +176,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                names, score = _judge(m, part.column("text").to_pylist(), seen)
+                texts = part.column("text").to_pylist()
+                names, score = _judge(m, texts, _kernel(m, texts, seen))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"]
                 )
