@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, language, lines, minhash, mixing, quality, secrets, urls
+from . import audit, chat, decontaminate, embeddings, extract, language, lines, manifest, minhash, mixing, quality, secrets, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,9 +136,22 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(_read(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(_read(spark, sf_dir, "documents")).drop("proof")
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_texts(_read(spark, sf_dir, "pages"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_decontamination, op2_url_filter, op3_quality, op4_language_id, op5_secrets,
         op6_minhash_dedup, op7_mixing, op8_chat_format, op9_line_dedup, op10_embedding_dedup,
+        op11_merkle_manifest, op12_html_extraction, op13_filter_audit,
     ]
     return {f.__name__: f for f in own}

@@ -1,7 +1,7 @@
 """DuckDB twins of the operator queries that SQL can express.
 
 Without a twin: the trained classifiers (op3, op4), the guess cost of op5, the frame
-schedule of op7, edit distance over code points (op9; DuckDB counts bytes) and the
+schedule of op7, edit distance over code points (op9; DuckDB counts bytes), the markup of op12 and the
 pipeline. Tests hold those against brute force or held-out accuracy.
 """
 
@@ -121,6 +121,76 @@ FROM vectors LEFT JOIN top USING (vec_id) LEFT JOIN counts USING (vec_id)
 """
 
 
+_BYTES = "octet_length(encode({0})) || ':' || {0}"
+_PART = "coalesce(" + _BYTES + ", '-')"
+
+
+def _op11() -> str:
+    """Levels of all trees as one recursion, proofs and folds as another; crc32 by the table of its polynomial."""
+    parts = lambda n: " || ".join(_PART.format(x) for x in ("CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n} AS VARCHAR)", "text"))
+    return f"""
+WITH RECURSIVE crc_step AS (
+  SELECT range AS b, range AS c, 0 AS k FROM range(256)
+  UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM crc_step WHERE k < 8
+), crc AS MATERIALIZED (
+  SELECT list(c ORDER BY b) AS t FROM crc_step WHERE k = 8
+), rows AS (
+  SELECT doc_id, lang, sha256({parts('n_chars')}) AS leaf, sha256({parts('(n_chars + 1)')}) AS more,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) % 7 = 0 AS hit FROM documents, crc
+), leaves AS MATERIALIZED (
+  SELECT *, coalesce('=' || lang, '') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    CASE WHEN coalesce(hit, false) AND more IS NOT NULL THEN more ELSE leaf END AS start FROM rows
+), up AS (
+  SELECT tree, 0 AS level, i, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+  UNION ALL SELECT tree, level + 1, i // 2, sha256(h || coalesce(nxt, '')), (n + 1) // 2
+    FROM (SELECT *, lead(h) OVER (PARTITION BY tree ORDER BY i) AS nxt FROM up WHERE n > 1) WHERE i % 2 = 0
+), nodes AS MATERIALIZED (SELECT * FROM up
+), subroots AS MATERIALIZED (
+  SELECT tree, level AS height, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS i FROM nodes WHERE n = 1
+), over AS (
+  SELECT 0 AS level, i, subroot AS h, count(*) OVER () AS n FROM subroots
+  UNION ALL SELECT level + 1, i // 2, sha256(h || coalesce(nxt, '')), (n + 1) // 2
+    FROM (SELECT *, lead(h) OVER (ORDER BY i) AS nxt FROM over WHERE n > 1) WHERE i % 2 = 0
+), tops AS MATERIALIZED (SELECT * FROM over
+), fold AS (
+  SELECT doc_id, leaf, l.i AS place, tree, s.i AS j, height, 0 AS level, CASE WHEN height = 0 THEN s.i ELSE l.i END AS at, start AS h, '' AS proof FROM leaves l JOIN subroots s USING (tree)
+  UNION ALL SELECT doc_id, leaf, place, f.tree, j, height, f.level + 1,
+    CASE WHEN f.level + 1 = height THEN j ELSE f.at // 2 END,
+    sha256(CASE WHEN f.at % 2 = 1 THEN coalesce(x.h, y.h, '') || f.h ELSE f.h || coalesce(x.h, y.h, '') END), proof || coalesce(x.h, y.h, '')
+    FROM fold f LEFT JOIN nodes x ON f.level < height AND x.tree = f.tree AND x.level = f.level AND x.i = xor(f.at, 1)
+    LEFT JOIN tops y ON f.level >= height AND y.level = f.level - height AND y.i = xor(f.at, 1)
+    WHERE f.level < height + (SELECT max(level) FROM tops)
+)
+SELECT doc_id, leaf, subroot, (SELECT h FROM tops WHERE n = 1) AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = (SELECT h FROM tops WHERE n = 1) AS verified
+FROM fold JOIN subroots USING (tree) WHERE level = fold.height + (SELECT max(level) FROM tops)
+"""
+
+
+_OP13 = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), flags AS (
+  SELECT t.doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text),
+    regexp_matches(text, '[#$%&*|]'), coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), false)] AS f, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM texts t LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)
+), letters AS (SELECT unnest([1, 2, 3, 4, 5]) AS k
+), orders AS (
+  SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5
+), ran AS (
+  SELECT part, o, step, f[o[step]] AS fails, len(list_filter(o[1:step - 1], lambda x: f[x])) > 0 AS gone, len(list_filter(f, lambda x: x)) = 1 AS one, good, toxic
+  FROM flags, orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), sums AS (
+  SELECT part, o, step, count(*) FILTER (NOT gone AND NOT fails) AS kept, count(*) FILTER (NOT gone AND fails) AS removed, count(*) FILTER (gone AND fails) AS redundant,
+    count(*) FILTER (fails AND one) AS unique_fails, count(*) FILTER (NOT gone AND fails AND good) AS good_lost, count(*) FILTER (NOT gone AND fails AND toxic) AS toxic_lost
+  FROM ran GROUP BY ALL
+)
+SELECT part, array_to_string(list_transform(o, lambda x: chr(CAST(64 + x AS INTEGER))), '') AS filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, o[step]) AS BIGINT) AS shapley FROM sums
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": _OP1,
@@ -128,4 +198,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_minhash_dedup": _OP6,
         "op8_chat_format": _OP8,
         "op10_embedding_dedup": _OP10,
+        "op11_merkle_manifest": _op11(),
+        "op13_filter_audit": _OP13,
     }

@@ -19,6 +19,6 @@ def rows_of(frame):
 @pytest.mark.parametrize("name", sorted(sql.oracle_sql()))
 def test_twin(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "conversations", "embeddings"):
+    for t in ("documents", "benchmark", "pages", "conversations", "embeddings", "labels"):
         db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     assert rows_of(queries.queries()[name](spark, SF).toPandas()) == rows_of(db.execute(sql.oracle_sql()[name]).fetchdf())
