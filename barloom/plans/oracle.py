@@ -364,6 +364,8 @@ def _display() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import series_sql  # it builds on the expressions above
+
     hi40, lo40 = _full(f"max(high) OVER {_over(40)}", 40), _full(f"min(low) OVER {_over(40)}", 40)
     pct_value, pct_from = _rank("volume", 60, "rets")
     vp_value, vp_from = _rank("rv", 120, f"(SELECT *, {_SD('ret', 20)} * sqrt(252.0) AS rv FROM rets)")
@@ -522,9 +524,12 @@ SELECT genome_id, CAST(k AS INTEGER) AS k, date, {', '.join(f'{_r(c, 6)} AS {c}'
         "benchmark_curve": f"{_BASE} SELECT k, date, {_r('level')} AS level FROM {curve(420)}",
         "split_labels": f"{_BASE} SELECT CAST({_END} AS INTEGER) AS is_end, CAST({_N} AS INTEGER) AS total, strftime((SELECT date FROM market WHERE t = 260), '%Y-%m-%d') || ' to ' || strftime((SELECT date FROM market WHERE t = {_END} - 1), '%Y-%m-%d') AS is_label, strftime((SELECT date FROM market WHERE t = {_END}), '%Y-%m-%d') || ' to ' || strftime((SELECT max(date) FROM market), '%Y-%m-%d') AS oos_label",
         "split_marker": f"{_BASE} SELECT CAST(floor(({_END} - 260)::DOUBLE / greatest(1, {scored}) * 699 + 0.5) AS INTEGER) AS marker",
-        "benchmark_tail": f"""{_BASE}, c AS MATERIALIZED (SELECT * FROM {curve(420)}), p AS (SELECT greatest(0, 420 - CAST(floor(({_N} - {_END})::DOUBLE / greatest(1, {scored}) * 420 + 0.5) AS BIGINT)) AS cut),
-s AS (SELECT k - cut AS i, level / (SELECT level FROM c, p WHERE k = cut) AS v, 420 - cut AS m FROM c, p WHERE k >= cut)
-SELECT CAST(q.k AS INTEGER) AS k, {_r('v')} AS v FROM range(420) AS q(k) JOIN s ON s.i = least(m - 1, CAST(floor(q.k / 419.0 * (m - 1) + 0.5) AS BIGINT))""",
+        "benchmark_tail": f"""{_BASE}, sizes AS MATERIALIZED (SELECT count(*) AS n, greatest(460, CAST(floor(count(*) * 0.62) AS BIGINT)) AS e FROM market),
+p AS MATERIALIZED (SELECT n - 260 AS scored, greatest(0, 420 - CAST(floor((n - e)::DOUBLE / greatest(1, n - 260) * 420 + 0.5) AS BIGINT)) AS cut FROM sizes),
+pts AS MATERIALIZED (SELECT q.k, 260 + CAST(floor(q.k * scored / 420.0) AS BIGINT) AS t, cut FROM range(420) AS q(k), p),
+c AS MATERIALIZED (SELECT k - cut AS i, 420 - cut AS m, level FROM pts JOIN market USING (t) WHERE k >= cut),
+want AS MATERIALIZED (SELECT CAST(q.k AS INTEGER) AS k, least(m - 1, CAST(floor(q.k / 419.0 * (m - 1) + 0.5) AS BIGINT)) AS i FROM range(420) AS q(k), (SELECT 420 - cut AS m FROM p))
+SELECT k, {_r('level / first_level')} AS v FROM want JOIN c USING (i), (SELECT level AS first_level FROM c WHERE i = 0)""",
         "visible_series": f"{_BASE} SELECT symbol, count(*) AS n, {_r('sum(close)', 4)} AS closes FROM bars WHERE symbol IN ('A', 'R') GROUP BY symbol",
         "custom_universe": f"{_BASE} SELECT symbol, count(*) AS n, min(date) AS first, max(date) AS last FROM bars GROUP BY symbol",
         "inspect_curves": curves("g03", "N", 700, "equity drawdown benchmark position price"),
@@ -536,4 +541,4 @@ SELECT CAST(q.k AS INTEGER) AS k, {_r('v')} AS v FROM range(420) AS q(k) JOIN s
         "manual_curves": curves("g05", "R", 520, "equity drawdown"),
         "preview_index": f"{_BASE} SELECT CAST(t AS INTEGER) AS t, date, {_r('level / 100')} AS level FROM market",
         "preview_instruments": out["instrument_stats"],
-    }
+    } | series_sql.oracle_sql()

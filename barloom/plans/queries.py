@@ -891,4 +891,6 @@ def flagship(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    from . import series  # it builds on the queries above
+
+    return QUERIES | series.queries()
