@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import chains, kmeans, regimes
+from ..operators import apart, chains, kmeans, regimes
 from ..operators.asof import asof_join as joined_asof
 from ..operators.intervals import interval_join as joined_intervals
 from ..shared import Scratch
@@ -110,5 +110,15 @@ def kmeans_parallel(spark, d):
     return out.groupBy("cluster").agg(F.count("*").alias("n"), r(F.sum("distance"), 4).alias("cost"))
 
 
+# --- rows apart --------------------------------------------------------------------------------
+
+
+@query
+def greedy_apart(spark, d):
+    """The greedy choice among all embeddings, in order of vec_id, of vectors that are at least 0.9 apart."""
+    rows = _vectors(spark, d).select("id", F.col("id").alias("place"), "z")
+    return apart.first_apart(rows, 0.9).select(F.col("id").alias("vec_id"), "kept")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

@@ -73,4 +73,10 @@ FROM trades JOIN runs ON entry_t <= "end" AND start <= exit_t""",
         "symbol_regime_shares": _shares(),
         "symbol_regime_path": _best_path(),
         "kmeans_rounds": _kmeans(3),
+        "greedy_apart": """WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS z, row_number() OVER (ORDER BY vec_id) AS k FROM embeddings),
+near AS MATERIALIZED (SELECT a.k, coalesce(list(b.k) FILTER (b.k < a.k AND list_distance(a.z, b.z) < 0.9), []) AS before FROM v a, v b GROUP BY a.k),
+walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept
+  UNION ALL SELECT n.k, CASE WHEN list_has_any(kept, before) THEN kept ELSE list_append(kept, n.k) END FROM walk JOIN near n ON n.k = walk.k + 1),
+chosen AS (SELECT unnest(kept) AS k FROM walk WHERE k = (SELECT count(*) FROM v))
+SELECT vec_id, k IN (SELECT k FROM chosen) AS kept FROM v""",
     }

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import chains, kmeans, regimes
+from barloom.operators import apart, chains, kmeans, regimes
 from barloom.operators.asof import asof_join
 from barloom.operators.intervals import interval_join
 from barloom.shared import Scratch
@@ -188,3 +188,27 @@ def test_kmeans_edges(spark):
     assert got == {1: (1, 0.0), 2: (1, 0.0), 3: (None, None), 4: (None, None), 5: (None, None), 6: (None, None), 7: (None, None), 8: (0, 0.0), 9: (0, 4.0)}
     assert kmeans.kmeans_all(rows.where("z is null"), 3).where("cluster is not null").count() == 0
     assert kmeans.kmeans_all(rows.where("id < 3"), 3).where("cluster = 0").count() == 2
+
+
+# --- rows apart --------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("cells,walk,part", [(64, 2048, 8192), (5, 11, 7), (1, 3, 50)])
+def test_greedy_choice(spark, cells, walk, part):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((140, 3)).round(1)
+    x[40:70] = x[3] + rng.standard_normal((30, 3)) * 0.01  # near copies
+    x[100:110] = x[5]
+    place = rng.integers(0, 90, len(x))
+    rows = [(i, int(p), v.tolist()) for i, (p, v) in enumerate(zip(place, x))] + [(900, 1, None), (901, 1, [1.0]), (902, 1, [float("nan"), 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, place long, z array<double>").repartition(4)
+    kept = []
+    for i in sorted(range(len(x)), key=lambda i: (place[i], i)):
+        if all(np.sqrt(((x[i] - x[j]) ** 2).sum()) >= 0.8 for j in kept):
+            kept.append(i)
+    got = apart.first_apart(df, 0.8, cells=cells, walk=walk, part=part)
+    assert {r["id"]: r["kept"] for r in got.collect()} == {i: i in kept for i in range(len(x))}
+    if walk == 2048:
+        few = apart.first_apart(df, 0.8, most=5)
+        assert {r["id"] for r in few.where("kept").collect()} == set(kept[:5])
+        assert apart.first_apart(df.limit(0), 0.8).count() == 0
