@@ -8,12 +8,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import apart, chains, kmeans, regimes
+from ..operators import apart, chains, kmeans, regimes, sliding
 from ..operators.asof import asof_join as joined_asof
 from ..operators.intervals import interval_join as joined_intervals
 from ..shared import Scratch
 from ..streaming.bars import stream_bars
-from .queries import Query, _path, _trades, r, with_returns
+from ..streaming.online import Rule, batch_trades
+from ..streaming.sessions import sessions
+from .queries import Query, _path, _trades, bars, r, with_returns
 
 QUERIES: dict[str, Query] = {}
 STATES = 3
@@ -47,6 +49,37 @@ def interval_join(spark, d):
     )
 
 
+@query
+def event_sessions(spark, d):
+    """The streaming sessions on a batch of events: runs of a user's events with gaps under two hours."""
+    out = sessions(spark.read.parquet(f"{d}/events.parquet"), "2 hours")
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return out.select("user_id", text("started"), text("ended"), "events", r("total", 4).alias("total"))
+
+
+@query
+def channel_trades(spark, d):
+    """The batch ledger of the online channel rule on three-hour bars of the events."""
+    trades = batch_trades(stream_bars(spark.read.parquet(f"{d}/events.parquet"), "3 hours"), Rule(8, 4))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return trades.select("symbol", "direction", text("opened"), text("closed"), "entry_price", "exit_price", "reason")
+
+
+# --- sliding windows of any width ------------------------------------------------------------
+
+
+@query
+def sliding_extremes(spark, d):
+    """Highest and lowest close of the last 250 bars."""
+    return sliding.extremes(bars(spark, d), "close", 250)
+
+
+@query
+def sliding_percentile(spark, d):
+    """The percentile of volume among the last 500 bars."""
+    return sliding.percentiles(bars(spark, d), "volume", 500).select("symbol", "t", r("value").alias("value"))
+
+
 # --- hidden Markov models of every symbol --------------------------------------------------
 
 

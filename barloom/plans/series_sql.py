@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle import _BASE, _BT, _PATH, _r
+from .oracle import _BASE, _BT, _PATH, _full, _over, _r, _rank
 
 _STATES = (1, 2, 3)
 _MOVE = lambda i, j: "0.9" if i == j else "0.05"
@@ -62,8 +62,33 @@ c{k + 1} AS MATERIALIZED (SELECT c, list(x ORDER BY k) AS z FROM (SELECT c, k, a
     return f"{out} SELECT vec_id, CAST(c AS INTEGER) AS cluster, {_r('d', 6)} AS distance FROM a{rounds}"
 
 
+def _channel(entry: int, leave: int, idle: str) -> str:
+    w = lambda f, n: f"CASE WHEN i > {n} THEN {f} OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) END"
+    stays = "CASE WHEN k.silent OR CASE WHEN g.side > 0 THEN k.leave_up ELSE k.leave_down END THEN 0 ELSE g.side END"
+    return f"""WITH RECURSIVE raw AS (SELECT event_type AS symbol, time_bucket(INTERVAL 3 HOUR, ts) AS ts, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close FROM events GROUP BY 1, 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM raw),
+k AS MATERIALIZED (SELECT symbol, ts, close, i, coalesce(ts - lag(ts) OVER o > INTERVAL {idle}, false) AS silent, lag(ts) OVER o AS last_ts, lag(close) OVER o AS last_close,
+  coalesce(close > {w('max(high)', entry)}, false) AS up, coalesce(close < {w('min(low)', entry)}, false) AS down,
+  coalesce(close < {w('min(low)', leave)}, false) AS leave_up, coalesce(close > {w('max(high)', leave)}, false) AS leave_down FROM b WINDOW o AS (PARTITION BY symbol ORDER BY ts)),
+g AS (SELECT symbol, i, 0 AS side, 0 AS was, NULL::TIMESTAMP AS opened, NULL::DOUBLE AS price, NULL::TIMESTAMP AS was_opened, NULL::DOUBLE AS was_price, false AS closes FROM k WHERE i = 1
+  UNION ALL SELECT symbol, i, CASE WHEN stay <> 0 THEN stay ELSE new END, side, CASE WHEN stay <> 0 THEN opened WHEN new <> 0 THEN ts END, CASE WHEN stay <> 0 THEN price WHEN new <> 0 THEN close END,
+    opened, price, side <> 0 AND stay = 0
+  FROM (SELECT k.symbol, k.i, k.ts, k.close, g.side, g.opened, g.price, CASE WHEN g.side = 0 THEN 0 ELSE {stays} END AS stay, CASE WHEN k.up THEN 1 WHEN k.down THEN -1 ELSE 0 END AS new
+    FROM g JOIN k ON k.symbol = g.symbol AND k.i = g.i + 1))
+SELECT symbol, CAST(was AS INTEGER) AS direction, strftime(was_opened, '%Y-%m-%d %H:%M:%S') AS opened, strftime(CASE WHEN silent THEN last_ts + INTERVAL {idle} ELSE ts END, '%Y-%m-%d %H:%M:%S') AS closed,
+  was_price AS entry_price, CASE WHEN silent THEN last_close ELSE close END AS exit_price, CASE WHEN silent THEN 'expired' ELSE 'signal' END AS reason
+FROM g JOIN k USING (symbol, i) WHERE closes"""
+
+
 def oracle_sql() -> dict[str, str]:
+    pct_value, pct_from = _rank("volume", 500, "rets")
     return {
+        "event_sessions": f"""WITH e AS (SELECT user_id, ts, value, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started, strftime(max(ts) + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS ended, count(*) AS events, {_r('sum(value)', 4)} AS total FROM s GROUP BY user_id, k""",
+        "channel_trades": _channel(8, 4, "6 HOUR"),
+        "sliding_extremes": f"{_BASE} SELECT symbol, t, {_full(f'max(close) OVER {_over(250)}', 250)} AS highest, {_full(f'min(close) OVER {_over(250)}', 250)} AS lowest FROM bars",
+        "sliding_percentile": f"{_BASE} SELECT symbol, t, {_r(pct_value)} AS value FROM {pct_from}",
         "asof_join": f"""WITH bars AS (SELECT event_type AS symbol, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS ended, arg_max(value, ts) AS close FROM events GROUP BY 1, 2),
 found AS (SELECT event_id, event_type AS symbol, close, epoch_us(ts) - epoch_us(ended) AS age FROM events e ASOF LEFT JOIN bars b ON e.event_type = b.symbol AND e.ts >= b.ended)
 SELECT event_id, symbol, CASE WHEN age <= 7200000000 THEN close END AS prior_close, CASE WHEN age <= 7200000000 THEN {_r('age / 1e6', 3)} END AS age FROM found""",

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import apart, chains, kmeans, regimes
+from barloom.operators import apart, chains, kmeans, regimes, sliding
 from barloom.operators.asof import asof_join
 from barloom.operators.intervals import interval_join
 from barloom.shared import Scratch
@@ -212,3 +212,31 @@ def test_greedy_choice(spark, cells, walk, part):
         few = apart.first_apart(df, 0.8, most=5)
         assert {r["id"] for r in few.where("kept").collect()} == set(kept[:5])
         assert apart.first_apart(df.limit(0), 0.8).count() == 0
+
+
+# --- sliding windows ---------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("w", [1, 2, 7, 50])
+def test_sliding(spark, w):
+    rng = np.random.default_rng(w)
+    rows = [(s, t, None if rng.random() < 0.2 else float(rng.integers(0, 9))) for s, n in (("a", 61), ("b", 5), ("c", 1)) for t in range(n)]
+    df = spark.createDataFrame(rows, "symbol string, t int, x double").repartition(4)
+    top = {(r["symbol"], r["t"]): (r["highest"], r["lowest"]) for r in sliding.extremes(df, "x", w).collect()}
+    rank = {(r["symbol"], r["t"]): r["value"] for r in sliding.percentiles(df, "x", w).collect()}
+    values = {(s, t): x for s, t, x in rows}
+    assert set(top) == set(rank) == set(values)
+    for (s, t), x in values.items():
+        held = [values[s, k] for k in range(max(0, t - w + 1), t + 1) if values[s, k] is not None]
+        full = t >= w - 1
+        assert top[s, t] == ((max(held), min(held)) if full and held else (None, None))
+        want = (sum(h <= x for h in held) - 1) / (len(held) - 1) if full and x is not None and len(held) > 1 else None
+        assert rank[s, t] == want
+
+
+def test_ranks_in_prefixes():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        n, q = rng.integers(0, 40), rng.integers(1, 20)
+        rank, low, end = rng.integers(0, 9, n), rng.integers(0, 9, q), rng.integers(0, n + 1, q)
+        assert sliding.at_most(rank, low, end).tolist() == [(rank[:e] <= x).sum() for x, e in zip(low, end)]
