@@ -4,8 +4,10 @@ A table's hash of a normalised vector is `width` quantised random projections
 floor((a . x + b) / step). Cosine 0.9 is a distance of 0.447, at which one projection with
 step 1.6 agrees with probability 0.78: with 8 projections and 40 tables a pair at the
 threshold is missed with probability 0.003, closer pairs far less often. Equal vectors
-are one representative with a count. Bucket members are compared exactly, in double
-precision, in blocks of bounded size; a pair counts in the first table it shares.
+are one representative with a count. Only ids are posted; buckets of one go, as do those with
+the members of an earlier table's bucket, and vectors are joined to the rest. Members are compared exactly, in double
+precision, in blocks of bounded size; a pair counts in the first table it shares, and the
+largest set of members that met in one earlier bucket isn't multiplied again.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, Tables, components, each_task, mix, prepare, spread, table
+from .common import Tables, components, each_task, mix, prepare, spread, table
 
 #: Vectors of a bucket in a block; a task holds two blocks. Pairs that are looked at together.
-VECTORS, PAIRS = 2048, 1 << 17
+VECTORS, PAIRS = 2048, 1 << 19
 
 _PLANES: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -60,25 +62,43 @@ def _by_size(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[np.ndarray, n
         yield rows, flat[at[rows][:, None] + np.arange(n)]
 
 
-def _hash(width: int, tables: int, step: float, with_vector: bool):
+def _hash(width: int, tables: int, step: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, vectors in _by_size(batch.column("embedding")):
                 for lo in range(0, len(rows), 64):
                     part = rows[lo : lo + 64]
                     found = buckets(_unit(vectors[lo : lo + 64]), width, tables, step)
-                    cols = [pa.array(found.ravel())]
-                    names = ["bucket"]
-                    if with_vector:
-                        at = pa.array(np.repeat(part, tables))
-                        cols += [batch.column("rep").take(at), batch.column("copies").take(at), batch.column("embedding").take(at)]
-                        cols += [pa.array(np.tile(np.arange(tables, dtype=np.int32), len(part)))]
-                        names += ["rep", "copies", "embedding", "table_no"]
-                    yield pa.RecordBatch.from_arrays(cols, names)
+                    reps = batch.column("rep").take(pa.array(np.repeat(part, tables)))
+                    numbers = pa.array(np.tile(np.arange(tables, dtype=np.int32), len(part)))
+                    yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), reps, numbers], ["bucket", "rep", "table_no"])
 
     return run
 
 
+def _joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest row of each row's component, once rows x are linked with rows y; label: before."""
+    while len(x):
+        a, b = label[x], label[y]
+        apart = a != b
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        low = np.minimum(a, b)
+        np.minimum.at(label, np.maximum(a, b), low)
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
+def _settled(own: np.ndarray, number: int) -> np.ndarray:
+    """Of the rows' buckets, rows whose pairs with each other all lie in one bucket of an earlier table, and so were counted there: the largest such set."""
+    best = np.zeros(len(own), bool)
+    for k in range(number):
+        values, at, n = np.unique(own[:, k], return_inverse=True, return_counts=True)
+        if n.max() > best.sum():
+            best = at == n.argmax()
+    return best
+
+
 def _compare(cosine: float, width: int, tables: int, step: float):
     def work(rows: pa.Table) -> pa.Table | None:
         """Per vector, how many others it links to in this block first; and links that span its components."""
@@ -88,43 +108,34 @@ def _compare(cosine: float, width: int, tables: int, step: float):
         sizes = list(_by_size(rows.column("embedding")))
         if len(sizes) > 1:  # unlike sizes only meet by an accident of hashing
             return None
-        ids, own, copies = (rows.column(c).to_numpy() for c in ("rep", "_own", "copies"))
+        ids, block, copies = (rows.column(c).to_numpy() for c in ("rep", "_own", "copies"))
         number = rows.column("table_no")[0].as_py()
         cross = rows.column("_i")[0].as_py() != rows.column("_j")[0].as_py()
         unit = _unit(sizes[0][1])
-        own_buckets = None
-        count = np.zeros(n, np.int64)
-        forest = Forest(n)
-        some_rows = max(1, PAIRS // n)
-        for lo in range(0, n, some_rows):
-            near = unit[lo : lo + some_rows] @ unit.T >= cosine
-            x, y = np.nonzero(near)
-            x += lo
+        own = buckets(unit, width, tables, step)[:, :number]
+        settled = _settled(own, number) if n > 64 else np.zeros(n, bool)
+        order = np.argsort(settled, kind="stable")  # rows that still have pairs among themselves come first
+        ids, block, copies, unit, own = ids[order], block[order], copies[order], unit[order], own[order]
+        label, count = np.arange(n), np.zeros(n, np.int64)
+        open_rows, some_rows = n - int(settled.sum()), max(1, PAIRS // n)
+        for lo in range(0, open_rows, some_rows):
+            hi = min(lo + some_rows, open_rows)
+            x, y = np.nonzero(unit[lo:hi] @ unit[lo:].T >= cosine)
+            x, y = x + lo, y + lo
             keep = x < y
             if cross:
-                keep &= own[x] != own[y]
+                keep &= block[x] != block[y]
             x, y = x[keep], y[keep]
-            if not len(x):
-                continue
-            if own_buckets is None:
-                own_buckets = buckets(unit, width, tables, step)
-            first = ~(own_buckets[x, :number] == own_buckets[y, :number]).any(axis=1)
-            x, y = x[first], y[first]
-            np.add.at(count, x, copies[y])
-            np.add.at(count, y, copies[x])
-            for a, b in zip(x.tolist(), y.tolist()):
-                forest.join(a, b)
-        if not forest.links:
+            if number and len(x):
+                first = ~(own[x] == own[y]).any(axis=1)
+                x, y = x[first], y[first]
+            count += np.bincount(x, copies[y], n).astype(np.int64) + np.bincount(y, copies[x], n).astype(np.int64)
+            label = _joined(label, x, y)
+        some, taken = np.flatnonzero(count), np.flatnonzero(label != np.arange(n))
+        if not len(some):
             return None
-        a, b = np.array(forest.links, np.int64).T
-        some = np.flatnonzero(count)
-        none = pa.nulls(len(some), pa.int64())
-        return pa.concat_tables(
-            [
-                pa.table({"a": ids[a], "b": pa.array(ids[b]), "n": np.zeros(len(a), np.int64)}),
-                pa.table({"a": ids[some], "b": none, "n": count[some]}),
-            ]
-        )
+        link = pa.table({"a": ids[taken], "b": pa.array(ids[label[taken]]), "n": np.zeros(len(taken), np.int64)})
+        return pa.concat_tables([link, pa.table({"a": ids[some], "b": pa.nulls(len(some), pa.int64()), "n": count[some]})])
 
     return work
 
@@ -155,21 +166,16 @@ def _near_vectors(vectors: DataFrame, cosine: float, width: int, hashes: int, st
         & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
     )
     groups = tables.write(rows.where(sound).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vectors")
-    hot = tables.write(
-        groups.select("embedding").mapInArrow(_hash(width, hashes, step, False), "bucket long")
-        .groupBy("bucket").agg(F.count("*").alias("size")).where(F.col("size") > block),
-        "hot",
-    )
-    posted = groups.mapInArrow(
-        _hash(width, hashes, step, True), f"bucket long, rep long, copies long, embedding {kind}, table_no int"
-    )
-    sized = posted.join(hot, "bucket", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    posted = groups.mapInArrow(_hash(width, hashes, step), "bucket long, rep long, table_no int")
+    posted = tables.write(posted, "postings")
+    # of buckets with the same members, told by 128 bits, the one of the first table: vectors that meet everywhere are compared once
+    sets = posted.groupBy("bucket").agg(
+        F.count("*").alias("size"), F.min("table_no").alias("table_no"), *(F.bit_xor(F.xxhash64(F.lit(k), F.col("rep"))).alias(f"h{k}") for k in (1, 2))
+    ).where("size > 1")
+    once = sets.groupBy("size", "h1", "h2").agg(F.min(F.struct("table_no", "bucket")).alias("first")).select("size", "first.bucket")
+    members = spread(posted.join(once, "bucket"), "bucket", "rep", "size", block).join(groups, "rep")
     found = tables.write(
-        each_task(
-            spread(sized, "bucket", "rep", "size", block), _compare(cosine, width, hashes, step), "a long, b long, n long",
-            ["rep", "copies", "embedding", "table_no", "_own"],
-        ),
-        "near",
+        each_task(members, _compare(cosine, width, hashes, step), "a long, b long, n long", ["rep", "copies", "embedding", "table_no", "_own"]), "near"
     )
     linked = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     settled = components(found.where("b is not null").select("a", "b"), tables).withColumnRenamed("id", "rep")
