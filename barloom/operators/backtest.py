@@ -14,8 +14,9 @@ from ..schema import RESIZE_TOLERANCE
 from .arrays import Series
 from .signals import signals
 
-#: Blocks that the genomes of a symbol are dealt to.
-BLOCKS = 8
+#: Blocks that the genomes of a symbol are dealt to, and the least partitions of all blocks. Blocks are work, not bytes: adaptive
+#: execution would put them into one task, but leaves a number of partitions that is asked for as it is.
+BLOCKS, PARTITIONS = 3, 32
 
 
 @dataclass
@@ -173,6 +174,7 @@ def by_block(genomes: DataFrame, packed: DataFrame, work: Callable[[Series, pd.D
     Genomes alone are dealt, by symbol and a hash into `blocks` blocks; a symbol's packed arrays are
     copied once for each of its blocks, and never for a genome. An unknown symbol drops the genome (see unknown_symbols).
     """
+    parts = max(PARTITIONS, int(genomes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cols = ["genome_id", "family", "symbol", "side", "params", "risk"]
     dealt = genomes.select(*cols).withColumn("block", F.pmod(F.xxhash64("genome_id"), F.lit(blocks)))
     used = dealt.select("symbol", F.col("block").alias("of_block")).distinct()
@@ -184,7 +186,8 @@ def by_block(genomes: DataFrame, packed: DataFrame, work: Callable[[Series, pd.D
         row = right.iloc[0]
         return work(Series(*(np.asarray(row[f], np.float64) for f in ("open", "high", "low", "close", "bench"))), left)
 
-    return dealt.groupBy("symbol", "block").cogroup(series.groupBy("of_symbol", "of_block")).applyInPandas(run_block, schema)
+    left, right = dealt.repartition(parts, "symbol", "block"), series.repartition(parts, "of_symbol", "of_block")
+    return left.groupBy("symbol", "block").cogroup(right.groupBy("of_symbol", "of_block")).applyInPandas(run_block, schema)
 
 
 def results_of(s: Series, rows: pd.DataFrame, fee: float) -> list[Result]:

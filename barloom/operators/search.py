@@ -111,12 +111,15 @@ def _generations(packed: DataFrame, config: Search, progress: Callable[[dict], N
     draw, ids, run = R.mulberry32(config.seed ^ 0x9E3779B9), G.Ids(), Run()
     people = [G.random_genome(draw, ids, config.families, symbols, config.vol_target) for _ in range(config.population)]
     hall: dict[str, Scored] = {}
+    known: dict[str, float] = {}
     for turn in range(config.generations):
         if stop and stop():
             break
         began = time.time()
-        known = score_population(G.frame(spark, people), packed, config, end).toPandas().set_index("genome_id")["fitness"]
-        scored = sorted((Scored(g, float(known[g.genome_id])) for g in people), key=lambda s: -s.fitness)
+        new = [g for g in people if g.genome_id not in known]  # elites keep their fitness
+        known = {g.genome_id: known[g.genome_id] for g in people if g.genome_id in known}
+        known |= {r["genome_id"]: r["fitness"] for r in score_population(G.frame(spark, new), packed, config, end).collect()}
+        scored = sorted((Scored(g, known[g.genome_id]) for g in people), key=lambda s: -s.fitness)
         run.evaluated += len(scored)
         hall |= {s.genome.genome_id: s for s in scored[: max(20, math.floor(config.population * 0.3))]}
         fits = [s.fitness for s in scored]
