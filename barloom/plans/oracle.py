@@ -541,4 +541,5 @@ SELECT k, {_r('level / first_level')} AS v FROM want JOIN c USING (i), (SELECT l
         "manual_curves": curves("g05", "R", 520, "equity drawdown"),
         "preview_index": f"{_BASE} SELECT CAST(t AS INTEGER) AS t, date, {_r('level / 100')} AS level FROM market",
         "preview_instruments": out["instrument_stats"],
+        "signal_function": out["signal_all"],
     } | series_sql.oracle_sql()

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import timedelta
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import apart, chains, kmeans, regimes, sliding
+from ..operators import apart, chains, kmeans, regimes, sliding, table_functions
 from ..operators.asof import asof_join as joined_asof
 from ..operators.intervals import interval_join as joined_intervals
-from ..shared import Scratch
+from ..shared import Scratch, shared_dir
+from ..sources import ohlcv
+from ..sources.genomes import FIXED
 from ..streaming.bars import stream_bars
 from ..streaming.online import Rule, batch_trades
 from ..streaming.sessions import sessions
-from .queries import Query, _path, _trades, bars, r, with_returns
+from .queries import Query, _packed, _path, _trades, bars, r, with_returns
 
 QUERIES: dict[str, Query] = {}
 STATES = 3
@@ -153,5 +156,36 @@ def greedy_apart(spark, d):
     return apart.first_apart(rows, 0.9).select(F.col("id").alias("vec_id"), "kept")
 
 
+# --- SQL and sources ---------------------------------------------------------------------------
+
+
+@query
+def signal_function(spark, d):
+    """signal() called from SQL for every fixed genome, on the bars of its symbol."""
+    table_functions.register(spark)
+    _packed(spark, d).select("symbol", F.posexplode(F.arrays_zip("open", "high", "low", "close", "bench")).alias("t", "b")).select("symbol", "t", "b.*").createOrReplaceTempView("bars_with_bench")
+    calls = []
+    for g, family, symbol, side, params, _ in FIXED:
+        pairs = ", ".join(f"'{k}', {float(v)!r}D" for k, v in params.items())
+        calls.append(f"SELECT '{g}' AS genome_id, round(signal, 8) + 0.0 AS signal FROM signal(TABLE(SELECT * FROM bars_with_bench WHERE symbol = '{symbol}'), '{family}', map({pairs}), side => '{side}')")
+    long, short = (f"count(CASE WHEN signal {op} 0 THEN 1 END)" for op in "><")
+    return spark.sql(f"SELECT genome_id, {long} AS long_bars, {short} AS short_bars, round(sum(signal), 5) + 0.0 AS total FROM ({' UNION ALL '.join(calls)}) GROUP BY genome_id")
+
+
+@query
+def ohlcv_files(spark, d):
+    """Bars written with format("ohlcv") and read back for two symbols from one day on."""
+    ohlcv.register(spark)
+    path = f"{shared_dir(spark)}/barloom-ohlcv-{uuid.uuid4().hex}"
+    bars(spark, d).select("symbol", "date", *ohlcv.FIELDS).write.format("ohlcv").mode("append").save(path)
+    some = spark.read.format("ohlcv").load(path).where("symbol in ('A', 'R') and date >= date'1995-01-01'")
+    out = some.groupBy("symbol").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"), r(F.sum("close"), 4).alias("closes"), r(F.sum("volume"), 4).alias("volumes"))
+    with Scratch(spark) as scratch:
+        out = scratch.keep(scratch.write(out, "ohlcv-sums"))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return out
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

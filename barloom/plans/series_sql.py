@@ -83,6 +83,7 @@ FROM g JOIN k USING (symbol, i) WHERE closes"""
 def oracle_sql() -> dict[str, str]:
     pct_value, pct_from = _rank("volume", 500, "rets")
     return {
+        "ohlcv_files": f"{_BASE} SELECT symbol, count(*) AS n, min(date) AS first, max(date) AS last, {_r('sum(close)', 4)} AS closes, {_r('sum(volume)', 4)} AS volumes FROM bars WHERE symbol IN ('A', 'R') AND date >= DATE '1995-01-01' GROUP BY symbol",
         "event_sessions": f"""WITH e AS (SELECT user_id, ts, value, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started, strftime(max(ts) + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS ended, count(*) AS events, {_r('sum(value)', 4)} AS total FROM s GROUP BY user_id, k""",

@@ -14,7 +14,7 @@ from barloom.plans import oracle, queries
 
 ROOT = Path(__file__).resolve().parents[1]
 SF = os.environ.get("TWIN_DIR", "/root/testdata/sf0.01")
-SOME = ("flagship", "asof_join", "interval_join", "symbol_regime_shares", "symbol_regime_path", "kmeans_rounds", "greedy_apart", "event_sessions", "channel_trades", "sliding_extremes", "sliding_percentile", "benchmark_tail", "bars_weekly", "csv_clean_rows", "vol_percentile", "rsi", "signal_carry", "backtest_trades", "metrics_is_oos", "regime_segments", "genome_repair", "silhouette")
+SOME = ("flagship", "asof_join", "interval_join", "symbol_regime_shares", "symbol_regime_path", "kmeans_rounds", "greedy_apart", "signal_function", "ohlcv_files", "event_sessions", "channel_trades", "sliding_extremes", "sliding_percentile", "benchmark_tail", "bars_weekly", "csv_clean_rows", "vol_percentile", "rsi", "signal_carry", "backtest_trades", "metrics_is_oos", "regime_segments", "genome_repair", "silhouette")
 CHOSEN = sorted(oracle.oracle_sql()) if os.environ.get("BARLOOM_TWINS") == "all" else SOME
 
 
