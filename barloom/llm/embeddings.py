@@ -23,6 +23,8 @@ from .common import Tables, components, each_task, mix, prepare, spread, table
 
 #: Vectors of a bucket in a block; a task holds two blocks. Pairs that are looked at together.
 VECTORS, PAIRS = 2048, 1 << 19
+#: Members of a bucket whose product is looked at before anything else is done.
+SMALL = 256
 
 _PLANES: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -62,6 +64,16 @@ def _by_size(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[np.ndarray, n
         yield rows, flat[at[rows][:, None] + np.arange(n)]
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray | None:
+    """The vectors of a bucket, or None if they are of unlike sizes, which meet by an accident of hashing only."""
+    lists = column.chunk(0) if column.num_chunks == 1 else column.combine_chunks()
+    ends = lists.offsets.to_numpy()
+    size = int(ends[1] - ends[0])
+    if ends[-1] - ends[0] != size * len(lists) or (np.diff(ends) != size).any():
+        return None
+    return lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]].reshape(-1, size)
+
+
 def _hash(width: int, tables: int, step: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,18 +114,17 @@ def _settled(own: np.ndarray, number: int) -> np.ndarray:
 def _compare(cosine: float, width: int, tables: int, step: float):
     def work(rows: pa.Table) -> pa.Table | None:
         """Per vector, how many others it links to in this block first; and links that span its components."""
-        n = rows.num_rows
-        if n < 2:
+        n, vectors = rows.num_rows, _matrix(rows.column("embedding"))
+        if n < 2 or vectors is None:
             return None
-        sizes = list(_by_size(rows.column("embedding")))
-        if len(sizes) > 1:  # unlike sizes only meet by an accident of hashing
+        unit = _unit(vectors)
+        if n <= SMALL and np.count_nonzero(unit @ unit.T >= cosine) <= n:  # each is near itself only, as in most buckets
             return None
         ids, block, copies = (rows.column(c).to_numpy() for c in ("rep", "_own", "copies"))
         number = rows.column("table_no")[0].as_py()
         cross = rows.column("_i")[0].as_py() != rows.column("_j")[0].as_py()
-        unit = _unit(sizes[0][1])
-        own = buckets(unit, width, tables, step)[:, :number]
-        settled = _settled(own, number) if n > 64 else np.zeros(n, bool)
+        own = buckets(unit, width, tables, step)[:, :number] if number else np.zeros((n, 0), np.int64)
+        settled = _settled(own, number) if n > SMALL else np.zeros(n, bool)
         order = np.argsort(settled, kind="stable")  # rows that still have pairs among themselves come first
         ids, block, copies, unit, own = ids[order], block[order], copies[order], unit[order], own[order]
         label, count = np.arange(n), np.zeros(n, np.int64)
