@@ -39,12 +39,12 @@ def text_failures(text: Column) -> dict[str, Column]:
     }
 
 
-def copies(rows: DataFrame) -> DataFrame:
+def copies(rows: DataFrame, tables: Tables) -> DataFrame:
     """rows (doc_id, digest, ...) with `copy`: a smaller doc_id has the same digest.
 
     The smallest doc_id of a digest comes from partial minima, and only digests of several rows are
-    joined back; a hot digest is the large side of that join, which adaptive execution splits."""
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    joined back, from a written table: so a hot digest is a side of the join that adaptive execution can split."""
+    first = tables.write(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
     return rows.join(first, "digest", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))).drop("first")
 
 
@@ -62,7 +62,7 @@ def masks(docs: DataFrame, labels: DataFrame, tables: Tables) -> DataFrame:
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(
         F.max(F.coalesce(F.col("quality") == 1, F.lit(False)).cast("int")).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False)).cast("int")).alias("toxic")
     )
-    rows = copies(rows).join(marks, "doc_id", "left")
+    rows = copies(rows, tables).join(marks, "doc_id", "left")
     mask = F.col("mask") + F.col("copy").cast("int") * (1 << len(flags))
     return rows.groupBy("part", mask.alias("mask")).agg(
         F.count("*").alias("n"), *(F.sum(F.coalesce(c, F.lit(0))).cast("long").alias(c) for c in ("good", "toxic"))
