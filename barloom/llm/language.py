@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 from .common import prepare, thinned
 from .ngrams import SLOTS, batches_of, has_letter, present
 
-#: Training texts and landmarks of each language at most.
+#: Training texts and landmarks of each language at most, and of all languages, which share them; each has a text, however many there are.
 TRAIN_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE = 400, 32
+TRAIN_TEXTS, LANDMARKS = 6_400, 1_024
+#: Cells of the incidence matrix that are added up at once, and landmarks up to which they are stored as what they are added as.
+CELLS, FEW_LANDMARKS = 1 << 24, 256
 
 #: Least norm of the Nyström map; least lead of a claim if the norm is under WELL_KNOWN. Held-out rows of sf0.1 have
 #: norms from 0.284 on; low leads with high norms are texts of two learned languages. Texts under SHORT
@@ -40,41 +43,65 @@ class Model:
     root: np.ndarray  # landmarks x rank: kernel rows times it are the Nyström map
 
     def kernel(self, slots: np.ndarray, at: np.ndarray) -> np.ndarray:
-        rows = self.column[slots]
-        out = np.zeros((len(at) - 1, self.incidence.shape[1]), np.float64)
+        rows, m = self.column[slots], self.incidence.shape[1]
+        out = np.zeros((len(at) - 1, m), np.float64)
         full = np.flatnonzero(np.diff(at))
-        if len(full):
-            out[full] = np.add.reduceat(self.incidence[rows], at[full], axis=0)
+        lo = 0
+        while lo < len(full):  # as many texts at once as have CELLS cells, or one
+            begin = at[full[lo]]
+            hi = max(lo + 1, int(np.searchsorted(at[full + 1], begin + CELLS // max(1, m), side="right")))
+            part = full[lo:hi]
+            out[part] = np.add.reduceat(self.incidence[rows[begin : at[part[-1] + 1]]], at[part] - begin, axis=0, dtype=np.float32)
+            lo = hi
         size = np.sqrt(np.maximum(1, np.diff(at)))
         return out / size[:, None] / self.own[None, :]
 
 
-def train(rows: list[np.ndarray], languages: list[str], per_language: int = LANDMARKS_PER_LANGUAGE, ridge: float = 1e-2) -> Model:
-    """rows: the slots of each text's n-grams. The first `per_language` texts of each language are its landmarks."""
-    names = sorted(set(languages))
-    landmarks = [i for name in names for i in [k for k, x in enumerate(languages) if x == name][:per_language]]
-    known = np.unique(np.concatenate([rows[i] for i in landmarks])) if landmarks else np.zeros(0, np.int64)
+def _landmarks(languages: np.ndarray, per_language: int, most: int) -> np.ndarray:
+    """The first rows of each language, in order of the languages' names; where they are more than `most`, the very first ones of the first languages."""
+    names, of, count = np.unique(languages, return_inverse=True, return_counts=True)
+    order = np.argsort(of, kind="stable")
+    place = np.empty(len(of), np.int64)
+    place[order] = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)  # of a row in its language
+    some = np.flatnonzero(place < per_language)
+    some = some[np.lexsort((of[some], place[some]))][:most]
+    return some[np.lexsort((place[some], of[some]))]
+
+
+def train(rows: list[np.ndarray], languages: list[str], per_language: int | None = None, ridge: float = 1e-2) -> Model:
+    """rows: the slots of each text's n-grams. The first `per_language` texts of each language are its landmarks, LANDMARKS in all at most.
+
+    The kernel rows of the texts are never held together: sums of their outer products, and of the rows of each language,
+    are all that the regression needs."""
+    said = np.array(languages, dtype=object).astype(str)
+    names, of = np.unique(said, return_inverse=True)
+    landmarks = _landmarks(said, per_language or min(LANDMARKS_PER_LANGUAGE, max(1, LANDMARKS // max(1, len(names)))), LANDMARKS)
+    known = np.unique(np.concatenate([rows[i] for i in landmarks])) if len(landmarks) else np.zeros(0, np.int64)
     column = np.full(SLOTS, len(known), np.int64)
     column[known] = np.arange(len(known))
-    incidence = np.zeros((len(known) + 1, len(landmarks)), np.float32)
+    incidence = np.zeros((len(known) + 1, len(landmarks)), np.float32 if len(landmarks) <= FEW_LANDMARKS else np.uint8)
     for k, i in enumerate(landmarks):
         incidence[column[rows[i]], k] = 1
     own = np.sqrt(np.array([max(1, len(rows[i])) for i in landmarks], np.float64))
-    model = Model(names, column, incidence, own, np.zeros((len(landmarks), len(names))), np.zeros((len(landmarks), 0)))
-    if not names:
+    model = Model(names.tolist(), column, incidence, own, np.zeros((len(landmarks), len(names))), np.zeros((len(landmarks), 0)))
+    if not len(names):
         return model
-    k_nm = np.concatenate([model.kernel(*batches_of(rows[lo : lo + 64])) for lo in range(0, len(rows), 64)])
-    k_mm = k_nm[landmarks]
+    mapped = lambda some: np.concatenate([model.kernel(*batches_of(rows[i] for i in some[lo : lo + 64])) for lo in range(0, len(some), 64)])
+    k_mm = mapped(landmarks)
     value, vector = np.linalg.eigh((k_mm + k_mm.T) / 2)
     keep = value > 1e-8 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])
     model.root = root
-    z = k_nm @ root
-    y = np.where(np.array(languages)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     # rows weigh the same for each language in sum
-    weight = np.array([len(languages) / (len(names) * languages.count(x)) for x in languages])
-    gram = (z * weight[:, None]).T @ z + ridge * np.eye(z.shape[1])
-    model.weights = root @ np.linalg.solve(gram, (z * weight[:, None]).T @ y)
+    weight = len(rows) / (len(names) * np.bincount(of))[of]
+    gram, sums = ridge * np.eye(root.shape[1]), np.zeros((len(names), root.shape[1]))
+    for lo in range(0, len(rows), 512):
+        z = mapped(np.arange(lo, min(lo + 512, len(rows)))) @ root
+        weighed = z * weight[lo : lo + 512, None]
+        gram += weighed.T @ z
+        np.add.at(sums, of[lo : lo + 512], weighed)
+    # targets are 1 for the row's language and -1 for the others
+    model.weights = root @ np.linalg.solve(gram, 2 * sums.T - sums.sum(axis=0)[:, None])
     return model
 
 
@@ -88,13 +115,15 @@ def _slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
-    """docs (doc_id, text, lang): every language is learned, from at most `per_language` of its rows, by a hash of the
+    """docs (doc_id, text, lang): every language is learned, from at most `per_language` of its rows, and its share of TRAIN_TEXTS, by a hash of the
     doc_id, then doc_id and text; their n-grams reach the driver. Rows without language or letters are no examples; rows
-    that share a doc_id are rows like others."""
+    that share a doc_id are rows like others. The model holds a number for each landmark and language, and a byte (4 up to
+    FEW_LANDMARKS) for each landmark and n-gram that a landmark has: 134 MB if LANDMARKS texts had all n-grams there are."""
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.where("lang is not null and text is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row a language, as the model has
+    per_language = min(per_language, max(1, TRAIN_TEXTS // max(1, len(counts))))
     # few rows of each language reach the sort, see thinned(), and of all columns only their texts
     below = spark.createDataFrame([(r["lang"], thinned(r["n"], per_language)) for r in counts], "lang string, below long")
     hashed = rows.select("doc_id", "lang", F.xxhash64(F.lit(9), "doc_id").bitwiseAND(F.lit((1 << 63) - 1)).alias("h"))

@@ -171,3 +171,33 @@ def test_folds_are_those_of_crc32(spark):
 
     ids = spark.range(50).select(F.col("id").alias("doc_id"), (F.crc32(F.col("id").cast("string").cast("binary")) % 5).alias("m")).collect()
     assert all(r["m"] == zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in ids)
+
+
+def test_many_languages_share_the_landmarks():
+    import time
+
+    rng, seen = np.random.default_rng(3), np.zeros(ngrams.SLOTS, bool)
+    count, each = 300, 20
+    words = [["".join(chr(0x3400 + c * 40 + int(x)) for x in rng.integers(0, 40, 4)) for _ in range(30)] for c in range(count)]
+    text = lambda c: " ".join(words[c][int(i)] for i in rng.integers(0, 30, 20))
+    told = [(c, ngrams.present(text(c).encode(), True, seen)) for _ in range(each) for c in range(count)]
+    began = time.time()
+    model = language.train([r for _, r in told], [f"l{c:03}" for c, _ in told])
+    assert time.time() - began < 60
+    assert len(model.languages) == count and model.incidence.shape[1] == count * (language.LANDMARKS // count) and model.incidence.dtype == np.uint8
+    fresh = [ngrams.present(text(c).encode(), True, seen) for c in range(count)]
+    best = (model.kernel(*ngrams.batches_of(fresh)) @ model.weights).argmax(axis=1)
+    assert np.mean([model.languages[b] == f"l{c:03}" for c, b in enumerate(best)]) > 0.95
+    more = language._landmarks(np.array([f"x{i % 2000}" for i in range(5000)]), 1, 1024)
+    assert len(more) == 1024 and len({i % 2000 for i in more}) == 1024
+
+
+def test_kernel_is_the_same_in_any_pieces(monkeypatch):
+    seen = np.zeros(ngrams.SLOTS, bool)
+    rows = [ngrams.present(t.encode(), True, seen) for _, t in TEXTS]
+    model = language.train(rows, [x for x, _ in TEXTS], per_language=2)
+    some = ngrams.batches_of([rows[0], np.zeros(0, np.int64), *rows[1:], np.zeros(0, np.int64)])
+    whole = model.kernel(*some)
+    monkeypatch.setattr(language, "CELLS", 50)
+    model.incidence = model.incidence.astype(np.uint8)
+    assert (model.kernel(*some) == whole).all() and not whole[1].any() and not whole[-1].any()
