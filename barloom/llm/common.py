@@ -29,6 +29,7 @@ BLOCK = 512
 HELD_BYTES = 16 << 20
 
 _own_dir: list[str] = []
+_left: list[str] = []
 
 
 def prepare(spark: SparkSession) -> None:
@@ -62,9 +63,31 @@ def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 def table(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as Parquet to the shared folder and read it again.
 
-    A lost executor then costs a re-read, not a recomputation of everything before.
+    A lost executor then costs a re-read, not a recomputation of everything before. The table stays, for the result that reads it, see Leftovers.
     """
-    return _written(df, name)[0]
+    out, path = _written(df, name)
+    _left.append(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Leftovers:
+    """Tables that operators leave for their results; those left inside a `with` go at its end, where what read them is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> Leftovers:
+        self.begin = len(_left)
+        return self
+
+    def __exit__(self, *_) -> None:
+        while len(_left) > self.begin:
+            _delete(self.spark, _left.pop())
 
 
 class Tables:
@@ -88,11 +111,10 @@ class Tables:
 
     def keep(self, df: DataFrame) -> None:
         """Leaves a table where it is: the run's result reads it."""
-        del self.paths[df]
+        _left.append(self.paths.pop(df))
 
     def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(df))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.paths.pop(df))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,5 +1,6 @@
 """The pipeline against a brute-force version of every stage, each on what its predecessor kept."""
 
+import os
 from collections import Counter
 
 import numpy as np
@@ -7,6 +8,7 @@ import pandas as pd
 
 import corpus_pipeline
 from barloom.llm import language, lines, ngrams
+from barloom.llm.common import shared_dir
 from barloom.llm.queries import source_weights
 from test_decontaminate import brute as leaks
 from test_minhash import brute as near
@@ -79,7 +81,10 @@ def test_every_stage(spark, monkeypatch):
         return run
 
     monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, watched(n, f)) for n, f in corpus_pipeline.STAGES])
+    shared = shared_dir(spark).removeprefix("file://")
+    there = set(os.listdir(shared))
     last = corpus_pipeline.run(spark, SF).toPandas()
+    assert [x.split("-")[1] for x in set(os.listdir(shared)) - there] == ["decontamination"]  # what the result reads
     docs = pd.read_parquet(f"{SF}/documents.parquet")
     assert docs["doc_id"].is_unique and list(seen) == ["language_id", "line_dedup", "minhash_dedup", "decontamination", "mixing"]
     assert all(list(seen[n][2]) == list(docs.columns) for n in list(seen)[:-1])
