@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import decontaminate, language, lines, minhash, mixing
-from barloom.llm.common import Tables
+from barloom.llm.common import Leftovers, Tables
 from barloom.llm.queries import source_weights
 
 
@@ -56,6 +56,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     with Tables(spark) as tables:
         for name, stage in STAGES[:-1]:
-            docs = tables.write(stage(spark, docs, sf_dir), name)
+            with Leftovers(spark):
+                docs = tables.write(stage(spark, docs, sf_dir), name)
         tables.keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
