@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import apart, chains, kmeans, regimes, sliding, table_functions
+from ..operators import apart, chains, kmeans, neighbours, regimes, sliding, table_functions
 from ..operators.asof import asof_join as joined_asof
 from ..operators.intervals import interval_join as joined_intervals
 from ..shared import Scratch, shared_dir
@@ -156,6 +156,24 @@ def greedy_apart(spark, d):
     return apart.first_apart(rows, 0.9).select(F.col("id").alias("vec_id"), "kept")
 
 
+@query
+def neighbour_graph(spark, d):
+    """About the ten nearest of every embedding; a test measures how many are."""
+    rows = _vectors(spark, d).select("id", F.col("z").cast("array<double>").alias("z"))
+    with Scratch(spark) as scratch:
+        near = scratch.keep(neighbours.graph(rows, 10, scratch))
+    return near.select(F.col("id").alias("vec_id"), "other", r("distance", 6).alias("distance"))
+
+
+@query
+def neighbour_layout(spark, d):
+    """A place in two dimensions for every embedding, from its ten nearest."""
+    rows = _vectors(spark, d).select("id", F.col("z").cast("array<double>").alias("z"))
+    with Scratch(spark) as scratch:
+        placed = neighbours.layout(rows, neighbours.graph(rows, 10, scratch), scratch)
+        return scratch.keep(placed).select(F.col("id").alias("vec_id"), r("x", 6).alias("x"), r("y", 6).alias("y"))
+
+
 # --- SQL and sources ---------------------------------------------------------------------------
 
 

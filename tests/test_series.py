@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import apart, chains, kmeans, regimes, sliding
+from barloom.operators import apart, chains, kmeans, neighbours, regimes, sliding
 from barloom.operators.asof import asof_join
 from barloom.operators.intervals import interval_join
 from barloom.shared import Scratch
@@ -240,3 +240,61 @@ def test_ranks_in_prefixes():
         n, q = rng.integers(0, 40), rng.integers(1, 20)
         rank, low, end = rng.integers(0, 9, n), rng.integers(0, 9, q), rng.integers(0, n + 1, q)
         assert sliding.at_most(rank, low, end).tolist() == [(rank[:e] <= x).sum() for x, e in zip(low, end)]
+
+
+# --- nearest neighbours ------------------------------------------------------------------------------
+
+
+def recall(got, ids, x, k, asked):
+    near = {}
+    for r in got:
+        near.setdefault(r["id"], []).append((r["distance"], r["other"]))
+    right = 0
+    for i in asked:
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        tenth = np.sort(d)[k - 1]
+        mine = near[ids[i]]
+        assert len({o for _, o in mine}) == len(mine) == k and all(o != ids[i] for _, o in mine)
+        right += sum(dist <= tenth * (1 + 1e-9) for dist, _ in mine)
+    return right / (k * len(asked))
+
+
+@pytest.mark.parametrize("part", [20_000, 150])
+def test_neighbour_graph(spark, part):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.standard_normal((500, 24)), 5 + rng.standard_normal((300, 24)) * 0.01])  # a third lies close together
+    ids = [7 * i for i in range(len(x))]
+    rows = [(i, v.tolist()) for i, v in zip(ids, x)] + [(1, None), (2, [1.0]), (3, [float("nan")] * 24)]
+    df = spark.createDataFrame(rows, "id long, z array<double>").repartition(4)
+    with Scratch(spark) as scratch:
+        got = neighbours.graph(df, 10, scratch, part=part, leaf=64).collect()
+        assert recall(got, ids, x, 10, range(0, len(x), 9)) >= 0.9
+        if part == 150:
+            assert neighbours.graph(df.limit(0), 10, scratch).count() == neighbours.graph(df.where("id < 4"), 10, scratch).count() == 0
+            two = neighbours.graph(df.where("id in (0, 7)"), 10, scratch)
+            assert sorted((r["id"], r["other"]) for r in two.collect()) == [(0, 7), (7, 0)]
+
+
+def test_recall_on_embeddings(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("z"))
+    told = rows.orderBy("id").toPandas()
+    x, ids = np.stack(told["z"].to_numpy()), told["id"].tolist()
+    with Scratch(spark) as scratch:
+        got = neighbours.graph(rows, 10, scratch).collect()
+    assert recall(got, ids, x, 10, [k for k, i in enumerate(ids) if i % 50 == 0]) >= 0.9
+
+
+def test_layout_keeps_groups_apart(spark):
+    rng = np.random.default_rng(2)
+    of = np.repeat([0, 1, 2], 40)
+    x = np.eye(12)[of] * 6 + rng.standard_normal((120, 12)) * 0.5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, z array<double>").repartition(3)
+    with Scratch(spark) as scratch:
+        near = neighbours.graph(df, 8, scratch, trees=3, rounds=1)
+        placed = neighbours.layout(df, near, scratch, rounds=8).orderBy("id").toPandas()
+    y = placed[["x", "y"]].to_numpy()
+    d = ((y[:, None] - y[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    assert len(placed) == 120 and np.isfinite(y).all()
+    assert np.mean(of[np.argsort(d, axis=1)[:, :5]] == of[:, None]) > 0.9
