@@ -54,6 +54,9 @@ def metrics(bt: DataFrame, trades: DataFrame, market: DataFrame, slices: list[Sl
     rows = sliced(bt.select("genome_id", "t", "ret", "position").join(market, "t"), slices)
     order = Window.partitionBy(*by).orderBy("t")
     eq = with_equity(rows, by).withColumn("move", F.abs(F.col("position") - F.lag("position").over(order)))
+    # the month's return stands in each of its rows: a window that is dealt as the slice is, where a table of months would be shuffled and joined again
+    month = Window.partitionBy(*by, F.date_format("date", "yyyy-MM"))
+    eq = eq.withColumn("month", F.product(1 + F.col("ret")).over(month) - 1)
     r = F.col("ret")
     loss = F.when(r < 0, r * r)
     one = eq.groupBy(*by).agg(
@@ -61,15 +64,14 @@ def metrics(bt: DataFrame, trades: DataFrame, market: DataFrame, slices: list[Sl
         F.min("dd").alias("max_drawdown"), F.avg(F.col("dd") * F.col("dd")).alias("dd2"), F.max_by("eq", "t").alias("final"),
         F.avg(F.when(F.col("position") != 0, 1.0).otherwise(0.0)).alias("exposure"), F.coalesce(F.sum("move"), F.lit(0.0)).alias("moved"),
         S.skew(r).alias("skew"), S.excess_kurtosis(r).alias("kurtosis"), S.quantile(r, 0.95).alias("p95"), S.quantile(r, 0.05).alias("p05"),
-        S.correlation(r, F.col("bench")).alias("bench_corr"),
+        S.correlation(r, F.col("bench")).alias("bench_corr"), F.max("month").alias("best"), F.min("month").alias("worst"),
     )
-    month = monthly_returns(rows, by).groupBy(*by).agg(F.max("ret").alias("best"), F.min("ret").alias("worst"))
     x = F.col("return_pct")
     ledger = sliced(trades, slices, "exit_t").groupBy(*by).agg(
         F.count("*").alias("trades"), F.count(F.when(x > 0, 1)).alias("wins"), F.sum(F.when(x > 0, x).otherwise(0.0)).alias("won"),
         F.sum(F.when(x <= 0, -x).otherwise(0.0)).alias("lost"), F.avg("bars").alias("held"),
     )
-    every = one.join(month, list(by), "left").join(ledger, list(by), "left")
+    every = one.join(ledger, list(by), "left")
     zero = F.lit(0.0)
     year = F.sqrt(F.lit(float(TRADING_DAYS)))
     down = F.when(F.col("losses") > 1, F.sqrt(F.col("loss2") / F.col("losses")))
