@@ -74,7 +74,7 @@ def _at(path: str) -> tuple[pafs.FileSystem, str]:
 def _latest(fs: pafs.FileSystem, root: str) -> tuple[int, list[str]] | None:
     """Number and files of the table's last committed list; None for a folder that this source didn't write."""
     info = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
-    lists = sorted(int(m[1]) for f in info if (m := re.fullmatch(r"_files-(\d+)\.json", f.base_name)))
+    lists = sorted(int(m[1]) for f in info if (m := re.match(r"_files-(\d+)\.json$", f.base_name)))
     if not lists:
         return None
     with fs.open_input_stream(f"{root}/_files-{lists[-1]}.json") as f:

@@ -80,7 +80,6 @@ def test_writes_are_whole_or_nothing(source, tmp_path):
     with pytest.raises(Exception, match="no date"):
         broken.write.format("ohlcv").mode("append").save(path)
     assert rows_of(source.read.format("ohlcv").load(path)) == before
-    assert not [p.name for p in (tmp_path / "t").iterdir() if "staging" in p.name]
     some_bars(source, 2).write.format("ohlcv").mode("append").save(path)
     assert len(rows_of(source.read.format("ohlcv").load(path))) == len(before) + 6
     some_bars(source, 3).write.format("ohlcv").mode("overwrite").save(path)
