@@ -70,6 +70,8 @@ HINTS = set(
 )
 #: Of these, words that may name a part of the article where it is one.
 OF_ARTICLE = {"header", "banner", "masthead"}
+#: With these, a hint says what else the page has: "has-sidebar".
+OF_LAYOUT = {"has", "with", "no", "without"}
 #: Words of class and id that name a container of content.
 CONTENT = set("article content entry main post story".split())
 
@@ -86,35 +88,39 @@ _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _WORDS = re.compile(r"[a-z]+")
 #: Zones by rank: named as no main text, open, in a container of content, in the main element, in an article.
 GONE, OPEN, HELD, MAIN, ARTICLE = range(5)
+#: Of what leaves a hidden element, besides MAIN, which an article does, too: main elements alone, and nothing.
+ONLY_MAIN, NEVER = 8, 9
 
 
 @lru_cache(4096)
-def _named(name: str, attrs: str) -> tuple[int | None, bool]:
-    """(zone that the element gives, whether only if it isn't in an article); None where it says nothing."""
+def _named(name: str, attrs: str) -> tuple[int | None, bool, int]:
+    """(zone that the element gives, whether only if it isn't in an article, the least zone that an element inside must give to leave it); None where it says nothing.
+
+    A main element leaves what only a class hides, and an article or main element leaves a form: some pages are one form."""
     at = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)} if attrs.strip() else {}
     role = at.get("role", "").lower()
     words = set(_WORDS.findall(" ".join((at.get("class", ""), at.get("id", ""), role)).lower()))
     if name in HIDDEN or "hidden" in at or at.get("aria-hidden", "").lower() == "true":
-        return GONE, False
+        return GONE, False, NEVER
     hints = words & HINTS
     if name in ("html", "body"):
-        return None, False
+        return None, False, NEVER
     if name == "article":
-        return (GONE if words & {"comment", "comments", "reply"} else ARTICLE), False
+        return (GONE if words & {"comment", "comments", "reply"} else ARTICLE), False, NEVER
     if name == "main" or role == "main" or "articlebody" in at.get("itemprop", "").lower():
-        return MAIN, False
+        return MAIN, False, NEVER
     if name in CHROME:
-        return GONE, name == "header"
-    if hints:
-        return GONE, hints <= OF_ARTICLE
-    return (HELD if name in ("div", "section", "td") and words & CONTENT else None), False
+        return GONE, name == "header", MAIN if name == "form" else NEVER
+    if hints and not words & OF_LAYOUT:
+        return GONE, hints <= OF_ARTICLE, NEVER if hints & {"comment", "comments"} else ONLY_MAIN
+    return (HELD if name in ("div", "section", "td") and words & CONTENT else None), False, NEVER
 
 
 def blocks(html: str) -> list[tuple[int, str]]:
     """(zone, text) of every block that has text, in page order; an article begins with an empty one."""
     out: list[tuple[int, str]] = []
     pieces: list[str] = []
-    stack: list[tuple[str, int]] = []
+    stack: list[tuple[str, int, int]] = []
     inside: Counter[str] = Counter()
     zone, at = OPEN, 0
 
@@ -127,7 +133,7 @@ def blocks(html: str) -> list[tuple[int, str]]:
 
     def pop(to: int) -> None:
         nonlocal zone
-        for name, _ in stack[to:]:
+        for name, _, _ in stack[to:]:
             inside[name] -= 1
         del stack[to:]
         now = stack[-1][1] if stack else OPEN
@@ -151,21 +157,23 @@ def blocks(html: str) -> list[tuple[int, str]]:
             close()
         if m["end"]:
             if inside[name]:
-                k = max(i for i, (n, _) in enumerate(stack) if n == name)
-                if name in CONTAINERS or not any(n in CONTAINERS for n, _ in stack[k + 1 :]):
+                k = max(i for i, (n, _, _) in enumerate(stack) if n == name)
+                if name in CONTAINERS or not any(n in CONTAINERS for n, _, _ in stack[k + 1 :]):
                     pop(k)
             continue
         if name in VOID:
             continue
         if stack and stack[-1][0] == "p" and name in BLOCKS or stack and stack[-1][0] == name == "li":
             pop(len(stack) - 1)
-        given, outside_only = _named(name, m["attrs"] or "")
-        now = zone
+        given, outside_only, leaves = _named(name, m["attrs"] or "")
+        now, hidden = zone, stack[-1][2] if stack else NEVER
         if given is not None and zone != GONE and not (outside_only and zone >= HELD):
             now = GONE if given == GONE else max(given, zone)
+        elif zone == GONE and given is not None and (given == MAIN and hidden in (MAIN, ONLY_MAIN) or given == ARTICLE and hidden == MAIN):
+            now = given
         if name in CONTAINERS or now != zone or inside[name]:
             if not (m["attrs"] or "").endswith("/") or name in CONTAINERS:
-                stack.append((name, now))
+                stack.append((name, now, leaves if now == GONE and zone != GONE else hidden if now == GONE else NEVER))
                 inside[name] += 1
                 if now != zone:
                     close()

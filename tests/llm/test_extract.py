@@ -138,3 +138,14 @@ def test_long_page(spark):
     got = texts(spark, [(1, "http://h.example/", f"<body>{long_}</body>"), (2, "http://h.example/", "<p>" * 50_000 + "end"), (3, "http://h.example/", "<div " * 20_000), (4, "http://h.example/", '<a "' * 5_000)])
     assert got[1]["n_chars"] == len(" ".join(prose(50, k) for k in range(4000)))
     assert got[2]["text"] == "end" and got[3]["text"] == ""
+
+
+def test_wrappers():
+    text = lambda html: X.main_text(X.blocks(html), np.zeros(0, np.int64))[0]
+    body = "<article><h1>a</h1><form>f</form><p>b</p></article>"
+    assert text(f"<form id=x><div>top</div>{body}<div>end</div></form>") == "a b"  # a page that is one form
+    assert text(f'<div class="site has-sidebar"><div>{body}</div></div>') == "a b"
+    assert text(f'<div class="menu-page"><nav>n</nav><main><p>m</p>{body}</main></div>') == "a b"
+    assert text(f'{body}<div class="sidebar"><article>teaser</article></div><section id=comments><main>no</main><article>c</article></section>') == "a b"
+    assert text(f"<nav><form>{body}</form></nav><p>x</p>") == "x"
+    assert text('<div class="content with-sidebar"><p>one</p><span class=ad>no <span>not</span> never</span> two</div>') == "one two"
