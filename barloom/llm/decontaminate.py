@@ -21,14 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, table
+from .common import prepare, slices, table
 
 #: Bytes that are no part of a word become spaces; A-Z become a-z. Bytes from 0x80 belong to words.
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 SAMPLE = 16
-SHARD_WORDS = 1 << 20
+#: Words of a shard, and bytes of text that are split into words before it is looked whether a shard is full.
+SHARD_WORDS, PIECE = 1 << 19, 1 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -247,13 +248,16 @@ def _search(phrases, shard_words: int, every: bool):
                 yield out if every else out.filter(pa.array([bool(s) for s, _ in own], pa.bool_()))
 
         for batch in batches:
-            ws = [words_of(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            held.append((batch, ws))
-            total += sum(map(len, ws))
-            if total >= shard_words:
-                yield from flush()
-                held.clear()
-                total = 0
+            sizes = np.cumsum([0, *(len(t) for t in batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist())])
+            for lo, hi in slices(sizes, PIECE):  # so a shard holds little more than shard_words, or one text
+                part = batch.slice(lo, hi - lo)
+                ws = [words_of(t or b"") for t in part.column("text").cast(pa.binary()).to_pylist()]
+                held.append((part, ws))
+                total += sum(map(len, ws))
+                if total >= shard_words:
+                    yield from flush()
+                    held.clear()
+                    total = 0
         if held:
             yield from flush()
 

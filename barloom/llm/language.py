@@ -25,7 +25,7 @@ from .ngrams import SLOTS, batches_of, has_letter, present
 TRAIN_PER_LANGUAGE, LANDMARKS_PER_LANGUAGE = 400, 32
 TRAIN_TEXTS, LANDMARKS = 6_400, 1_024
 #: Cells of the incidence matrix that are added up at once, and landmarks up to which they are stored as what they are added as.
-CELLS, FEW_LANDMARKS = 1 << 24, 256
+CELLS, FEW_LANDMARKS = 1 << 22, 256
 
 #: Least norm of the Nyström map; least lead of a claim if the norm is under WELL_KNOWN. Held-out rows of sf0.1 have
 #: norms from 0.284 on; low leads with high norms are texts of two learned languages. Texts under SHORT
