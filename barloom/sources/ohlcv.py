@@ -3,7 +3,8 @@
 Reading: `path` is a file or a folder. Each file's own header is matched by name, so files may differ; values are
 cleaned as csv.clean does. Files are cut at line ends into pieces of `pieceBytes`, each a task. Filters on
 symbol and date are taken over whole: of a folder that this source wrote, files of other symbols aren't opened, other rows are left out as they are
-read. Spark asks for them if spark.sql.python.filterPushdown.enabled is set, as barloom.session does.
+read. That is so if spark.sql.python.filterPushdown.enabled is set when the source is registered, as barloom.session does;
+without it Spark refuses readers that take filters, and looks at all rows itself.
 
 Writing: tasks write to a staging folder under names of their own. A commit moves their files in place and then puts a new
 list of the table's files under its final name, in one step; readers follow the latest list, so they see a whole write or nothing of it.
@@ -37,7 +38,9 @@ _ARROW = pa.schema([("symbol", pa.string()), ("date", pa.date32()), *((f, pa.flo
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(Ohlcv)
+    """Registers the source in the form that the session's filterPushdown allows; call it again when that changes."""
+    pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false").lower() == "true"
+    spark.dataSource.register(Ohlcv if pushed else Unpushed)
 
 
 def number(cell: str | None) -> float | None:
@@ -99,7 +102,7 @@ class Ohlcv(D.DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> Reader:
-        return Reader(self.options)
+        return PushedReader(self.options)
 
     def writer(self, schema: StructType, overwrite: bool) -> Writer:
         missing = {"symbol", "date", "close"} - set(schema.names)
@@ -108,28 +111,17 @@ class Ohlcv(D.DataSource):
         return Writer(self.options["path"], overwrite)
 
 
+class Unpushed(Ohlcv):
+    def reader(self, schema: StructType) -> Reader:
+        return Reader(self.options)
+
+
 class Reader(D.DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.piece = options["path"], int(options.get("pieceBytes", PIECE))
         self.symbols: set[str] | None = None
         self.first, self.last = dt.date.min, dt.date.max
 
-    def pushFilters(self, filters: list[D.Filter]) -> Iterable[D.Filter]:
-        """Takes equality and lists of symbols and all bounds of dates; what it takes needs no second look."""
-        for f in filters:
-            column, value = getattr(f, "attribute", ()), getattr(f, "value", None)
-            if column == ("symbol",) and isinstance(f, D.EqualTo | D.In):
-                some = {value} if isinstance(f, D.EqualTo) else set(value)
-                self.symbols = some if self.symbols is None else self.symbols & some
-            elif column == ("date",) and isinstance(f, D.EqualTo | D.GreaterThan | D.GreaterThanOrEqual | D.LessThan | D.LessThanOrEqual):
-                one = dt.timedelta(days=1)
-                if isinstance(f, D.GreaterThan | D.GreaterThanOrEqual | D.EqualTo):
-                    self.first = max(self.first, value + one if isinstance(f, D.GreaterThan) else value)
-                if isinstance(f, D.LessThan | D.LessThanOrEqual | D.EqualTo):
-                    self.last = min(self.last, value - one if isinstance(f, D.LessThan) else value)
-            elif not (column in (("symbol",), ("date",)) and isinstance(f, D.IsNotNull)):  # neither is ever null
-                yield f
-
     def partitions(self) -> list[D.InputPartition]:
         fs, root = _at(self.path)
         alone = fs.get_file_info(root).type == pafs.FileType.File
@@ -213,6 +205,24 @@ class Reader(D.DataSourceReader):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
 
 
+class PushedReader(Reader):
+    def pushFilters(self, filters: list[D.Filter]) -> Iterable[D.Filter]:
+        """Takes equality and lists of symbols and all bounds of dates; what it takes needs no second look."""
+        for f in filters:
+            column, value = getattr(f, "attribute", ()), getattr(f, "value", None)
+            if column == ("symbol",) and isinstance(f, D.EqualTo | D.In):
+                some = {value} if isinstance(f, D.EqualTo) else set(value)
+                self.symbols = some if self.symbols is None else self.symbols & some
+            elif column == ("date",) and isinstance(f, D.EqualTo | D.GreaterThan | D.GreaterThanOrEqual | D.LessThan | D.LessThanOrEqual):
+                one = dt.timedelta(days=1)
+                if isinstance(f, D.GreaterThan | D.GreaterThanOrEqual | D.EqualTo):
+                    self.first = max(self.first, value + one if isinstance(f, D.GreaterThan) else value)
+                if isinstance(f, D.LessThan | D.LessThanOrEqual | D.EqualTo):
+                    self.last = min(self.last, value - one if isinstance(f, D.LessThan) else value)
+            elif not (column in (("symbol",), ("date",)) and isinstance(f, D.IsNotNull)):  # neither is ever null
+                yield f
+
+
 @dataclass
 class Written(D.WriterCommitMessage):
     files: list[str]
