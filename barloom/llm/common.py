@@ -8,6 +8,7 @@ arithmetic on numpy arrays.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -38,6 +39,22 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, whose Python worker gives back what it no longer uses when a task ends. Workers wait for other
+    stages' tasks, several for each core, and would keep the most that any task before had taken."""
+
+    def then(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+            if trim:
+                trim(0)
+
+    return then
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir. Where it is unset, a local master gets a folder of
     its own, removed at exit; a cluster, whose machines share none, is an error."""
@@ -365,7 +382,7 @@ def each_task(
         df.select(*keys, *names)
         .repartition(*keys)  # as many partitions as the bytes and cores call for
         .sortWithinPartitions(*keys)
-        .mapInArrow(run, schema)
+        .mapInArrow(released(run), schema)
     )
 
 

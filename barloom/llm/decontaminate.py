@@ -15,13 +15,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, slices, table
+from .common import prepare, released, slices, table
 
 #: Bytes that are no part of a word become spaces; A-Z become a-z. Bytes from 0x80 belong to words.
 _FOLD = bytes(
@@ -183,6 +185,10 @@ class Phrases:
         self.owner = owner[order]
         self.owner_at = np.searchsorted(same.ravel()[order], np.arange(len(self.rows) + 1))
 
+    def coded(self, words: list[bytes]) -> np.ndarray:
+        """The words' numbers, 0 for those of no window."""
+        return np.fromiter(map(self.code.get, words, repeat(0)), np.int32, len(words))
+
     def items(self, row: int) -> list[str]:
         return [self.names[k] for k in self.owner[self.owner_at[row] : self.owner_at[row + 1]].tolist()]
 
@@ -197,19 +203,18 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def shard_hits(docs: list[list[bytes]], phrases: Phrases) -> list[tuple[list[tuple[int, int]], set[str]]]:
-    """For each document of a shard: merged spans of word numbers, and items with an occurring window."""
-    get = phrases.code.get
-    codes: list[int] = []
+def shard_hits(docs: list[np.ndarray] | list[list[bytes]], phrases: Phrases) -> list[tuple[list[tuple[int, int]], set[str]]]:
+    """For each document of a shard, its words or their numbers: merged spans of word numbers, and items with an occurring window."""
+    coded = [d if isinstance(d, np.ndarray) else phrases.coded(d) for d in docs]
     at = np.zeros(len(docs) + 1, np.int64)
-    for i, w in enumerate(docs):
-        codes += [get(x, 0) for x in w]
-        codes.append(0)
-        at[i + 1] = len(codes)
+    np.cumsum([len(d) + 1 for d in coded], out=at[1:])
+    codes = np.zeros(at[-1], np.int64)  # 0 after every document
+    for d, lo in zip(coded, at.tolist()):
+        codes[lo : lo + len(d)] = d
     out: list[tuple[list, set]] = [([], set()) for _ in docs]
-    if not len(phrases.rows) or not any(codes):
+    if not len(phrases.rows) or not codes.any():
         return out
-    index = FMIndex(np.array(codes, np.int64), len(phrases.code))
+    index = FMIndex(codes, len(phrases.code))
     lo, hi = index.search(phrases.rows, phrases.lengths)
     n = hi - lo
     which = np.repeat(np.arange(len(n)), n)
@@ -230,37 +235,38 @@ def _arrays(found: list[tuple[list[tuple[int, int]], set[str]]]) -> list[pa.Arra
     return [pa.array(spans, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), pa.array([sorted(x) for _, x in found], pa.list_(pa.string()))]
 
 
+def _shards(batches: Iterator[pa.RecordBatch], phrases: Phrases, shard_words: int) -> Iterator[list[tuple[pa.RecordBatch, list[np.ndarray]]]]:
+    """Rows and the numbers of their words, in runs of about shard_words words: a run holds little more, or one text."""
+    held: list[tuple[pa.RecordBatch, list[np.ndarray]]] = []
+    total = 0
+    for batch in batches:
+        sizes = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+        for lo, hi in slices(sizes, PIECE):
+            part = batch.slice(lo, hi - lo)
+            coded = [phrases.coded(words_of(t or b"")) for t in part.column("text").cast(pa.binary()).to_pylist()]
+            held.append((part, coded))
+            total += sum(map(len, coded))
+            if total >= shard_words:
+                yield held
+                held, total = [], 0
+    if held:
+        yield held
+
+
 def _search(phrases, shard_words: int, every: bool):
     """The columns of the rows but for text, n_words, spans and items; without `every`, of rows with a hit only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[pa.RecordBatch, list[list[bytes]]]] = []
-        total = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            found = iter(shard_hits([w for _, ws in held for w in ws], phrases.value))
-            for batch, ws in held:
-                own = [next(found) for _ in ws]
+        for held in _shards(batches, phrases.value, shard_words):
+            found = iter(shard_hits([d for _, coded in held for d in coded], phrases.value))
+            for batch, coded in held:
+                own = [next(found) for _ in coded]
                 names = [n for n in batch.schema.names if n != "text"]
                 out = pa.RecordBatch.from_arrays(
-                    [*(batch.column(n) for n in names), pa.array([len(w) for w in ws], pa.int64()), *_arrays(own)], [*names, "n_words", "spans", "items"]
+                    [*(batch.column(n) for n in names), pa.array([len(d) for d in coded], pa.int64()), *_arrays(own)], [*names, "n_words", "spans", "items"]
                 )
                 yield out if every else out.filter(pa.array([bool(s) for s, _ in own], pa.bool_()))
 
-        for batch in batches:
-            sizes = np.cumsum([0, *(len(t) for t in batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist())])
-            for lo, hi in slices(sizes, PIECE):  # so a shard holds little more than shard_words, or one text
-                part = batch.slice(lo, hi - lo)
-                ws = [words_of(t or b"") for t in part.column("text").cast(pa.binary()).to_pylist()]
-                held.append((part, ws))
-                total += sum(map(len, ws))
-                if total >= shard_words:
-                    yield from flush()
-                    held.clear()
-                    total = 0
-        if held:
-            yield from flush()
-
     return run
 
 
@@ -278,7 +284,7 @@ def _hits(rows: DataFrame, benchmark: DataFrame, window: int, block_chars: int,
     pass over the texts. More are as many, which all read the same rows and send on what they hit; it is merged by row."""
     spark = rows.sparkSession
     schema = f"doc_id long, row long, n_words long, {_SPANS}"
-    passes = [rows.mapInArrow(_search(spark.sparkContext.broadcast(p), shard_words, k == 0), schema) for k, p in enumerate(_blocks(benchmark, block_chars, window))]
+    passes = [rows.mapInArrow(released(_search(spark.sparkContext.broadcast(p), shard_words, k == 0)), schema) for k, p in enumerate(_blocks(benchmark, block_chars, window))]
     if len(passes) == 1:
         return passes[0]
     every = reduce(DataFrame.union, passes)
@@ -352,32 +358,18 @@ def without_leaks(
         shared = spark.sparkContext.broadcast(next(_blocks(benchmark, block_chars, window)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[tuple[pa.RecordBatch, list]] = []
-            total = 0
-
-            def flush() -> Iterator[pa.RecordBatch]:
-                found = iter(shard_hits([w for _, ws in held for w in ws], shared.value))
-                for batch, ws in held:
-                    yield batch.filter(pa.array([not next(found)[0] for _ in ws], pa.bool_()))
-
-            for batch in batches:
-                ws = [words_of(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist()]
-                held.append((batch, ws))
-                total += sum(map(len, ws))
-                if total >= shard_words:
-                    yield from flush()
-                    held.clear()
-                    total = 0
-            if held:
-                yield from flush()
-
-        return docs.mapInArrow(run, docs.schema)
+            for held in _shards(batches, shared.value, shard_words):
+                found = iter(shard_hits([d for _, coded in held for d in coded], shared.value))
+                for batch, _ in held:
+                    yield batch.filter(pa.array([not next(found)[0] for _ in range(batch.num_rows)], pa.bool_()))
+
+        return docs.mapInArrow(released(run), docs.schema)
     # the rows travel as one column, so that none of theirs can be taken for ours
     rows = table(_rows(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole")), "leak-rows")
     hit = table(_hits(rows.select("doc_id", "row", "text"), benchmark, window, block_chars, shard_words).where(F.size("spans") > 0).drop("doc_id"), "leaks")
     if not cut:
         return rows.join(hit, "row", "left_anti").select("whole.*")
-    rest = rows.select("row", "text").join(hit, "row").select("row", "text", "spans", "n_words").mapInArrow(_cut_texts, "row long, rest string").withColumn("found", F.lit(True))
+    rest = rows.select("row", "text").join(hit, "row").select("row", "text", "spans", "n_words").mapInArrow(released(_cut_texts), "row long, rest string").withColumn("found", F.lit(True))
     new = rows.join(rest, "row", "left").where("found is null or rest is not null")
     return new.select(*((F.coalesce("rest", F.col("whole").getField(c)) if c == "text" else F.col("whole").getField(c)).alias(c) for c in docs.columns))
 

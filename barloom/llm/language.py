@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, thinned
+from .common import prepare, released, thinned
 from .ngrams import SLOTS, batches_of, has_letter, present
 
 #: Training texts and landmarks of each language at most, and of all languages, which share them; each has a text, however many there are.
@@ -133,7 +133,7 @@ def fit(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Model:
     # at most per_language rows a language
     chosen = chosen.groupBy("doc_id", "lang").agg(F.min("k").alias("at"))
     texts = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).withColumn("k", first("at", "doc_id", "text")).where(F.col("k") <= per_language)
-    pulled = texts.select("k", "lang", "text").mapInArrow(_slots_of, "k int, lang string, slots binary").where("slots is not null").toPandas()
+    pulled = texts.select("k", "lang", "text").mapInArrow(released(_slots_of), "k int, lang string, slots binary").where("slots is not null").toPandas()
     pulled = pulled.sort_values(["k", "lang"])
     return train([np.frombuffer(x, np.int32).astype(np.int64) for x in pulled["slots"]], list(pulled["lang"]))
 
@@ -185,7 +185,7 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.25) -> DataFrame:
                 good = (np.array(names) != "und") & (np.array(score) >= least) & (share >= LEAST_KNOWN) & ((share >= WELL_KNOWN) | (ahead >= LEAST_LEAD) | brief)
                 yield part.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -211,4 +211,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     [part.column("doc_id"), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), "doc_id long, lang_pred string, score double")

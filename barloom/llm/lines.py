@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import BLOCK, Members, Rolling, Tables, components, distinct_groups, group_links, mix, partitions, prepare, slices, table
+from .common import BLOCK, Members, Rolling, Tables, components, distinct_groups, group_links, mix, partitions, prepare, released, slices, table
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -364,20 +364,20 @@ def line_classes(docs: DataFrame, tables: Tables, edits: int = 2, min_chars: int
     """line, check, class: the lines that are within `edits` of another one, over chains of such links."""
     spark = docs.sparkSession
     texts = docs.select("text")
-    posted = texts.mapInArrow(_post(min_chars, edits, short), "key long, line long")
+    posted = texts.mapInArrow(released(_post(min_chars, edits, short)), "key long, line long")
     # lines that have met on the way have no key: deal them out by their own number
     dealt = posted.repartition(partitions(spark), F.when(F.col("key") == 0, F.col("line")).otherwise(F.col("key"))).sortWithinPartitions("key")
-    meeting = tables.write(dealt.mapInArrow(_meet, "line long").distinct(), "meeting")
+    meeting = tables.write(dealt.mapInArrow(released(_meet), "line long").distinct(), "meeting")
     bits = spark.sparkContext.broadcast(bloom_of_numbers(meeting, "line"))
     content = (
-        texts.mapInArrow(_texts_of(min_chars, short, bits), "line long, check long, content string")
+        texts.mapInArrow(released(_texts_of(min_chars, short, bits)), "line long, check long, content string")
         .join(meeting, "line", "left_semi")
         .groupBy("line", "check")
         .agg(F.min("content").alias("content"))
     )
     # numbers of their own: lines that agree in 64 bits only stay apart
     nodes = tables.write(content.withColumn("node", F.monotonically_increasing_id()), "meeting-lines")
-    keys = tables.write(nodes.select("node", "content").mapInArrow(_keys_of(min_chars, edits, short), "group long, node long").distinct(), "keys")
+    keys = tables.write(nodes.select("node", "content").mapInArrow(released(_keys_of(min_chars, edits, short)), "group long, node long").distinct(), "keys")
     members = distinct_groups(keys, "node").join(nodes.select("node", "content"), "node").select("group", "node", "content")
     members = tables.write(members, "members")
     near = group_links(members, _confirm(edits, min_chars, short), ["content"], tables, block)
@@ -401,7 +401,7 @@ def bloom_of_numbers(ids: DataFrame, column: str, max_bits: int = 1 << 26) -> np
             at = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             yield pa.RecordBatch.from_arrays([pa.array(word[at]), pa.array(np.bitwise_or.reduceat(bit, at).view(np.int64))], ["w", "v"])
 
-    words = ids.select(column).where(F.col(column).isNotNull()).mapInArrow(run, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
+    words = ids.select(column).where(F.col(column).isNotNull()).mapInArrow(released(run), "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
     out = np.zeros(bits // 64, np.int64)
     out[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64)
     return out.view(np.uint64)
@@ -412,7 +412,7 @@ def _repeats(docs: DataFrame, edits: int, min_chars: int, block: int, short: boo
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     classes = line_classes(rows, tables, edits, min_chars, block, short)
-    seen = tables.write(rows.mapInArrow(_occurrences(min_chars, short), "doc_id long, row long, line_no long, line long, check long"), "lines")
+    seen = tables.write(rows.mapInArrow(released(_occurrences(min_chars, short)), "doc_id long, row long, line_no long, line long, check long"), "lines")
     line = ["line", "check"]
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc"), F.col("row").alias("row"), F.col("line_no").alias("no"))
     by_line = seen.groupBy(*line).agg(F.min(order).alias("first"), F.max(order).alias("last"))

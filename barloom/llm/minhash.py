@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK, Members, Tables, bloom_of, components, distinct_groups, group_links, mix, prepare, slices, space_words, table, utf8
+from .common import BLOCK, Members, Tables, bloom_of, components, distinct_groups, group_links, mix, prepare, released, slices, space_words, table, utf8
 
 #: Sets of a task up to which their signatures are compared as they are.
 SMALL = 24
@@ -230,7 +230,7 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int, coords: int, mat
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = tables.write(
-        rows.mapInArrow(_sketch(width, coords), "doc_id long, n_shingles long, set_key binary, sig array<long>"), "sketch"
+        rows.mapInArrow(released(_sketch(width, coords)), "doc_id long, n_shingles long, set_key binary, sig array<long>"), "sketch"
     )
     # Equal sets first: copies of one text are one representative from here on.
     groups = tables.write(
@@ -262,7 +262,7 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int, coords: int, mat
     full = (
         rows.where("doc_id is not null")
         .withColumn("spot", F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(len(bits) * 64)))
-        .mapInArrow(_sets_of(width, spark.sparkContext.broadcast(bits)), "doc_id long, set_key binary, shingles array<long>")
+        .mapInArrow(released(_sets_of(width, spark.sparkContext.broadcast(bits))), "doc_id long, set_key binary, shingles array<long>")
         .where("set_key is not null")
         .join(loose.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
         .groupBy("set_key")
