@@ -1,7 +1,7 @@
 """k-means, silhouette and t-SNE of a survivor set, and summaries of its clusters.
 
 The sets are capped (140 rows), so the iterative fits run as one seeded task; summaries are
-DataFrame operations, and the silhouette of any number of rows goes by pairs of blocks.
+DataFrame operations, and the silhouette of any number of rows goes by pairs of chunks.
 """
 
 from __future__ import annotations
@@ -11,12 +11,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rng as R
 from ..functions import stats as S
 from ..schema import FAMILIES, MOST_SURVIVORS
+from .apart import packed, unpacked
 
 
 def _square(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -170,56 +173,199 @@ def nearest_centroid(rows: DataFrame, centroids: DataFrame) -> DataFrame:
     return rows.withColumn("every", every).select("genome_id", near.alias("m")).select("genome_id", "m.cluster", "m.distance")
 
 
-def _sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """genome_id, cluster, c, total, n: of each left row, the sum of distances to the right rows of each cluster, and their number, without itself."""
-    if not len(left) or not len(right):
-        return pd.DataFrame({"genome_id": [], "cluster": [], "c": [], "total": [], "n": []})
-    x, y = np.stack(left["z"].to_numpy()), np.stack(right["z"].to_numpy())
-    kinds, kind = np.unique(right["cluster"].to_numpy(), return_inverse=True)
-    member = (kind[:, None] == np.arange(len(kinds))[None, :]).astype(np.float64)
-    xx, yy = (x * x).sum(axis=1), (y * y).sum(axis=1)
-    at = {g: k for k, g in enumerate(right["genome_id"])}
-    own = np.array([at.get(g, -1) for g in left["genome_id"]])
-    out, step = [], 512
-    for lo in range(0, len(x), step):
-        part = x[lo : lo + step]
-        d2 = xx[lo : lo + step, None] + yy[None, :] - 2 * part @ y.T
-        i, j = np.nonzero(d2 < 1e-6 * (xx[lo : lo + step, None] + yy[None, :]))  # near copies lose digits
-        for k in range(0, len(i), 1 << 14):
-            a, b = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
-            d2[a, b] = ((part[a] - y[b]) ** 2).sum(axis=1)
-        n = np.repeat(member.sum(axis=0)[None, :], len(part), axis=0)
-        self_at = own[lo : lo + step]
-        here = np.flatnonzero(self_at >= 0)
-        d2[here, self_at[here]] = 0
-        n[here, kind[self_at[here]]] -= 1
-        out.append((np.sqrt(d2) @ member, n))
-    total, n = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
-    m = len(kinds)
-    return pd.DataFrame({
-        "genome_id": np.repeat(left["genome_id"].to_numpy(), m), "cluster": np.repeat(left["cluster"].to_numpy(), m), "c": np.tile(kinds, len(x)),
-        "total": total.ravel(), "n": n.ravel().astype(np.int64),
-    })
+#: Rows of a tile of distances, the most bytes of a chunk's vectors and of a part's, and the most clusters of a chunk whose columns are summed along with its rows.
+TILE, CHUNK_BYTES, PART_BYTES, FEW = 256, 8 << 20, 64 << 20, 64
+#: Marks sums within a row's own cluster, and least means of others, among those of clusters that lie in several chunks; no mean is NONE.
+OWN, NEXT, NONE = -1, -2, -1.0
+
+
+def _least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The lower means of two; NONE is no mean, and NaN is above all others."""
+    return np.where(a == NONE, b, np.where(b == NONE, a, np.fmin(a, b)))
+
+
+def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """genome_id, key, dims, z: vectors as bytes."""
+    for b in batches:
+        z, dims = b.column("z"), b.column("z").value_lengths().to_numpy(zero_copy_only=False)
+        for lo, hi in _runs(dims):
+            x = z.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(hi - lo, dims[lo])
+            yield pa.RecordBatch.from_arrays([b.column("genome_id")[lo:hi], b.column("key")[lo:hi], pa.array(dims[lo:hi], pa.int32()), packed(x)], ["genome_id", "key", "dims", "z"])
+
+
+def _runs(of: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of runs of equal neighbours."""
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(of)), bool), of[1:] != of[:-1]]))
+    return list(zip(at.tolist(), [*at[1:].tolist(), len(of)]))
+
+
+def _pack_chunk(rows: pa.Table) -> pa.Table:
+    """One row of a chunk's rows (genome_id, key, dims, z, chunk, split, n), in order of cluster: its vectors, and where clusters end."""
+    rows = rows.sort_by([("key", "ascending"), ("genome_id", "ascending")]).combine_chunks()
+    dims = rows.column("dims")[0].as_py()
+    if pc.any(pc.not_equal(rows.column("dims"), dims)).as_py():
+        raise ValueError("vectors of several lengths")
+    ends = [hi for _, hi in _runs(pc.rank(rows.column("key"), tiebreaker="dense").to_numpy())]
+    x = unpacked(rows.column("z").combine_chunks(), dims)
+    one = {"chunk": rows.column("chunk")[0].as_py(), "split": rows.column("split")[0].as_py(), "n": rows.column("n")[0].as_py(), "dims": dims, "ends": ends, "z": packed(x.reshape(1, -1))[0].as_py()}
+    return pa.Table.from_pylist([one], _CHUNK)
+
+
+#: A chunk: the first chunk of its cluster and the cluster's rows if that lies in several, else -1; vectors in order of cluster, and where clusters end.
+_CHUNK = pa.schema([("chunk", pa.int32()), ("split", pa.int32()), ("n", pa.int64()), ("dims", pa.int32()), ("ends", pa.list_(pa.int32())), ("z", pa.binary())])
+_SUMS = pa.schema([("chunk", pa.int32()), ("split", pa.int32()), ("n", pa.int64()), ("ends", pa.list_(pa.int32())), ("what", pa.int32()), ("count", pa.int64()), ("v", pa.binary())])
+
+
+class _Chunk:
+    def __init__(self, b: pa.RecordBatch, k: int, prefix: str = ""):
+        of = lambda c: b.column(prefix + c)[k]
+        self.at, self.split, self.n, dims, self.ends = (of(c).as_py() for c in ("chunk", "split", "n", "dims", "ends"))
+        raw = of("z").as_buffer()
+        x = np.frombuffer(raw, "<f8" if len(raw) == 8 * dims * self.ends[-1] and dims else "<f4").astype(np.float64).reshape(self.ends[-1], dims)
+        self.starts = np.array([0, *self.ends[:-1]])
+        self.size = np.diff([0, *self.ends])
+        self.kind = np.repeat(np.arange(len(self.ends)), self.size)
+        self.x, self.xx = x, (x * x).sum(axis=1)
+        self.rows = np.concatenate([x, self.xx[:, None], np.ones((len(x), 1))], axis=1)
+        self.columns = np.ascontiguousarray(np.concatenate([-2 * x, np.ones((len(x), 1)), self.xx[:, None]], axis=1).T)
+
+
+def _distances(a: _Chunk, b: _Chunk) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, distances of rows of a to those of b), by tiles."""
+    if a.x.shape[1] != b.x.shape[1]:
+        raise ValueError("vectors of several lengths")
+    top = b.xx.max()
+    for lo in range(0, len(a.x), TILE):
+        d = a.rows[lo : lo + TILE] @ b.columns
+        for r in np.flatnonzero(d.min(axis=1) < 1e-6 * (a.xx[lo : lo + TILE] + top)):
+            j = np.flatnonzero(d[r] < 1e-6 * (a.xx[lo + r] + b.xx))  # near copies lose digits
+            for k in range(0, len(j), 1 << 14):
+                d[r, j[k : k + (1 << 14)]] = ((a.x[lo + r] - b.x[j[k : k + (1 << 14)]]) ** 2).sum(axis=1)
+        if a.at == b.at:
+            here = np.arange(len(d))
+            d[here, lo + here] = 0
+        yield lo, np.sqrt(d, out=d)
+
+
+class _Totals:
+    """What a task adds up for each chunk: by cluster in several chunks, OWN or NEXT a number for each of its rows."""
+
+    def __init__(self):
+        self.held: dict[tuple[int, int], list] = {}
+
+    def meet(self, a: _Chunk, b: _Chunk) -> None:
+        """The pairs of two chunks, or of one with itself, both ways. One pass does if the columns are those of few clusters."""
+        if a.at != b.at and len(a.ends) > FEW:
+            if len(b.ends) > FEW:
+                self._pass(a, b, False)
+                self._pass(b, a, False)
+                return
+            a, b = b, a
+        self._pass(a, b, a.at != b.at)
+
+    def _pass(self, a: _Chunk, b: _Chunk, both: bool) -> None:
+        there, back, one = np.empty((len(a.x), len(b.ends) if len(b.ends) <= FEW else 0)), np.zeros((len(b.x), len(a.ends) if both else 0)), np.ones(len(b.x))
+        for lo, d in _distances(a, b):
+            for first, end in _runs(a.kind[lo : lo + len(d)]) if both else ():
+                back[:, a.kind[lo + first]] += np.ones(end - first) @ d[first:end]
+            sums = (d @ one)[:, None] if len(b.ends) == 1 else np.add.reduceat(d, b.starts, axis=1)
+            if there.shape[1]:
+                there[lo : lo + len(d)] = sums
+            else:
+                self._add(a, b, lo, sums)
+        if there.shape[1]:
+            self._add(a, b, 0, there)
+        if both:
+            self._add(b, a, 0, back)
+
+    def _add(self, a: _Chunk, b: _Chunk, lo: int, sums: np.ndarray) -> None:
+        """Sums of distances of a's rows from lo on to each cluster of b."""
+        hi, others = lo + len(sums), len(b.ends)
+        if b.split >= 0:
+            self._of(a, b.split, b.n)[lo:hi] += sums[:, 0]
+            return
+        if a.at == b.at:
+            here, own = np.arange(len(sums)), a.kind[lo:hi]
+            self._of(a, OWN)[lo:hi] += sums[here, own]
+            sums[here, own], others = np.nan, others - 1
+        if others:
+            v = self._of(a, NEXT)
+            v[lo:hi] = _least(v[lo:hi], np.fmin.reduce(sums / b.size, axis=1))
+
+    def _of(self, a: _Chunk, what: int, n: int = 0) -> np.ndarray:
+        if (a.at, what) not in self.held:
+            self.held[a.at, what] = [a.split, a.n, a.ends, n, np.full(len(a.x), NONE if what == NEXT else 0.0)]
+        return self.held[a.at, what][-1]
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for (chunk, what), (split, n, ends, count, v) in self.held.items():
+            yield pa.RecordBatch.from_pylist([{"chunk": chunk, "split": split, "n": n, "ends": ends, "what": what, "count": count, "v": v.tobytes()}], _SUMS)
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    totals, left = _Totals(), None
+    for batch in batches:
+        for k in range(len(batch)):
+            if left is None or left.at != batch.column("chunk")[k].as_py():
+                left = _Chunk(batch, k)
+            totals.meet(left, _Chunk(batch, k, "r_") if left.at != batch.column("r_chunk")[k].as_py() else left)
+    yield from totals.batches()
+
+
+def _scores(rows: pd.DataFrame) -> pd.DataFrame:
+    """The sum of the scores of a chunk's rows."""
+    split, n, ends = rows["split"].iloc[0], rows["n"].iloc[0], np.asarray(rows["ends"].iloc[0])
+    size = np.diff(ends, prepend=0)
+    size = np.full(ends[-1], n) if split >= 0 else np.repeat(size, size)
+    own, after, sums = np.zeros(ends[-1]), np.full(ends[-1], NONE), {}
+    for what, count, v in zip(rows["what"], rows["count"], rows["v"]):
+        v = np.frombuffer(v)
+        if what == NEXT:
+            after = _least(after, v)
+        elif what in (OWN, split):
+            own = own + v
+        else:
+            sums[what, count] = sums.get((what, count), 0.0) + v
+    for (_, count), v in sorted(sums.items(), key=lambda x: x[0]):
+        after = _least(after, v / count)
+    a = own / np.maximum(size - 1, 1)
+    top = np.maximum(a, after)
+    s = np.where((size > 1) & (after != NONE) & (top != 0), (after - a) / np.where(top != 0, top, 1), 0.0)
+    return pd.DataFrame({"total": [s.sum()]})
 
 
 def silhouette(rows: DataFrame, block: int = 4096) -> DataFrame:
-    """One row: silhouette of (genome_id, z, cluster), genome_id unique; singletons count 0.
-
-    Exact, over all pairs: rows are dealt into blocks of about `block` by a hash, each pair of blocks is
-    a task of bounded memory that returns sums of distances by cluster. The work grows with the square of the rows."""
-    kind = dict(rows.dtypes)["cluster"]
-    blocks = max(1, math.ceil(rows.count() / block))
-    dealt = rows.select("genome_id", "z", "cluster", F.pmod(F.xxhash64("genome_id"), F.lit(blocks)).alias("own"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
-    left = dealt.withColumnRenamed("own", "i").withColumn("j", every)
-    right = dealt.withColumnRenamed("own", "j").withColumn("i", every)
-    sums = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(_sums, f"genome_id string, cluster {kind}, c {kind}, total double, n long")
-    d = sums.groupBy("genome_id", "cluster", "c").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("d"))
-    near = d.groupBy("genome_id").agg(
-        F.max(F.when(F.col("c") == F.col("cluster"), F.col("d"))).alias("own"), F.min(F.when(F.col("c") != F.col("cluster"), F.col("d"))).alias("next")
-    )
-    s = F.coalesce(F.try_divide(F.col("next") - F.col("own"), F.greatest("own", "next")), F.lit(0.0))
-    return near.agg(F.avg(F.when(F.col("own").isNotNull() & F.col("next").isNotNull(), s).otherwise(0.0)).alias("silhouette"))
+    """One row: silhouette of (genome_id, z, cluster), genome_id unique; singletons count 0, as do rows without a cluster or a vector.
+
+    Exact, over all pairs, each of which is worked out once. Rows are put into chunks of about `block`: a large cluster or pieces of it, by a hash, or several
+    small ones. Chunks are dealt into parts, and a task reads two of them and returns sums by row and cluster, so no row is copied for every chunk that it
+    meets. What is written grows with the rows and the number of parts, the work with the square of the rows; a task's memory is that of two parts."""
+    spark = rows.sparkSession
+    whole = rows.select("genome_id", F.col("z").cast("array<double>").alias("z"), F.col("cluster").cast("string").alias("key"))
+    count, dims = whole.agg(F.count("*"), F.max(F.size("z"))).first()
+    block = max(1, min(block, CHUNK_BYTES // (8 * max(1, dims or 0))))
+    some = whole.where("z is not null and key is not null")
+    large = F.when(F.col("n") > block // 8, F.col("key"))
+    sizes = {r["key"]: r["n"] for r in some.groupBy("key").agg(F.count("*").alias("n")).groupBy(large.alias("key")).agg(F.sum("n").alias("n")).collect()}
+    bins = chunks = math.ceil(sizes.pop(None, 0) / block)
+    split = []  # key, rows, first chunk, chunks
+    for key, n in sorted(sizes.items()):  # some 8 * count / block clusters at most
+        split.append((key, n, chunks, math.ceil(n / block)))
+        chunks += split[-1][-1]
+    split = F.broadcast(spark.createDataFrame(split, "key string, n long, split int, pieces int"))
+    parts = max(1, min(chunks, max(math.ceil(math.sqrt(6 * spark.sparkContext.defaultParallelism)), math.ceil(8 * count * max(1, dims or 0) / PART_BYTES))))
+    piece = F.when(F.col("split").isNotNull(), F.col("split") + F.pmod(F.xxhash64("genome_id"), F.col("pieces"))).otherwise(F.pmod(F.xxhash64("key"), F.lit(max(1, bins))))
+    small = some.mapInArrow(_pack_rows, "genome_id string, key string, dims int, z binary").join(split, "key", "left")
+    dealt = small.select("genome_id", "key", "dims", "z", piece.cast("int").alias("chunk"), F.when(F.col("pieces") > 1, F.col("split")).otherwise(-1).alias("split"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    packs = dealt.groupBy("chunk").applyInArrow(_pack_chunk, "chunk int, split int, n long, dims int, ends array<int>, z binary")
+    left = packs.repartitionById(parts, F.floor(F.col("chunk").cast("long") * parts / max(1, chunks)).cast("int"))
+    right = left.select(*(F.col(c).alias(f"r_{c}") for c in left.columns))
+    even = (F.col("chunk") + F.col("r_chunk")) % 2 == 0
+    once = (F.col("chunk") == F.col("r_chunk")) | ((F.col("chunk") < F.col("r_chunk")) & even) | ((F.col("chunk") > F.col("r_chunk")) & ~even)
+    pairs = left.join(right.hint("shuffle_replicate_nl"), once)
+    sums = pairs.mapInArrow(_sums, "chunk int, split int, n long, ends array<int>, what int, count long, v binary")
+    scores = sums.groupBy("chunk").applyInPandas(_scores, "total double")
+    return scores.agg(F.try_divide(F.coalesce(F.sum("total"), F.lit(0.0)), F.lit(float(count))).alias("silhouette"))
 
 
 def summary(rows: DataFrame) -> DataFrame:
