@@ -1,11 +1,12 @@
 """The silhouette by parts: all pairs, and no row written for every chunk that it meets."""
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from barloom.operators import clustering as C
-from barloom.plans import queries
+from barloom.plans import oracle, queries
 
 
 def frame(spark, x, labels, more=()):
@@ -71,3 +72,14 @@ def test_query_reads_parts_of_rows(spark, name):
     df = queries.queries()[name](spark, "/root/testdata/sf0.01")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Generate" not in plan and "CoGroup" not in plan
+
+
+@pytest.mark.parametrize("name", ["silhouette", "silhouette_all"])
+def test_query_equals_sql_with_nulls(spark, name, tmp_path):
+    """A null vector had stopped the query."""
+    db = duckdb.connect()
+    some = "CASE WHEN vec_id = 7 THEN NULL ELSE embedding END AS embedding, CASE WHEN vec_id % 50 = 3 THEN NULL WHEN vec_id = 9 THEN 77 ELSE label END AS label"
+    db.execute(f"COPY (SELECT vec_id, {some} FROM '/root/testdata/sf0.01/embeddings.parquet' WHERE vec_id < 300) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = db.execute(oracle.oracle_sql()[name]).fetchone()[0]
+    assert abs(queries.queries()[name](spark, str(tmp_path)).first()[0] - want) < 1e-9
